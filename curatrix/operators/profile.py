@@ -44,65 +44,75 @@ def counts(items: DataFrame) -> DataFrame:
         F.round(F.col("n") / F.max("n").over(total), 6).alias("share"))
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], margin: float = 0.002, accuracy: int = 10_000) -> DataFrame:
-    """(metric, median), exact, in two even passes.
+# Rank share around the middle that the median bracket covers, and the sketch's accuracy.
+MEDIAN_MARGIN = 0.002
+SKETCH_ACCURACY = 10_000
 
-    A quantile sketch first brackets the middle of every column: its rank error
-    (1/accuracy) is smaller than ``margin``, so the bracket holds the median. Only
-    rows inside it are then counted by value, a fixed small share of the data,
-    instead of one task holding every distinct value.
+
+def _bracket(column: str) -> Column:
+    """Values just below and just above the middle, by quantile sketch."""
+    return F.percentile_approx(F.col(column).cast("double"), [0.5 - MEDIAN_MARGIN, 0.5 + MEDIAN_MARGIN], SKETCH_ACCURACY)
+
+
+def _medians_inside(df: DataFrame, brackets: dict[str, tuple[float, float, int]]) -> DataFrame:
+    """(metric, median), exact, given (low, high, count of values) per column.
+
+    The sketch's rank error (1 / SKETCH_ACCURACY) is below MEDIAN_MARGIN, so the
+    bracket holds the median. Only values inside it are counted one by one, a
+    fixed small share of the data; all below fold into one row, all above vanish.
+    No task ever holds the distinct values of a column.
     """
-    low, high = 0.5 - margin, 0.5 + margin
-    sketch = df.agg(*[
-        x for c in columns for x in (
-            F.percentile_approx(F.col(c).cast("double"), [low, high], accuracy).alias(f"q_{c}"),
-            F.count(c).alias(f"n_{c}"))]).first()
-    live = [c for c in columns if sketch[f"n_{c}"]]
-
-    def bracket(c: str) -> tuple[Column, Column]:
-        lo, hi = sketch[f"q_{c}"]
-        return F.lit(lo), F.lit(hi)
-
-    # Values inside the bracket keep their value, all below fall into one row, all above are dropped.
-    parts = []
-    for c in live:
-        lo, hi = bracket(c)
+    parts, total = [], F.lit(None)
+    for c, (low, high, n) in brackets.items():
         value = F.col(c).cast("double")
-        parts.append(F.when(value <= hi, F.struct(
-            F.lit(c).alias("metric"), F.when(value >= lo, value).alias("value"))))
+        parts.append(F.when(value <= high, F.struct(F.lit(c).alias("metric"), F.when(value >= low, value).alias("value"))))
+        total = F.when(F.col("metric") == c, F.lit(n)).otherwise(total)
     counted = (
         df.select(F.explode(F.array_compact(F.array(*parts))).alias("p"))
         .groupBy(F.col("p.metric").alias("metric"), F.col("p.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     )
-    by_value = Window.partitionBy("metric").orderBy(F.asc_nulls_first("value"))
-    total = F.lit(None)
-    for c in live:
-        total = F.when(F.col("metric") == c, F.lit(sketch[f"n_{c}"])).otherwise(total)
-    ranked = counted.withColumns({
-        "_upto": F.sum("n").over(by_value.rowsBetween(Window.unboundedPreceding, 0)),
-        "_total": total.cast("bigint"),
-    })
-    # Zero-based middle ranks (total - 1) div 2 and total div 2.
-    first = F.expr("(_total - 1) div 2")
-    second = F.expr("_total div 2")
+    by_value = Window.partitionBy("metric").orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumns({"_upto": F.sum("n").over(by_value), "_total": total.cast("bigint")})
 
     def at(rank: Column) -> Column:
         return F.min(F.when((F.col("_upto") > rank) & F.col("value").isNotNull(), F.col("value")))
 
-    return ranked.groupBy("metric").agg(((at(first) + at(second)) / 2).alias("median"))
+    # Zero-based middle ranks.
+    return ranked.groupBy("metric").agg(
+        ((at(F.expr("(_total - 1) div 2")) + at(F.expr("_total div 2"))) / 2).alias("median"))
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(metric, median) of every column that has values, exact, in two even passes."""
+    row = df.agg(*[x for c in columns for x in (_bracket(c).alias(f"q_{c}"), F.count(c).alias(f"n_{c}"))]).first()
+    return _medians_inside(df, {c: (*row[f"q_{c}"], row[f"n_{c}"]) for c in columns if row[f"n_{c}"]})
 
 
 def profile(df: DataFrame, columns: Sequence[str] = PROFILE_COLUMNS, exact: bool = True) -> DataFrame:
-    """One row per metric: min, max, median, mean, population standard deviation and count of values."""
-    long = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns]))
-    stats = df.select(long.alias("m")).select("m.*").groupBy("metric").agg(
-        F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
-        *([] if exact else [F.percentile_approx("value", 0.5, 10_000).alias("median")]))
-    if exact:
-        stats = stats.join(exact_medians(df, columns), "metric", "left")
-    return stats.select("metric", "n", *[F.round(c, 6).alias(c) for c in ("min", "max", "median", "mean", "std")])
+    """One row per metric: count of values, min, max, median, mean, population standard deviation.
+
+    All columns share one pass; the exact median adds a second. ``exact=False``
+    takes the median from the sketch.
+    """
+    wide = [("n", lambda c: F.count(c)), ("min", lambda c: F.min(c)), ("max", lambda c: F.max(c)),
+            ("mean", lambda c: F.avg(c)), ("std", lambda c: F.stddev_pop(c)), ("q", _bracket)]
+    row = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).agg(
+        *[f(c).alias(f"{name}_{c}") for c in columns for name, f in wide]).first()
+
+    def number(value) -> Column:
+        return F.round(F.lit(value).cast("double"), 6)
+
+    facts = df.sparkSession.range(1).select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("metric"), F.lit(row[f"n_{c}"]).cast("bigint").alias("n"),
+                 *[number(row[f"{name}_{c}"]).alias(name) for name in ("min", "max", "mean", "std")],
+                 number(sum(row[f"q_{c}"]) / 2 if row[f"n_{c}"] else None).alias("sketch")) for c in columns])).alias("f")).select("f.*")
+    if not exact:
+        return facts.withColumnRenamed("sketch", "median").select("metric", "n", "min", "max", "median", "mean", "std")
+    brackets = {c: (*row[f"q_{c}"], row[f"n_{c}"]) for c in columns if row[f"n_{c}"]}
+    if not brackets:
+        return facts.select("metric", "n", "min", "max", F.lit(None).cast("double").alias("median"), "mean", "std")
+    return facts.join(_medians_inside(df, brackets), "metric", "left").select(
+        "metric", "n", "min", "max", F.round("median", 6).alias("median"), "mean", "std")
 
 
 def flag_rates(df: DataFrame, flags: Sequence[str] = FLAG_COLUMNS) -> DataFrame:
@@ -125,7 +135,7 @@ def class_balance(items: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int, lo: float | None = None, hi: float | None = None,
               by: Sequence[str] = (), density: bool = False) -> DataFrame:
     """Equal-width counts, every bin present; the last bin is closed. Range from the data if not given."""
-    spark, value = df.sparkSession, F.col(column).cast("double")
+    value = F.col(column).cast("double")
     if lo is None or hi is None:
         found = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
         lo = found["lo"] if lo is None else lo
@@ -137,21 +147,19 @@ def histogram(df: DataFrame, column: str, bins: int, lo: float | None = None, hi
     width = (hi - lo) / bins
     index = F.least(F.floor((value - lo) * bins / (hi - lo)), F.lit(bins - 1)).cast("int")
     inside = df.where(value.between(lo, hi)).groupBy(*by, index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
-    if by:
-        frame = inside.select(*by).distinct().select(*by, numbers)
-        every = Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    else:
-        frame = spark.range(1).select(numbers)
-        every = Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    full = frame.join(inside, [*by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    out = full.withColumns({
+    # At most ``bins`` counts per group come together here, to fill in the empty bins.
+    known = inside.groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_counts"), F.sum("n").alias("_total"))
+    full = known.select(*by, "_counts", "_total", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    out = full.select(
+        *by, "bin", F.coalesce(F.try_element_at("_counts", F.col("bin")), F.lit(0)).alias("n"), "_total"
+    ).withColumns({
         "lower": F.round(F.lit(lo) + F.col("bin") * width, 6),
         "upper": F.round(F.lit(lo) + (F.col("bin") + 1) * width, 6),
     })
     if density:
-        out = out.withColumn("density", F.round(F.col("n") / (F.sum("n").over(every) * width), 6))
-    return out
+        out = out.withColumn("density", F.round(F.col("n") / (F.col("_total") * width), 6))
+    return out.drop("_total")
 
 
 # --- exact copies and leakage ------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -102,22 +102,23 @@ def mixup(df: DataFrame, vector: str, label: str, batches: int, alpha: float, se
     """
     batch = F.pmod(seeded_number(F.col(key), seed), F.lit(batches)).cast("int")
     order = Window.partitionBy("batch").orderBy(seeded_key(F.col(key), seed + 1), key)
-    placed = df.select(F.col(key), vector, label, batch.alias("batch"))
-    ranked = placed.withColumn("_place", F.row_number().over(order))
-    sizes = placed.groupBy("batch").agg(F.count(F.lit(1)).alias("_size")).withColumn("lam", _beta(alpha, seed)(F.col("batch")))
-    seated = ranked.join(sizes, "batch")
-    partner = seated.select(
-        "batch", F.col("_place").alias("_seat"), F.col(key).alias("partner_id"), F.col(vector).alias("_other"), F.col(label).alias("label_b"))
-    seated = seated.withColumn("_seat", F.when(F.col("_place") == F.col("_size"), 1).otherwise(F.col("_place") + 1))
-    mixed = F.zip_with(vector, "_other", lambda a, b: F.col("lam") * a + (1 - F.col("lam")) * b)
-    return seated.join(partner, ["batch", "_seat"]).select(
-        key, "partner_id", "batch", "lam", mixed.alias("mixed"), F.col(label).alias("label_a"), "label_b")
+    own = F.struct(F.col(key).alias("id"), F.col(vector).alias("x"), F.col(label).alias("y"))
+    first = F.first(own).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    seated = (
+        df.select(F.col(key), vector, label, batch.alias("batch"))
+        .withColumn("_mate", F.coalesce(F.lead(own).over(order), first))
+        .withColumn("lam", _beta(alpha, seed)(F.col("batch")))
+    )
+    mixed = F.zip_with(vector, "_mate.x", lambda a, b: F.col("lam") * a + (1 - F.col("lam")) * b)
+    return seated.select(key, F.col("_mate.id").alias("partner_id"), "batch", "lam", mixed.alias("mixed"),
+                         F.col(label).alias("label_a"), F.col("_mate.y").alias("label_b"))
 
 
 def _beta(alpha: float, seed: int):
     @F.pandas_udf("double")
     def draw(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda b: float(np.random.default_rng([seed, int(b)]).beta(alpha, alpha)))
+        drawn = {b: float(np.random.default_rng([seed, int(b)]).beta(alpha, alpha)) for b in batch.unique()}
+        return batch.map(drawn)
 
     return draw
 

@@ -23,6 +23,11 @@ grp AS (SELECT content_md5, count(*) AS n_items, count(*) - 1 AS surplus, min(it
   FROM items GROUP BY content_md5 HAVING count(*) > 1)"""
 
 
+def _hashed(spark, d):
+    """Items with their content hash, written once: the text is read a single time."""
+    return materialize(t.items(spark, d).select("item_id", "split", "class", "content_md5"), "items")
+
+
 @query("counts_cube", with_views(ITEMS) + r"""
 SELECT coalesce(split, 'all') AS split, coalesce(class, 'all') AS class, count(*) AS n,
        round(count(*)::DOUBLE / (SELECT count(*) FROM items), 6) AS share
@@ -70,7 +75,8 @@ SELECT t.class, CAST(r.bin AS INTEGER) AS bin, CAST(coalesce(c.n, 0) AS BIGINT)
        round(coalesce(c.n, 0)::DOUBLE / (t.total * ((hi - lo) / 40)), 6) AS density
 FROM tot t CROSS JOIN range(40) r(bin) CROSS JOIN lim LEFT JOIN cnt c ON c.class = t.class AND c.bin = r.bin""")
 def metric_histogram(spark, d):
-    return pr.histogram(t.item_metrics(spark, d).where(~F.col("is_corrupt")), "brightness", 40, by=["class"], density=True)
+    readable = t.item_metrics(spark, d).where(~F.col("is_corrupt")).select("class", "brightness")
+    return pr.histogram(materialize(readable, "brightness"), "brightness", 40, by=["class"], density=True)
 
 
 @query("event_histogram", r"""
@@ -89,7 +95,7 @@ def exact_dup_groups(spark, d):
 @query("exact_dup_members", with_views(ITEMS, GROUPS) + r"""
 SELECT i.item_id, i.split, i.class, content_md5, g.n_items, g.first_id FROM items i JOIN grp g USING (content_md5)""")
 def exact_dup_members(spark, d):
-    return pr.exact_dup_members(t.items(spark, d).select("item_id", "split", "class", "content_md5")).drop("splits", "classes")
+    return pr.exact_dup_members(_hashed(spark, d)).drop("splits", "classes")
 
 
 @query("cross_split_exact", with_views(ITEMS, GROUPS) + r"""
@@ -109,7 +115,7 @@ def shared_hash_matrix(spark, d):
 @query("shared_hash_items", with_views(ITEMS, GROUPS) + r"""
 SELECT content_md5, i.item_id, i.split, i.class FROM items i JOIN grp USING (content_md5) WHERE grp.splits LIKE '%+%'""")
 def shared_hash_items(spark, d):
-    return pr.shared_hash_items(t.items(spark, d).select("item_id", "split", "class", "content_md5"))
+    return pr.shared_hash_items(_hashed(spark, d))
 
 
 @query("stem_reuse", with_views(ITEMS, f"""

@@ -15,6 +15,11 @@ from curatrix.plans.registry import query
 from curatrix.session import materialize
 from curatrix.sources import tables as t
 
+def scored(spark, d, *columns):
+    """The scores written once, as a saved prediction table: no later filter reaches back into the text."""
+    return materialize(t.predictions(spark, d).select(*columns), "predictions")
+
+
 # Metrics from tp, fp, tn, fn in SQL.
 RATES = """
 round(CASE WHEN tp + fp + tn + fn > 0 THEN (tp + tn)::DOUBLE / (tp + fp + tn + fn) ELSE 0 END, 6) AS accuracy,
@@ -40,7 +45,7 @@ def sweep(name: str, grid: m.Grid, label: str = "label", source: str = "predicti
 ALL = 'threshold, accuracy, "precision", recall, f1, fpr, fnr, tp, fp, tn, fn'
 
 
-@query("predictions_view", with_views(ITEMS, PREDICTIONS) + "SELECT item_id, split, class, label, label_q, p_base, p_hn, p_ens, p_micro, round(logit, 6) AS logit FROM predictions")
+@query("predictions_view", with_views(ITEMS, PREDICTIONS) + "SELECT item_id, split, class, label, label_q, label_any, p_base, p_hn, p_ens, p_micro, round(logit, 6) AS logit FROM predictions")
 def predictions_view(spark, d):
     return t.predictions(spark, d).withColumn("logit", F.round("logit", 6))
 
@@ -111,7 +116,7 @@ SELECT (SELECT count(*) FROM predictions WHERE label = 1) AS n_pos, (SELECT coun
   round(avg(CASE WHEN a.p_micro > b.p_micro THEN 1.0::DOUBLE WHEN a.p_micro = b.p_micro THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END), 6) AS auc
 FROM predictions a JOIN predictions b ON a.label = 1 AND b.label = 0""")
 def roc_auc(spark, d):
-    return m.roc_auc(t.predictions(spark, d))
+    return m.roc_auc(scored(spark, d, "label", "p_micro"))
 
 
 @query("pr_curve", with_views(ITEMS, PREDICTIONS, sweep("s", m.PR_GRID)) + 'SELECT k, threshold, "precision", recall FROM s')
@@ -132,8 +137,8 @@ SELECT t.label, CAST(r.bin AS INTEGER) AS bin, CAST(coalesce(n, 0) AS BIGINT) AS
        round(coalesce(n, 0)::DOUBLE / (total * (1.0::DOUBLE / 80)), 6) AS density
 FROM tot t CROSS JOIN range(80) r(bin) LEFT JOIN cnt c ON c.label = t.label AND c.bin = r.bin""")
 def score_histogram(spark, d):
-    scored = t.predictions(spark, d).select("label", (F.col("p_micro") / 1e6).alias("p"))
-    return pr.histogram(scored, "p", 80, 0.0, 1.0, by=["label"], density=True)
+    rows = scored(spark, d, "label", (F.col("p_micro") / 1e6).alias("p"))
+    return pr.histogram(rows, "p", 80, 0.0, 1.0, by=["label"], density=True)
 
 
 # --- label quality -----------------------------------------------------------
@@ -154,21 +159,21 @@ def existing_edges(spark, d):
 FLIPS = "flips AS (SELECT item_id, 1 - label AS corrected FROM predictions WHERE (label = 1 AND p_micro < 100000) OR (label = 0 AND p_micro > 900000))"
 
 
-def flips_of(scored):
-    return lb.mislabel_candidates(scored).select("item_id", (1 - F.col("label")).alias("corrected"))
+def flips_of(rows):
+    return lb.mislabel_candidates(rows).select("item_id", (1 - F.col("label")).alias("corrected"))
 
 
 @query("apply_corrections", with_views(ITEMS, PREDICTIONS, FLIPS) + r"""
 SELECT item_id, label, coalesce(f.corrected, label) AS corrected FROM predictions LEFT JOIN flips f USING (item_id)""")
 def apply_corrections(spark, d):
-    scored = materialize(t.predictions(spark, d), "predictions")
-    return lb.apply_corrections(scored.select("item_id", "label"), flips_of(scored))
+    rows = scored(spark, d, "item_id", "label", "p_micro")
+    return lb.apply_corrections(rows.select("item_id", "label"), flips_of(rows))
 
 
 @query("ensemble_mean", with_views(ITEMS, PREDICTIONS) + "SELECT item_id, p_base AS p_a, p_hn AS p_b, (p_base + p_hn) / 2 AS p_ens FROM predictions")
 def ensemble_mean(spark, d):
-    scored = t.predictions(spark, d)
-    return lb.ensemble(scored.select("item_id", F.col("p_base").alias("p")), scored.select("item_id", F.col("p_hn").alias("p")))
+    both = scored(spark, d, "item_id", "p_base", "p_hn")
+    return lb.ensemble(both.select("item_id", F.col("p_base").alias("p")), both.select("item_id", F.col("p_hn").alias("p")))
 
 
 @query("merge_verdicts", with_views(ITEMS, PREDICTIONS, r"""
@@ -193,7 +198,7 @@ def merge_verdicts(spark, d):
 
 @query("ambiguous_items", with_views(ITEMS, PREDICTIONS) + "SELECT item_id, label, p_micro FROM predictions WHERE p_micro BETWEEN 350000 AND 650000")
 def ambiguous_items(spark, d):
-    return lb.ambiguous(t.predictions(spark, d)).select("item_id", "label", "p_micro")
+    return lb.ambiguous(scored(spark, d, "item_id", "label", "p_micro"))
 
 
 @query("boundary_report", with_views(ITEMS, PREDICTIONS) + r"""
@@ -207,22 +212,21 @@ def boundary_report(spark, d):
 h AS (SELECT CAST(least(floor(p_micro / 1e6::DOUBLE * 20), 19) AS INTEGER) AS bin, count(*) FILTER (WHERE label = 1) AS a, count(*) FILTER (WHERE label = 0) AS b FROM predictions GROUP BY 1)""") + r"""
 SELECT round(sum(least(a::DOUBLE / (SELECT sum(a) FROM h), b::DOUBLE / (SELECT sum(b) FROM h))), 6) AS overlap FROM h""")
 def class_overlap(spark, d):
-    return lb.class_overlap(t.predictions(spark, d))
+    return lb.class_overlap(scored(spark, d, "label", "p_micro"))
 
 
 @query("mislabel_candidates", with_views(ITEMS, PREDICTIONS) + r"""
 SELECT item_id, label, p_micro, abs(p_micro - label * 1000000) AS disagreement FROM predictions
 WHERE (label = 1 AND p_micro < 100000) OR (label = 0 AND p_micro > 900000)""")
 def mislabel_candidates(spark, d):
-    return lb.mislabel_candidates(t.predictions(spark, d)).select("item_id", "label", "p_micro", "disagreement")
+    return lb.mislabel_candidates(scored(spark, d, "item_id", "label", "p_micro")).select("item_id", "label", "p_micro", "disagreement")
 
 
 @query("average_passes", with_views(ITEMS, PREDICTIONS, r"""
 avgd AS (SELECT item_id, label, CAST(floor((CAST(round(p_base * 1e6::DOUBLE) AS BIGINT) + CAST(round(p_hn * 1e6::DOUBLE) AS BIGINT) + p_micro) / 3.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS p_micro FROM predictions)""",
     sweep("s", m.AVERAGED, source="avgd")) + f"SELECT {ALL} FROM s ORDER BY round(f1, 5) DESC, k LIMIT 1")
 def average_passes(spark, d):
-    scored = t.predictions(spark, d)
-    passes = scored.select("item_id", "label", F.explode(F.array(
+    passes = t.predictions(spark, d).select("item_id", "label", F.explode(F.array(
         t.micro(F.col("p_base")), t.micro(F.col("p_hn")), F.col("p_micro"))).alias("p_micro"))
     return m.best_threshold(m.threshold_sweep(lb.average_passes(passes), m.AVERAGED)).drop("k")
 
@@ -241,8 +245,8 @@ def losses(spark, d):
     f"both_ AS (SELECT 'stored' AS labels, {cells('p_micro >= 520000')} FROM fixed UNION ALL SELECT 'corrected', {cells('p_micro >= 520000', 'corrected')} FROM fixed)")
     + f"SELECT labels, tp, fp, tn, fn, {RATES} FROM both_")
 def flip_report(spark, d):
-    scored = materialize(t.predictions(spark, d), "predictions")
-    return lb.flip_report(lb.apply_corrections(scored, flips_of(scored)), 0.52)
+    rows = scored(spark, d, "item_id", "label", "p_micro")
+    return lb.flip_report(lb.apply_corrections(rows, flips_of(rows)), 0.52)
 
 
 # --- error analysis ----------------------------------------------------------
@@ -258,8 +262,8 @@ SCORED_METRICS = PREDICTIONS[PREDICTIONS.index("scored AS"):]
 SELECT metric, round(a, 3) AS fp_mean, round(sa, 3) AS fp_std, round(b, 3) AS tn_mean, round(sb, 3) AS tn_std, round(a - b, 3) AS delta,
        round(abs(a - b) / greatest(abs(b), 1e-6::DOUBLE) * 100, 1) AS pct_diff, abs(a - b) / greatest(abs(b), 1e-6::DOUBLE) * 100 > 15 AS flagged FROM st WHERE a - b IS NOT NULL""")
 def compare_cohorts(spark, d):
-    scored = t.predictions(spark, d).select("item_id", "label", "p_micro")
-    joined = t.item_metrics(spark, d).select("item_id", *COHORT_METRICS).join(scored, "item_id")
+    rows = scored(spark, d, "item_id", "label", "p_micro")
+    joined = t.item_metrics(spark, d).select("item_id", *COHORT_METRICS).join(rows, "item_id")
     return inv.compare_cohorts(inv.with_outcome(joined, 0.52), COHORT_METRICS)
 
 
@@ -268,7 +272,7 @@ edges(bin, confidence, lo, hi) AS (VALUES (0, '0.50-0.55', 500000, 550000), (1,
  (4, '0.70-0.75', 700000, 750000), (5, '0.75-0.80', 750000, 800000), (6, '0.80-0.85', 800000, 850000), (7, '0.85-0.90', 850000, 900000), (8, '0.90-1.00', 900000, 1000001))""") + r"""
 SELECT bin, confidence, count(p.item_id) AS n FROM edges e LEFT JOIN predictions p ON p.label = 0 AND p.p_micro >= 500000 AND p.p_micro >= e.lo AND p.p_micro < e.hi GROUP BY bin, confidence""")
 def confidence_bins(spark, d):
-    return inv.confidence_bins(t.predictions(spark, d).where("label = 0 and p_micro >= 500000"))
+    return inv.confidence_bins(scored(spark, d, "label", "p_micro").where("label = 0 and p_micro >= 500000"))
 
 
 @query("failure_patterns", with_views(ITEMS, METRICS, r"""
@@ -356,9 +360,9 @@ def fit_platt(spark, d):
 @query("fit_isotonic", with_views(ITEMS, PREDICTIONS, ISO) + r"""
 SELECT item_id, p.p_micro, round(p_iso, 6) AS p_iso FROM predictions p JOIN iso i ON i.p_micro = p.p_micro""")
 def fit_isotonic(spark, d):
-    scored = materialize(t.predictions(spark, d), "predictions")
-    model = cal.fit_isotonic(scored, label="label_any")
-    return cal.apply_isotonic(model, scored.select("item_id", "p_micro")).select("item_id", "p_micro", F.round("p_iso", 6).alias("p_iso"))
+    rows = scored(spark, d, "item_id", "label_any", "p_micro")
+    model = cal.fit_isotonic(rows, label="label_any")
+    return cal.apply_isotonic(model, rows.select("item_id", "p_micro")).select("item_id", "p_micro", F.round("p_iso", 6).alias("p_iso"))
 
 
 def _best(name: str, source: str) -> str:
@@ -376,7 +380,7 @@ sc_i AS (SELECT label_any, CAST(round(p_iso * 1e6::DOUBLE) AS BIGINT) AS p_micro
     + "".join(f" UNION ALL SELECT * FROM (SELECT '{n}' AS method, {ALL} FROM {s} ORDER BY round(f1, 5) DESC, k LIMIT 1)"
               for n, s in (("uncalibrated", "su"), ("temperature", "st"), ("platt", "sp"), ("isotonic", "si"))))
 def calibration_recommendations(spark, d):
-    return cal.calibration_recommendations(materialize(t.predictions(spark, d), "predictions"), label="label_any")
+    return cal.calibration_recommendations(scored(spark, d, "label_any", "logit", "p_micro"), label="label_any")
 
 
 @query("honest_eval", with_views(ITEMS, PREDICTIONS, r"""
@@ -392,6 +396,6 @@ auc AS (SELECT 'stored' AS labels, round(avg(CASE WHEN a.p_micro > b.p_micro THE
   UNION ALL SELECT 'corrected', round(avg(CASE WHEN a.p_micro > b.p_micro THEN 1.0::DOUBLE WHEN a.p_micro = b.p_micro THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END), 6) FROM tst a JOIN tst b ON a.corrected = 1 AND b.corrected = 0)""")
     + f"SELECT labels, tp, fp, tn, fn, {RATES}, auc, (SELECT round(1.0::DOUBLE / beta, 6) FROM tt) AS temperature, (SELECT threshold FROM pick) AS threshold FROM both_ JOIN auc USING (labels)")
 def honest_eval(spark, d):
-    scored = materialize(t.predictions(spark, d), "predictions")
-    flips = lb.mislabel_candidates(scored, label="label_any").select("item_id", (1 - F.col("label_any")).alias("corrected"))
-    return cal.honest_eval(scored.where("split = 'Validation'"), scored.where("split = 'Test'"), flips, "label_any")
+    rows = scored(spark, d, "item_id", "split", "label_any", "logit", "p_micro")
+    flips = lb.mislabel_candidates(rows, label="label_any").select("item_id", (1 - F.col("label_any")).alias("corrected"))
+    return cal.honest_eval(rows.where("split = 'Validation'"), rows.where("split = 'Test'"), flips, "label_any")

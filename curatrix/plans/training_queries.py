@@ -16,7 +16,7 @@ from curatrix.operators import profile as pr
 from curatrix.operators import sampling as sp
 from curatrix.plans.oracle_views import ITEMS, METRICS, PREDICTIONS, with_views
 from curatrix.plans.registry import query
-from curatrix.plans.score_queries import RATES, cells
+from curatrix.plans.score_queries import RATES, cells, scored
 from curatrix.session import materialize, scratch_path
 from curatrix.sources import images as im
 from curatrix.sources import reports as rp
@@ -28,7 +28,7 @@ TIER = "CASE WHEN p_micro >= 800000 THEN 'hard' WHEN p_micro >= 650000 THEN 'med
 
 @query("mine_hard_negatives", with_views(ITEMS, PREDICTIONS) + f"SELECT item_id, p_micro, {TIER} AS tier FROM predictions WHERE label = 0 AND p_micro >= 480000")
 def mine_hard_negatives(spark, d):
-    return sp.mine_hard_negatives(t.predictions(spark, d), 0.48).select("item_id", "p_micro", "tier")
+    return sp.mine_hard_negatives(scored(spark, d, "item_id", "label", "p_micro"), 0.48).select("item_id", "p_micro", "tier")
 
 
 MINED = r"""count(*) FILTER (WHERE label = 0) AS n_real, count(*) FILTER (WHERE label = 0 AND p_micro >= 480000) AS fps_mined,
@@ -51,7 +51,7 @@ def cap_per_class(spark, d):
 @query("top_false_positives", with_views(ITEMS, PREDICTIONS) + r"""
 SELECT item_id, p_micro, CAST(row_number() OVER (ORDER BY p_micro DESC, item_id) AS INTEGER) AS rank FROM predictions WHERE label = 0 AND p_micro >= 520000 ORDER BY p_micro DESC, item_id LIMIT 20""")
 def top_false_positives(spark, d):
-    fps = t.predictions(spark, d).where("label = 0 and p_micro >= 520000").select("item_id", "p_micro")
+    fps = scored(spark, d, "item_id", "label", "p_micro").where("label = 0 and p_micro >= 520000").select("item_id", "p_micro")
     return pr.top_k(fps, [F.col("p_micro").desc(), "item_id"], 20)
 
 
@@ -59,7 +59,7 @@ def top_false_positives(spark, d):
 r AS (SELECT item_id, p_micro, row_number() OVER (ORDER BY p_micro DESC, item_id) AS rank FROM predictions WHERE label = 0)""") + r"""
 SELECT item_id, p_micro, CAST(rank AS INTEGER) AS rank, 'hn_' || lpad(CAST(rank - 1 AS VARCHAR), 3, '0') || '_p' || format('{:.3f}', round(p_micro / 1000000.0::DOUBLE, 3)) || '_' || item_id AS sample_name FROM r WHERE rank <= 50""")
 def export_samples(spark, d):
-    return rp.export_samples(t.predictions(spark, d).where("label = 0").select("item_id", "p_micro"), 50, "hn")
+    return rp.export_samples(scored(spark, d, "item_id", "label", "p_micro").where("label = 0").select("item_id", "p_micro"), 50, "hn")
 
 
 SEEDED = "md5('7:' || CAST(item_id AS VARCHAR))"
@@ -72,13 +72,13 @@ def shuffle_order(spark, d):
 
 @query("sample_items", with_views(ITEMS, PREDICTIONS) + f"SELECT item_id, p_micro FROM predictions WHERE p_micro BETWEEN 350000 AND 650000 ORDER BY {SEEDED}, item_id LIMIT 24")
 def sample_items(spark, d):
-    return sp.sample_n(lb.ambiguous(t.predictions(spark, d)).select("item_id", "p_micro"), 24, 7)
+    return sp.sample_n(lb.ambiguous(scored(spark, d, "item_id", "p_micro")), 24, 7)
 
 
 @query("oversample", with_views(ITEMS, PREDICTIONS) + r"""
 SELECT item_id, CAST(c AS INTEGER) AS copy FROM predictions, range(1, 4) g(c) WHERE label = 0 AND p_micro >= 520000""")
 def oversample(spark, d):
-    return sp.oversample(sp.mine_hard_negatives(t.predictions(spark, d)).select("item_id"), 3)
+    return sp.oversample(sp.mine_hard_negatives(scored(spark, d, "item_id", "label", "p_micro")).select("item_id"), 3)
 
 
 @query("weighted_sample", with_views(ITEMS, PREDICTIONS, r"""
@@ -107,9 +107,9 @@ log AS (SELECT iteration, fps_mined, {RATES} FROM it)"""
 
 def mining_log(spark, d):
     """A log derived from the scores: every fifty item numbers are one iteration."""
-    scored = t.predictions(spark, d).withColumn("iteration", F.expr("item_id div 50"))
-    rates = m.confusion(scored, 0.48, by=["iteration"])
-    mined = sp.mining_report(scored, 0.48, by=["iteration"]).select("iteration", "fps_mined")
+    rows = scored(spark, d, "item_id", "label", "p_micro").withColumn("iteration", F.expr("item_id div 50"))
+    rates = m.confusion(rows, 0.48, by=["iteration"])
+    mined = sp.mining_report(rows, 0.48, by=["iteration"]).select("iteration", "fps_mined")
     return rates.join(mined, "iteration").select("iteration", "fps_mined", "f1", "precision", "recall", "fpr")
 
 
@@ -133,9 +133,9 @@ def best_epoch(spark, d):
 @query("append_log", with_views(ITEMS, PREDICTIONS) + f"SELECT CASE split WHEN 'Train' THEN 1 WHEN 'Validation' THEN 2 ELSE 3 END AS iteration, {MINED} FROM predictions GROUP BY split")
 def append_log(spark, d):
     path = scratch_path(spark, "log")
-    scored = materialize(t.predictions(spark, d).select("split", "label", "p_micro"), "predictions")
+    rows = scored(spark, d, "split", "label", "p_micro")
     for i, split in enumerate(("Train", "Validation", "Test"), 1):
-        rp.append_log(sp.mining_report(scored.where(F.col("split") == split), 0.48).select(F.lit(i).alias("iteration"), "*"), path)
+        rp.append_log(sp.mining_report(rows.where(F.col("split") == split), 0.48).select(F.lit(i).alias("iteration"), "*"), path)
     return spark.read.parquet(path)
 
 
@@ -144,20 +144,20 @@ def append_log(spark, d):
 @query("union_training_rows", with_views(ITEMS, PREDICTIONS) + r"""
 SELECT item_id, label, 'base' AS origin FROM predictions UNION ALL SELECT item_id, 0, 'hard negative' FROM predictions WHERE label = 0 AND p_micro >= 520000""")
 def union_training_rows(spark, d):
-    base = t.predictions(spark, d)
+    base = scored(spark, d, "item_id", "label", "p_micro")
     hard = sp.mine_hard_negatives(base).select("item_id", F.lit(0).alias("label"), F.lit("hard negative").alias("origin"))
     return base.select("item_id", "label", F.lit("base").alias("origin")).unionByName(hard)
 
 
 @query("intersect_hashes", with_views(ITEMS) + "SELECT content_md5 FROM items WHERE split = 'Train' INTERSECT SELECT content_md5 FROM items WHERE split = 'Validation'")
 def intersect_hashes(spark, d):
-    items = t.items(spark, d)
+    items = materialize(t.items(spark, d).select("split", "content_md5"), "items")
     return items.where("split = 'Train'").select("content_md5").intersect(items.where("split = 'Validation'").select("content_md5"))
 
 
 @query("difference_items", with_views(ITEMS) + "SELECT content_md5 FROM items WHERE split = 'Train' EXCEPT ALL SELECT content_md5 FROM items WHERE split <> 'Train'")
 def difference_items(spark, d):
-    items = t.items(spark, d)
+    items = materialize(t.items(spark, d).select("split", "content_md5"), "items")
     return items.where("split = 'Train'").select("content_md5").exceptAll(items.where("split <> 'Train'").select("content_md5"))
 
 
@@ -179,7 +179,8 @@ REPORTED = r"""SELECT content_md5 AS hash, CAST(item_id AS VARCHAR) AS path FROM
 @query("read_report", with_views(ITEMS) + REPORTED)
 def read_report(spark, d):
     """Groups written as JSON report rows, read back with a stated schema and opened."""
-    members = pr.exact_dup_members(t.items(spark, d).select("item_id", "split", "class", "content_md5"))
+    items = materialize(t.items(spark, d).select("item_id", "split", "class", "content_md5"), "items")
+    members = pr.exact_dup_members(items)
     path = scratch_path(spark, "report")
     member = members.select(F.create_map("content_md5", F.array(F.col("item_id").cast("string"))).alias("exact_duplicates"))
     rp.write_report({"groups": member}, path, "json")
@@ -189,7 +190,7 @@ def read_report(spark, d):
 @query("write_report", with_views(ITEMS, PREDICTIONS) + "SELECT item_id, label, p_micro FROM predictions WHERE p_micro BETWEEN 350000 AND 650000 ORDER BY p_micro DESC, item_id LIMIT 100")
 def write_report(spark, d):
     path = scratch_path(spark, "report")
-    rows = lb.ambiguous(t.predictions(spark, d)).select("item_id", "label", "p_micro")
+    rows = lb.ambiguous(scored(spark, d, "item_id", "label", "p_micro"))
     rp.write_report({"ambiguous": rows}, path, "parquet", {"ambiguous": ([F.col("p_micro").desc(), "item_id"], 100)})
     return spark.read.parquet(f"{path}/ambiguous")
 
@@ -205,7 +206,7 @@ def saved_predictions(spark, d):
 SELECT item_id, p.split, p.class FROM predictions p WHERE label = 0 AND p_micro >= 520000""")
 def write_quarantine(spark, d):
     path = scratch_path(spark, "quarantine")
-    rp.write_quarantine(sp.mine_hard_negatives(t.predictions(spark, d)).select("item_id", "split", "class"), path)
+    rp.write_quarantine(sp.mine_hard_negatives(scored(spark, d, "item_id", "split", "class", "label", "p_micro")).select("item_id", "split", "class"), path)
     return spark.read.parquet(path).select("item_id", "split", "class")
 
 
@@ -215,8 +216,8 @@ FEATURES = ("brightness", "blur_score", "pixel_std", "file_size")
 
 
 def _featured(spark, d):
-    scored = t.predictions(spark, d).select("item_id", "split", "label_q")
-    return materialize(t.item_metrics(spark, d).where("not is_corrupt").select("item_id", *FEATURES).join(scored, "item_id"), "features")
+    rows = t.predictions(spark, d).select("item_id", "split", "label_q")
+    return materialize(t.item_metrics(spark, d).where("not is_corrupt").select("item_id", *FEATURES).join(rows, "item_id"), "features")
 
 
 @query("fit_baseline")
@@ -319,8 +320,8 @@ def augment_images(spark, d):
 @query("false_positive_artifacts")
 def false_positive_artifacts(spark, d):
     """Artifact features of false positives against true negatives."""
-    scored = t.predictions(spark, d).select("item_id", "label", "p_micro")
-    found = px.pixel_features(t.text_images(spark, d), "artifacts").join(scored, "item_id")
+    rows = t.predictions(spark, d).select("item_id", "label", "p_micro")
+    found = px.pixel_features(t.text_images(spark, d), "artifacts").join(rows, "item_id")
     return inv.compare_cohorts(inv.with_outcome(found, 0.52), [name for _, name, _, _ in inv.FAILURE_RULES if name != "brightness"] + ["brightness"])
 
 

@@ -69,7 +69,7 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tokens_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), r"\s+"), "")
 
 
 MIN_READABLE = 100
@@ -131,21 +131,20 @@ def token_bits(token: Column) -> Column:
 def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """64-bit SimHash of the distinct tokens of each document.
 
-    A document's tokens leave one scan task next to each other, so the partial
-    aggregate folds them to one row before the shuffle. Each running sum counts
-    two bits at once (i and i + 32), 32 bits wide each.
+    Everything happens inside the row, so a scan task turns text into one BIGINT
+    and nothing is shuffled. Each running sum counts two bits at once (i and
+    i + 32), 32 bits wide each.
     """
-    votes = (
-        with_identity(documents(spark, folder))
-        .select("item_id", "split", "class", sc.content_hash(F.col("text")).alias("content_md5"),
-                F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("token"))
-        .where(F.col("token") != "")
-        .select("item_id", "split", "class", "content_md5", token_bits(F.col("token")).alias("h"))
-        .groupBy("item_id", "split", "class", "content_md5")
-        .agg(F.count(F.lit(1)).alias("n"), *[
-            F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(PAIR_OF_BITS))).alias(f"c{i}") for i in range(32)
-        ])
-    )
+    hashed = with_identity(documents(spark, folder)).select(
+        "item_id", "split", "class", sc.content_hash(F.col("text")).alias("content_md5"),
+        F.transform(F.array_distinct(tokens_of(F.col("text"))), token_bits).alias("h"))
+
+    def pair_sum(i: int) -> Column:
+        return F.aggregate("h", F.lit(0).cast("bigint"),
+                           lambda acc, h: acc + F.shiftrightunsigned(h, i).bitwiseAND(F.lit(PAIR_OF_BITS)))
+
+    votes = hashed.select("item_id", "split", "class", "content_md5", F.size("h").cast("bigint").alias("n"),
+                          *[pair_sum(i).alias(f"c{i}") for i in range(32)])
     won = [F.when(2 * F.col(f"c{i}").bitwiseAND(F.lit(LOW_HALF)) > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0))
            for i in range(32)]
     won += [F.when(2 * F.shiftrightunsigned(F.col(f"c{i}"), 32) > F.col("n"), F.lit(signed(1 << (i + 32)))).otherwise(F.lit(0))
