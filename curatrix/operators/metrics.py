@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from curatrix import conventions as cv
 from curatrix.operators.skew import running_sums
+from curatrix.session import materialize
 
 
 @dataclass(frozen=True)
@@ -129,8 +130,8 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "p_micro") -> Data
     Equal scores are folded first (at most 1,000,001 rows for micro scores), and
     the running count of positives is taken per thousand of them, in parallel.
     """
-    folded = df.groupBy(F.col(score).alias("p")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    folded = materialize(df.groupBy(F.col(score).alias("p")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")), "folded")
     ranked = running_sums(folded, "p", F.floor(F.col("p") / 1000), ["pos"])
     totals = ranked.agg(
         F.sum(F.col("neg") * (2 * F.col("pos_before") + F.col("pos"))).alias("twice"),

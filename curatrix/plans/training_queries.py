@@ -92,6 +92,14 @@ def weighted_sample(spark, d):
     return sp.weighted_sample(items, "weight", None, 11)
 
 
+@query("mixup_partners", r"""
+WITH b AS (SELECT vec_id AS item_id, label, CAST(CAST('0x' || substr(md5('5:' || vec_id), 1, 12) AS BIGINT) % 16 AS INTEGER) AS batch, md5('6:' || vec_id) AS k FROM embeddings)
+SELECT item_id, batch, coalesce(lead(item_id) OVER w, first_value(item_id) OVER w) AS partner_id, label AS label_a,
+       coalesce(lead(label) OVER w, first_value(label) OVER w) AS label_b FROM b WINDOW w AS (PARTITION BY batch ORDER BY k, item_id)""")
+def mixup_partners(spark, d):
+    return mixup_vectors(spark, d).drop("mixed", "lam")
+
+
 @query("mixup_vectors")
 def mixup_vectors(spark, d):
     vectors = t.table(spark, d, "embeddings").withColumnRenamed("vec_id", "item_id")
@@ -252,15 +260,30 @@ luma AS (SELECT *, (19595 * r + 38470 * g + 7471 * b + 32768) // 65536 AS l FROM
 
 
 @query("image_artifacts", with_views(ITEMS, PIXELS, r"""
-lap AS (SELECT *, coalesce(lag(l) OVER rw, 0) + coalesce(lead(l) OVER rw, 0) + coalesce(lag(l) OVER cl, 0) + coalesce(lead(l) OVER cl, 0) - 4 * l AS e,
-  greatest(r, g, b) AS top, least(r, g, b) AS bot FROM luma WINDOW rw AS (PARTITION BY item_id, y ORDER BY x), cl AS (PARTITION BY item_id, x ORDER BY y))""") + r"""
-SELECT item_id, round(var_pop(e), 4) AS laplacian_var, round(avg(l), 4) AS brightness, round(stddev_pop(l), 4) AS contrast,
+row_pass AS (SELECT *, coalesce(lead(l) OVER rw, l) - coalesce(lag(l) OVER rw, l) AS dx, coalesce(lag(l) OVER rw, l) + 2 * l + coalesce(lead(l) OVER rw, l) AS sm,
+  coalesce(lag(l) OVER rw, 0) + coalesce(lead(l) OVER rw, 0) AS side,
+  (6 * l + 4 * coalesce(lag(l) OVER rw, CASE WHEN height > 2 THEN lead(l) OVER rw ELSE l END) + 4 * coalesce(lead(l) OVER rw, CASE WHEN height > 2 THEN lag(l) OVER rw ELSE l END)
+   + coalesce(lag(l, 2) OVER rw, CASE WHEN height > 2 THEN CASE WHEN x = 1 THEN l ELSE lead(l, 2) OVER rw END ELSE coalesce(lag(l) OVER rw, l) END)
+   + coalesce(lead(l, 2) OVER rw, CASE WHEN height > 2 THEN CASE WHEN x = 46 THEN l ELSE lag(l, 2) OVER rw END ELSE coalesce(lead(l) OVER rw, l) END)) / 16.0::DOUBLE AS gs
+  FROM luma WINDOW rw AS (PARTITION BY item_id, y ORDER BY x)),
+lap AS (SELECT *, side + coalesce(lag(l) OVER cl, 0) + coalesce(lead(l) OVER cl, 0) - 4 * l AS e,
+  coalesce(lag(dx) OVER cl, dx) + 2 * dx + coalesce(lead(dx) OVER cl, dx) AS gx, coalesce(lead(sm) OVER cl, sm) - coalesce(lag(sm) OVER cl, sm) AS gy,
+  (6 * gs + 4 * coalesce(lag(gs) OVER cl, CASE WHEN height > 2 THEN lead(gs) OVER cl ELSE gs END) + 4 * coalesce(lead(gs) OVER cl, CASE WHEN height > 2 THEN lag(gs) OVER cl ELSE gs END)
+   + coalesce(lag(gs, 2) OVER cl, CASE WHEN height > 2 THEN CASE WHEN y = 1 THEN gs ELSE lead(gs, 2) OVER cl END ELSE coalesce(lag(gs) OVER cl, gs) END)
+   + coalesce(lead(gs, 2) OVER cl, CASE WHEN height > 2 THEN CASE WHEN y = height - 2 THEN gs ELSE lag(gs, 2) OVER cl END ELSE coalesce(lead(gs) OVER cl, gs) END)) / 16.0::DOUBLE AS blur,
+  greatest(r, g, b) AS top, least(r, g, b) AS bot FROM row_pass WINDOW cl AS (PARTITION BY item_id, x ORDER BY y)),
+half AS (SELECT item_id, y, x // 8 AS bx, u, sum(l * 0.5::DOUBLE * cos(pi() * (2 * (x % 8) + 1) * u / 16)) AS s FROM luma, range(1, 8) f(u)
+  WHERE y // 8 < (height - 1) // 8 AND x // 8 < 5 GROUP BY item_id, y, x // 8, u),
+coef AS (SELECT item_id, y // 8 AS by_, bx, u, v, abs(sum(s * 0.5::DOUBLE * cos(pi() * (2 * (y % 8) + 1) * v / 16))) AS c FROM half, range(1, 8) f(v) GROUP BY item_id, y // 8, bx, u, v),
+dct AS (SELECT item_id, sum(c) * 49 / count(*) AS energy FROM coef GROUP BY item_id)""") + r"""
+SELECT item_id, round(coalesce(any_value(energy), 0), 3) AS avg_dct_energy, round(100.0::DOUBLE * avg(CASE WHEN gx * gx + gy * gy > 22500 THEN 1 ELSE 0 END), 4) AS edge_density_pct,
+  round(avg(abs(l - blur)), 4) AS noise_level, round(var_pop(e), 4) AS laplacian_var, round(avg(l), 4) AS brightness, round(stddev_pop(l), 4) AS contrast,
   round(avg(CASE WHEN top > 0 THEN round_even(255.0::DOUBLE * (top - bot) / top, 0) ELSE 0 END), 4) AS saturation, round(any_value(n) / 1024.0::DOUBLE, 4) AS file_size_kb,
   round(coalesce(stddev_pop(l) FILTER (WHERE y >= height // 2 - height // 6 AND y < height // 2 + height // 6 AND x >= 16 AND x < 32), 0), 4) AS skin_smoothness_std
-FROM lap GROUP BY item_id""")
+FROM lap LEFT JOIN dct USING (item_id) GROUP BY item_id""")
 def image_artifacts(spark, d):
     found = px.pixel_features(t.text_images(spark, d), "artifacts")
-    return found.select("item_id", *[F.round(c, 4).alias(c) for c in (
+    return found.select("item_id", F.round("avg_dct_energy", 3).alias("avg_dct_energy"), *[F.round(c, 4).alias(c) for c in ("edge_density_pct", "noise_level")], *[F.round(c, 4).alias(c) for c in (
         "laplacian_var", "brightness", "contrast", "saturation", "file_size_kb", "skin_smoothness_std")])
 
 
@@ -280,6 +303,16 @@ def image_metrics(spark, d):
                         sc.is_dark(b).alias("is_dark"), sc.is_bright(b).alias("is_bright"), sc.is_blank(s).alias("is_blank"))
 
 
+@query("image_dhash", with_views(ITEMS, PIXELS, r"""
+rows_ AS (SELECT item_id, i, x, sum(greatest(0, least((i + 1) * height / 8.0::DOUBLE, y + 1) - greatest(i * height / 8.0::DOUBLE, y)) * 8 / height * l) AS v FROM luma, range(8) f(i) GROUP BY item_id, i, x),
+cell AS (SELECT item_id, i, j, round(sum(greatest(0, least((j + 1) * 48 / 9.0::DOUBLE, x + 1) - greatest(j * 48 / 9.0::DOUBLE, x)) * 9 / 48 * v), 6) AS v FROM rows_, range(9) f(j) GROUP BY item_id, i, j),
+bit AS (SELECT item_id, 8 * i + j AS k, v > lead(v) OVER (PARTITION BY item_id, i ORDER BY j) AS up, j FROM cell)""") + r"""
+SELECT item_id, string_agg(CASE WHEN up THEN '1' ELSE '0' END, '' ORDER BY k) AS bits FROM bit WHERE j < 8 GROUP BY item_id""")
+def image_dhash(spark, d):
+    found = px.pixel_features(t.text_images(spark, d), "basic")
+    return found.select("item_id", F.lpad(F.bin("dhash"), 64, "0").alias("bits"))
+
+
 @query("image_hashes")
 def image_hashes(spark, d):
     found = px.pixel_features(t.text_images(spark, d), "basic")
