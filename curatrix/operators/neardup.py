@@ -85,6 +85,8 @@ def fingerprint_pairs(
     def _verified(left: DataFrame, right: DataFrame, on: list[str], extra) -> DataFrame:
         x = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
         joined = left.join(right, on).where(F.col("fp_a") < F.col("fp_b"))
+        if "sub" in on:
+            joined = joined.withColumn("_masks", masks_of)
         if condition is not None:
             joined = joined.where(condition("_a", "_b"))
         return joined.where((F.bit_count(x) <= distance) & first_agreement(x) & extra(x)).select(
@@ -104,10 +106,10 @@ def fingerprint_pairs(
     masks_of = F.lit(free_masks)[F.col("combo")]
 
     def sub_value(sub: tuple[int, ...]) -> Column:
-        parts = [F.col("fp").bitwiseAND(masks_of[i]) for i in sub]
+        parts = [F.col("fp").bitwiseAND(F.col("_masks")[i]) for i in sub]
         return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
-    recut = keyed.join(crowded, key, "left_semi").select(
+    recut = keyed.join(crowded, key, "left_semi").withColumn("_masks", masks_of).select(
         *key, "fp", *keep,
         F.explode(F.array(*[
             F.struct(F.lit(s).alias("sub"), sub_value(sub).alias("sub_value")) for s, sub in enumerate(sub_combos)
@@ -127,7 +129,7 @@ def fingerprint_pairs(
 
     def first_sub_agreement(x: Column) -> Column:
         return _matching_blocks_before(
-            x, [masks_of[i] for i in range(blocks)], F.lit([s[-1] for s in sub_combos])[F.col("sub")]) == need - 1
+            x, [F.col("_masks")[i] for i in range(blocks)], F.lit([s[-1] for s in sub_combos])[F.col("sub")]) == need - 1
 
     dense = _verified(
         left.select(*on, *[F.col(c).alias(f"{c}_a") for c in ("fp", *keep)]),
