@@ -125,8 +125,9 @@ def artifact_features(bgr: np.ndarray, file_size: int) -> dict:
 
 
 def forensic_signals(bgr: np.ndarray, file_size: int, side: int = 256) -> dict:
-    rgb = area_resize(bgr, side, side)
-    mean = rgb.mean(axis=2)
+    # Rounded, so that values on a limit do not depend on the order of summing.
+    rgb = np.round(area_resize(bgr, side, side), 6)
+    mean = np.round(rgb.mean(axis=2), 6)
     red = rgb[:, :, 2]
     here = mean[:-1:2, :-1:2]
     change = np.abs(here - mean[:-1:2, 1::2]) + np.abs(here - mean[1::2, :-1:2])
@@ -136,7 +137,7 @@ def forensic_signals(bgr: np.ndarray, file_size: int, side: int = 256) -> dict:
     high = ~low & ((x > side * 2 / 3) | (y > side * 2 / 3))
     regions = blocks_of(mean)
     bins = np.bincount(np.minimum(mean // 4, 63).astype(int).ravel(), minlength=64)
-    edges = sobel_magnitude(mean)[2:side - 2:4, 2:side - 2:4]
+    edges = np.round(sobel_magnitude(mean), 4)[2:side - 2:4, 2:side - 2:4]
     grid = np.arange(8, side - 8, 8)
     jumps = np.abs(red[np.ix_(grid, grid)] - red[np.ix_(grid, grid + 1)])
     left = mean[::4, :side // 2:4]
