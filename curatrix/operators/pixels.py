@@ -36,16 +36,20 @@ def grey(bgr: np.ndarray) -> np.ndarray:
     return (19595 * r + 38470 * g + 7471 * b + 32768) >> 16
 
 
-def area_resize(values: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over the area every target cell covers, in both directions."""
-    def weights(source: int, target: int) -> np.ndarray:
-        edges = np.arange(target + 1) * source / target
-        cells = np.arange(source)
-        cover = np.minimum(edges[1:, None], cells + 1) - np.maximum(edges[:-1, None], cells)
-        return np.clip(cover, 0, None) * target / source
+def area_mean(values: np.ndarray, target: int) -> np.ndarray:
+    """Mean over the span that every target cell covers along the first axis, by running sums."""
+    source = values.shape[0]
+    edges = np.arange(target + 1) * (source / target)
+    whole = np.minimum(edges.astype(int), source - 1)
+    part = (edges - whole).reshape(-1, *[1] * (values.ndim - 1))
+    sums = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
+    upto = sums[whole] + part * values[whole]
+    return np.diff(upto, axis=0) * (target / source)
+
 
-    rows, cols = weights(values.shape[0], height), weights(values.shape[1], width)
-    return np.einsum("ij,jk...,lk->il...", rows, values.astype(np.float64), cols, optimize=True)
+def area_resize(values: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean over the area every target cell covers."""
+    return area_mean(area_mean(values, height).swapaxes(0, 1), width).swapaxes(0, 1)
 
 
 def laplacian(values: np.ndarray) -> np.ndarray:
@@ -126,9 +130,8 @@ def artifact_features(bgr: np.ndarray, file_size: int) -> dict:
 
 def forensic_signals(bgr: np.ndarray, file_size: int, side: int = 256) -> dict:
     # Rounded, so that values on a limit do not depend on the order of summing.
-    rgb = np.round(area_resize(bgr, side, side), 6)
-    mean = np.round(rgb.mean(axis=2), 6)
-    red = rgb[:, :, 2]
+    mean = np.round(area_resize(bgr.mean(axis=2), side, side), 6)
+    red = np.round(area_resize(bgr[:, :, 2], side, side), 6)
     here = mean[:-1:2, :-1:2]
     change = np.abs(here - mean[:-1:2, 1::2]) + np.abs(here - mean[1::2, :-1:2])
     at = np.arange(0, side - 1, 2)
@@ -136,8 +139,11 @@ def forensic_signals(bgr: np.ndarray, file_size: int, side: int = 256) -> dict:
     low = (x < side / 3) | (y < side / 3)
     high = ~low & ((x > side * 2 / 3) | (y > side * 2 / 3))
     regions = blocks_of(mean)
-    bins = np.bincount(np.minimum(mean // 4, 63).astype(int).ravel(), minlength=64)
-    edges = np.round(sobel_magnitude(mean), 4)[2:side - 2:4, 2:side - 2:4]
+    bins = np.bincount((mean / 4).astype(np.int64).ravel(), minlength=64)
+    near = {(dy, dx): mean[2 + dy:side - 2 + dy:4, 2 + dx:side - 2 + dx:4] for dy in (-1, 0, 1) for dx in (-1, 0, 1)}
+    gx = sum(w * (near[dy, 1] - near[dy, -1]) for dy, w in ((-1, 1), (0, 2), (1, 1)))
+    gy = sum(w * (near[1, dx] - near[-1, dx]) for dx, w in ((-1, 1), (0, 2), (1, 1)))
+    edges = np.round(np.hypot(gx, gy), 4)
     grid = np.arange(8, side - 8, 8)
     jumps = np.abs(red[np.ix_(grid, grid)] - red[np.ix_(grid, grid + 1)])
     left = mean[::4, :side // 2:4]

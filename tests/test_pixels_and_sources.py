@@ -109,7 +109,7 @@ def slow_dct_energy(g):
 def slow_forensics(bgr):
     side = 256
     rgb = np.stack([slow_resize(bgr[:, :, i].astype(float), side, side).round(6) for i in (2, 1, 0)], axis=2)
-    mean = rgb.mean(axis=2).round(6)
+    mean = slow_resize(bgr.mean(axis=2), side, side).round(6)
     low = mid = high = 0.0
     for y in range(0, side - 1, 2):
         for x in range(0, side - 1, 2):
