@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column
@@ -21,8 +20,14 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def array_dhash(values: Column, length: int, row_width: int | None = None) -> Column:
-    """Difference hash of a grid stored row by row; first comparison is the highest bit.
+def sql_long(bits: int) -> str:
+    """BIGINT literal with these 64 bits. The smallest one has no literal of its own."""
+    value = signed(bits)
+    return f"{value}L" if value > -(1 << 63) else "(-9223372036854775807L - 1L)"
+
+
+def array_dhash(values: str, length: int, row_width: int | None = None) -> Column:
+    """Difference hash of a grid stored row by row in the array column ``values``; first comparison is the highest bit.
 
     ``row_width`` None compares along the whole array; otherwise the last value
     of a row is not compared with the first of the next. The comparison is
@@ -33,11 +38,7 @@ def array_dhash(values: Column, length: int, row_width: int | None = None) -> Co
     if len(left) > 64:
         raise ValueError("at most 64 comparisons fit in a fingerprint")
     top = len(left) - 1
-    bits = [
-        F.when(values[i] > values[i + 1], F.lit(signed(1 << (top - k)))).otherwise(F.lit(0))
-        for k, i in enumerate(left)
-    ]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+    return F.expr(" | ".join(f"if({values}[{i}] > {values}[{i + 1}], {sql_long(1 << (top - k))}, 0L)" for k, i in enumerate(left)))
 
 
 def block_masks(blocks: int, within: int = ALL_BITS) -> list[int]:
@@ -52,7 +53,7 @@ def block_combos(blocks: int, distance: int) -> list[tuple[int, ...]]:
     return list(combinations(range(blocks), blocks - distance))
 
 
-def band_keys(fp: Column, distance: int = 5, blocks: int = 8) -> Column:
+def band_keys(fp: str, distance: int = 5, blocks: int = 8) -> Column:
     """Array of (combo, value): the fingerprint under the mask of each choice of blocks.
 
     Two fingerprints within ``distance`` differ in at most ``distance`` blocks, so
@@ -60,10 +61,6 @@ def band_keys(fp: Column, distance: int = 5, blocks: int = 8) -> Column:
     no pair.
     """
     masks = block_masks(blocks)
-    return F.array(*[
-        F.struct(
-            F.lit(c).alias("combo"),
-            fp.bitwiseAND(F.lit(signed(sum(masks[i] for i in combo)))).alias("value"),
-        )
-        for c, combo in enumerate(block_combos(blocks, distance))
-    ])
+    return F.expr("array(" + ", ".join(
+        f"named_struct('combo', {c}, 'value', {fp} & {sql_long(sum(masks[i] for i in combo))})"
+        for c, combo in enumerate(block_combos(blocks, distance))) + ")")

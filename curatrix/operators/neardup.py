@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from curatrix import conventions as cv
-from curatrix.functions.bits import ALL_BITS, band_keys, block_combos, block_masks, hamming, signed
+from curatrix.functions.bits import ALL_BITS, band_keys, block_combos, block_masks, sql_long
 from curatrix.session import materialize
 
 HOT_BUCKET = 20_000
@@ -25,9 +25,10 @@ HOT_BUCKET = 20_000
 
 # --- pairs of distinct fingerprints ------------------------------------------
 
-def _matching_blocks_before(x: Column, masks: Sequence[Column], last: Column) -> Column:
-    return reduce(lambda a, b: a + b, [
-        F.when((F.lit(i) < last) & (x.bitwiseAND(m) == 0), 1).otherwise(0) for i, m in enumerate(masks)])
+def _matching_blocks_before(masks: Sequence[str], last: str) -> str:
+    """SQL for the number of blocks in front of ``last`` on which fp_a and fp_b agree."""
+    return "(" + " + ".join(
+        f"if({i} < {last} AND ((fp_a ^ fp_b) & {m}) = 0L, 1, 0)" for i, m in enumerate(masks)) + ")"
 
 
 def fingerprint_pairs(
@@ -61,7 +62,7 @@ def fingerprint_pairs(
     combos = block_combos(blocks, distance)
     need = blocks - distance
     keyed = (
-        fps.select(*within, "fp", *keep, F.explode(band_keys(F.col("fp"), distance, blocks)).alias("k"))
+        fps.select(*within, "fp", *keep, F.explode(band_keys("fp", distance, blocks)).alias("k"))
         .select(*within, "fp", *keep, "k.combo", "k.value")
     )
     key = [*within, "combo", "value"]
@@ -71,49 +72,39 @@ def fingerprint_pairs(
         .groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(2 * probe * F.col("_n") > hot_bucket).drop("_n")
     )
 
-    lasts = F.lit([c[-1] for c in combos])
-    level_one = [F.lit(signed(m)) for m in block_masks(blocks)]
+    level_one = [sql_long(m) for m in block_masks(blocks)]
+    last_of = "array(" + ", ".join(str(c[-1]) for c in combos) + ")"
+    first_agreement = f"{_matching_blocks_before(level_one, last_of + '[combo]')} = {need - 1}"
 
-    def first_agreement(x: Column) -> Column:
-        return _matching_blocks_before(x, level_one, lasts[F.col("combo")]) == need - 1
+    def sided(df: DataFrame, on: list[str], suffix: str) -> DataFrame:
+        return df.select(*on, *[F.col(c).alias(c + suffix) for c in ("fp", *keep)])
 
-    def paired(side: DataFrame, on: list[str], extra) -> DataFrame:
-        left = side.select(*on, *[F.col(c).alias(f"{c}_a") for c in ("fp", *keep)])
-        right = side.select(*on, *[F.col(c).alias(f"{c}_b") for c in ("fp", *keep)])
-        return _verified(left, right, on, extra)
-
-    def _verified(left: DataFrame, right: DataFrame, on: list[str], extra) -> DataFrame:
-        x = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
-        joined = left.join(right, on).where(F.col("fp_a") < F.col("fp_b"))
+    def verified(left: DataFrame, right: DataFrame, on: list[str], tests: str) -> DataFrame:
+        joined = sided(left, on, "_a").join(sided(right, on, "_b"), on).where("fp_a < fp_b")
         if "sub" in on:
             joined = joined.withColumn("_masks", masks_of)
         if condition is not None:
             joined = joined.where(condition("_a", "_b"))
-        return joined.where((F.bit_count(x) <= distance) & first_agreement(x) & extra(x)).select(
-            *within, "fp_a", "fp_b", F.bit_count(x).cast("int").alias("distance"),
+        return joined.where(f"bit_count(fp_a ^ fp_b) <= {distance} AND {tests}").select(
+            *within, "fp_a", "fp_b", F.expr("cast(bit_count(fp_a ^ fp_b) AS int) AS distance"),
             *[f"{c}{s}" for c in keep for s in ("_a", "_b")])
 
     if rows is not None and rows <= hot_bucket:
-        return paired(keyed, key, lambda x: F.lit(True))
-    calm = paired(keyed.join(crowded, key, "left_anti"), key, lambda x: F.lit(True))
+        return verified(keyed, keyed, key, first_agreement)
+    quiet = keyed.join(crowded, key, "left_anti")
+    calm = verified(quiet, quiet, key, first_agreement)
 
     # Second cut of crowded buckets, on the bits that their own key leaves free.
     free_masks = [
-        [signed(m) for m in block_masks(blocks, ALL_BITS & ~sum(block_masks(blocks)[i] for i in combo))]
+        "array(" + ", ".join(sql_long(m) for m in block_masks(blocks, ALL_BITS & ~sum(block_masks(blocks)[i] for i in combo))) + ")"
         for combo in combos
     ]
-    sub_combos = block_combos(blocks, distance)
-    masks_of = F.lit(free_masks)[F.col("combo")]
-
-    def sub_value(sub: tuple[int, ...]) -> Column:
-        parts = [F.col("fp").bitwiseAND(F.col("_masks")[i]) for i in sub]
-        return reduce(lambda a, b: a.bitwiseOR(b), parts)
-
+    masks_of = F.expr("array(" + ", ".join(free_masks) + ")[combo]")
+    subs = ", ".join(
+        f"named_struct('sub', {s}, 'sub_value', {' | '.join(f'(fp & _masks[{i}])' for i in sub)})"
+        for s, sub in enumerate(block_combos(blocks, distance)))
     recut = keyed.join(crowded, key, "left_semi").withColumn("_masks", masks_of).select(
-        *key, "fp", *keep,
-        F.explode(F.array(*[
-            F.struct(F.lit(s).alias("sub"), sub_value(sub).alias("sub_value")) for s, sub in enumerate(sub_combos)
-        ])).alias("s"),
+        *key, "fp", *keep, F.expr(f"explode(array({subs})) AS s")
     ).select(*key, "fp", *keep, "s.sub", "s.sub_value")
     sub_key = [*key, "sub", "sub_value"]
     tiles = (
@@ -127,14 +118,8 @@ def fingerprint_pairs(
     right = tiled.withColumn("_col", F.col("_tile")).withColumn("_row", F.explode(every))
     on = [*sub_key, "_row", "_col"]
 
-    def first_sub_agreement(x: Column) -> Column:
-        return _matching_blocks_before(
-            x, [F.col("_masks")[i] for i in range(blocks)], F.lit([s[-1] for s in sub_combos])[F.col("sub")]) == need - 1
-
-    dense = _verified(
-        left.select(*on, *[F.col(c).alias(f"{c}_a") for c in ("fp", *keep)]),
-        right.select(*on, *[F.col(c).alias(f"{c}_b") for c in ("fp", *keep)]),
-        on, first_sub_agreement)
+    agreement = _matching_blocks_before([f"_masks[{i}]" for i in range(blocks)], last_of + "[sub]")
+    dense = verified(left, right, on, f"{first_agreement} AND {agreement} = {need - 1}")
     return calm.unionByName(dense)
 
 
@@ -167,20 +152,19 @@ def _scope_on_masks(scope: str, splits, classes):
     """Can two masks hold a pair of cells that the scope wants?"""
     cells = _cell_list(splits, classes)
 
-    def group_mask(mask: Column, position: int, names: Sequence[str]) -> Column:
-        parts = [F.when(mask.bitwiseAND(F.lit(sum(1 << i for i, cell in enumerate(cells) if cell[position] == name))) != 0,
-                        F.lit(1 << k)).otherwise(F.lit(0)) for k, name in enumerate(names)]
-        return reduce(lambda a, b: a.bitwiseOR(b), parts)
+    def group_mask(mask: str, position: int, names: Sequence[str]) -> str:
+        wanted = [sum(1 << i for i, cell in enumerate(cells) if cell[position] == name) for name in names]
+        return "(" + " | ".join(f"if({mask} & {w} <> 0, {1 << k}, 0)" for k, w in enumerate(wanted)) + ")"
 
     def condition(a: str, b: str) -> Column:
-        left, right = F.col(f"mask{a}"), F.col(f"mask{b}")
+        left, right = f"mask{a}", f"mask{b}"
         if scope == "same_split_class":
-            return left.bitwiseAND(right) != 0
+            return F.expr(f"{left} & {right} <> 0")
         if scope == "all":
             return F.lit(True)
         position, names = (0, splits) if scope == "cross_split" else (1, classes)
         one, two = group_mask(left, position, names), group_mask(right, position, names)
-        return (one != two) | (F.bit_count(one) > 1)
+        return F.expr(f"{one} <> {two} OR bit_count({one}) > 1")
 
     return condition
 

@@ -63,9 +63,8 @@ SELECT vec_id, CAST(list_sum(list_transform(range(1, 64), lambda i:
          CASE WHEN embedding[i] > embedding[i + 1] THEN CAST(1 AS BIGINT) << CAST(55 - (i - 1 - (i - 1) // 8) AS BIGINT) ELSE 0 END)) AS BIGINT) AS grid_dhash
 FROM embeddings""")
 def array_dhash_query(spark, d):
-    v = F.col("embedding")
     return t.vec_dhash_input(spark, d).select(
-        "vec_id", array_dhash(v, 64).cast("bigint").alias("dhash"), array_dhash(v, 64, 8).cast("bigint").alias("grid_dhash"))
+        "vec_id", array_dhash("embedding", 64).cast("bigint").alias("dhash"), array_dhash("embedding", 64, 8).cast("bigint").alias("grid_dhash"))
 
 
 @query("hamming_distance", r"""
@@ -73,7 +72,7 @@ WITH h AS (SELECT vec_id, CAST(list_sum(list_transform(range(1, 64), lambda i:
          CASE WHEN embedding[i] > embedding[i + 1] THEN CAST(1 AS BIGINT) << CAST(63 - i AS BIGINT) ELSE 0 END)) AS UBIGINT) AS x FROM embeddings)
 SELECT a.vec_id AS id_a, b.vec_id AS id_b, CAST(bit_count(xor(a.x, b.x)) AS INTEGER) AS distance FROM h a JOIN h b ON b.vec_id = a.vec_id + 1""")
 def hamming_distance(spark, d):
-    hashed = t.vec_dhash_input(spark, d).select("vec_id", array_dhash(F.col("embedding"), 64).alias("x"))
+    hashed = t.vec_dhash_input(spark, d).select("vec_id", array_dhash("embedding", 64).alias("x"))
     following = hashed.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("id_b"), F.col("x").alias("y"))
     return hashed.join(following, "vec_id").select(
         F.col("vec_id").alias("id_a"), "id_b", hamming(F.col("x"), F.col("y")).cast("int").alias("distance"))
@@ -87,7 +86,7 @@ keyed AS (SELECT item_id, combo, ((fp >> CAST(8 * i AS UBIGINT)) & 255) * 65536
 buckets AS (SELECT combo, v, count(*) AS n FROM keyed GROUP BY combo, v)""") + r"""
 SELECT CAST(combo AS INTEGER) AS combo, count(*) AS n_keys, CAST(sum(n) AS BIGINT) AS n_items, max(n) AS largest FROM buckets GROUP BY combo""")
 def band_keys_query(spark, d):
-    keyed = t.fingerprints(spark, d).select(F.explode(band_keys(F.col("fp"))).alias("k")).select("k.*")
+    keyed = t.fingerprints(spark, d).select(F.explode(band_keys("fp")).alias("k")).select("k.*")
     return keyed.groupBy("combo", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("combo").agg(
         F.count(F.lit(1)).alias("n_keys"), F.sum("n").alias("n_items"), F.max("n").alias("largest"))
 

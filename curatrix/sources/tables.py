@@ -6,14 +6,12 @@ the table; text is dropped as soon as the features are taken from it.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix import conventions as cv
 from curatrix.functions import scalar as sc
-from curatrix.functions.bits import signed
+from curatrix.functions.bits import sql_long
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -139,18 +137,11 @@ def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         "item_id", "split", "class", sc.content_hash(F.col("text")).alias("content_md5"),
         F.transform(F.array_distinct(tokens_of(F.col("text"))), token_bits).alias("h"))
 
-    def pair_sum(i: int) -> Column:
-        return F.aggregate("h", F.lit(0).cast("bigint"),
-                           lambda acc, h: acc + F.shiftrightunsigned(h, i).bitwiseAND(F.lit(PAIR_OF_BITS)))
-
-    votes = hashed.select("item_id", "split", "class", "content_md5", F.size("h").cast("bigint").alias("n"),
-                          *[pair_sum(i).alias(f"c{i}") for i in range(32)])
-    won = [F.when(2 * F.col(f"c{i}").bitwiseAND(F.lit(LOW_HALF)) > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0))
-           for i in range(32)]
-    won += [F.when(2 * F.shiftrightunsigned(F.col(f"c{i}"), 32) > F.col("n"), F.lit(signed(1 << (i + 32)))).otherwise(F.lit(0))
-            for i in range(32)]
-    return votes.select("item_id", "split", "class", "content_md5",
-                        reduce(lambda a, b: a.bitwiseOR(b), won).alias("fp"))
+    sums = [f"aggregate(h, 0L, (acc, x) -> acc + (shiftrightunsigned(x, {i}) & {PAIR_OF_BITS}L)) AS c{i}" for i in range(32)]
+    votes = hashed.selectExpr("item_id", "split", "class", "content_md5", "cast(size(h) AS bigint) AS n", *sums)
+    won = [f"if(2 * (c{i} & {LOW_HALF}L) > n, {sql_long(1 << i)}, 0L)" for i in range(32)]
+    won += [f"if(2 * shiftrightunsigned(c{i}, 32) > n, {sql_long(1 << (i + 32))}, 0L)" for i in range(32)]
+    return votes.selectExpr("item_id", "split", "class", "content_md5", " | ".join(won) + " AS fp")
 
 
 def vec_dhash_input(spark: SparkSession, folder: str) -> DataFrame:
