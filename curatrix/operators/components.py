@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from curatrix import conventions as cv
 from curatrix.operators.neardup import near_dup_blocks
+from curatrix.operators.profile import one_of
 from curatrix.operators.skew import lookup_join
 from curatrix.session import materialize
 
@@ -65,8 +66,8 @@ def spanning_groups(items: DataFrame, key: str = "content_md5") -> DataFrame:
     return (
         items.where(F.col(key).isNotNull()).groupBy(key)
         .agg(F.min("item_id").alias("copy_node"), F.count(F.lit(1)).alias("copies"),
-             F.min("split").alias("_lo"), F.max("split").alias("_hi"))
-        .where("_lo <> _hi").drop("_lo", "_hi")
+             F.bit_or(one_of(cv.SPLITS, "split")).alias("_splits"))
+        .where("bit_count(_splits) > 1").drop("_splits")
     )
 
 
@@ -137,11 +138,15 @@ def _priority(split: Column, order: Sequence[str]) -> Column:
 
 def component_summary(members: DataFrame, order: Sequence[str] = cv.KEEP_PRIORITY) -> DataFrame:
     """Per component: size, number of splits and the item that stays (best split first, then smallest id)."""
-    return members.groupBy("component").agg(
+    first = [f"_first_{i}" for i in range(len(order))]
+    grouped = members.groupBy("component").agg(
         F.count(F.lit(1)).alias("n_items"),
-        F.min(F.struct(_priority(F.col("split"), order).alias("rank"), F.col("item_id").alias("item_id"))).alias("keep"),
-        *[F.count_if(F.col("split") == s).alias(f"n_{s.lower()}") for s in order],
-    ).withColumn("n_splits", sum((F.when(F.col(f"n_{s.lower()}") > 0, 1).otherwise(0) for s in order), F.lit(0)))
+        *[F.min(F.when(F.col("split") == s, F.col("item_id"))).alias(c) for s, c in zip(order, first)])
+    best = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(i)) for i, c in enumerate(first)])
+    return grouped.select(
+        "component", "n_items",
+        F.struct(best.alias("rank"), F.coalesce(*first).alias("item_id")).alias("keep"),
+        sum((F.col(c).isNotNull().cast("int") for c in first), F.lit(0)).alias("n_splits"))
 
 
 def quarantine(members: DataFrame, order: Sequence[str] = cv.KEEP_PRIORITY, keep: str = "one") -> DataFrame:

@@ -18,15 +18,18 @@ def with_outcome(df: DataFrame, threshold: float, label: str = "label") -> DataF
 
 def compare_cohorts(df: DataFrame, metrics: Sequence[str], one: str = "FP", other: str = "TN", flag_percent: float = 15.0) -> DataFrame:
     """Mean and population deviation of each metric in two outcome cohorts, difference and flag."""
-    long = df.where(F.col("outcome").isin(one, other)).select("outcome", F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("x")).select("outcome", "x.*")
-
-    def of(cohort: str) -> Column:
-        return F.when(F.col("outcome") == cohort, F.col("v"))
-
-    stats = long.groupBy("metric").agg(
-        F.avg(of(one)).alias("a_mean"), F.stddev_pop(of(one)).alias("a_std"),
-        F.avg(of(other)).alias("b_mean"), F.stddev_pop(of(other)).alias("b_std"))
+    def of(cohort: str, metric: str) -> Column:
+        return F.when(F.col("outcome") == cohort, F.col(metric).cast("double"))
+
+    # One pass over the rows; the single result row is then turned on its side.
+    wide = df.where(F.col("outcome").isin(one, other)).agg(*[
+        f(of(cohort, metric)).alias(f"{metric}_{name}")
+        for metric in metrics
+        for cohort, side in ((one, "a"), (other, "b"))
+        for f, name in ((F.avg, f"{side}_mean"), (F.stddev_pop, f"{side}_std"))])
+    stats = wide.select(F.explode(F.array(*[
+        F.struct(F.lit(metric).alias("metric"), *[F.col(f"{metric}_{n}").alias(n) for n in ("a_mean", "a_std", "b_mean", "b_std")])
+        for metric in metrics])).alias("s")).select("s.*")
     delta = F.col("a_mean") - F.col("b_mean")
     percent = F.abs(delta) / F.greatest(F.abs("b_mean"), F.lit(1e-6)) * 100
     return stats.where(delta.isNotNull()).select(

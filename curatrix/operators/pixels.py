@@ -3,7 +3,8 @@
 Input is a table of decoded images with the columns of Spark's image source
 (height, width, nChannels, data in BGR order). ``mapInPandas`` hands Arrow batches
 of them to small NumPy helpers and returns one flat row per image; everything
-after that works on the feature table. Hashes use an area-mean resize, so they
+after that works on the feature table. Spark bounds the batches by bytes
+(spark.sql.execution.arrow.maxBytesPerBatch), whatever the size of an image. Hashes use an area-mean resize, so they
 agree in meaning with other resize filters, not bit for bit.
 """
 
@@ -205,11 +206,23 @@ def _per_image(df: DataFrame, carry: Sequence[str], schema: str, work: Callable[
     return df.select(*needed).mapInPandas(run, f"{carried}, {schema}")
 
 
-def pixel_features(images: DataFrame, family: str, carry: Sequence[str] = ("item_id",)) -> DataFrame:
-    """One flat feature row per image; families: basic, artifacts, forensics, residual."""
-    helper, schema = FAMILIES[family]
-    return _per_image(images, carry, schema,
-                      lambda r: helper(to_array(r.height, r.width, r.nChannels, r.data), r.file_size))
+def pixel_features(images: DataFrame, families: str | Sequence[str], carry: Sequence[str] = ("item_id",)) -> DataFrame:
+    """One flat feature row per image; families: basic, artifacts, forensics, residual.
+
+    Several families share one pass over the pixels; a column that two of them
+    have comes once.
+    """
+    chosen = [families] if isinstance(families, str) else list(families)
+    helpers = [FAMILIES[f][0] for f in chosen]
+    schema = ", ".join(dict.fromkeys(part for f in chosen for part in FAMILIES[f][1].split(", ")))
+
+    def work(r) -> dict:
+        bgr, out = to_array(r.height, r.width, r.nChannels, r.data), {}
+        for helper in helpers:
+            out |= helper(bgr, r.file_size)
+        return out
+
+    return _per_image(images, carry, schema, work)
 
 
 def feature_vectors(images: DataFrame, size: int = 8, carry: Sequence[str] = ("item_id",)) -> DataFrame:

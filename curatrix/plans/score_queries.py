@@ -263,7 +263,7 @@ SELECT metric, round(a, 3) AS fp_mean, round(sa, 3) AS fp_std, round(b, 3) AS tn
        round(abs(a - b) / greatest(abs(b), 1e-6::DOUBLE) * 100, 1) AS pct_diff, abs(a - b) / greatest(abs(b), 1e-6::DOUBLE) * 100 > 15 AS flagged FROM st WHERE a - b IS NOT NULL""")
 def compare_cohorts(spark, d):
     rows = scored(spark, d, "item_id", "label", "p_micro")
-    joined = t.item_metrics(spark, d).select("item_id", *COHORT_METRICS).join(rows, "item_id")
+    joined = materialize(t.item_metrics(spark, d).select("item_id", *COHORT_METRICS), "metrics").join(rows, "item_id")
     return inv.compare_cohorts(inv.with_outcome(joined, 0.52), COHORT_METRICS)
 
 

@@ -27,8 +27,12 @@ def scan_items(spark: SparkSession, root: str, extensions: Sequence[str] = cv.EX
         sc.file_name(path).alias("stem"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"), "content")
 
 
-def scan_images(spark: SparkSession, root: str, extensions: Sequence[str] = cv.EXTENSIONS) -> DataFrame:
-    """Decoded images; a file that does not decode is a row with ``is_corrupt`` and no pixels, never a failure."""
+def scan_images(spark: SparkSession, root: str, extensions: Sequence[str] = cv.EXTENSIONS, hashed: bool = True) -> DataFrame:
+    """Decoded images; a file that does not decode is a row with ``is_corrupt`` and no pixels, never a failure.
+
+    The content hash needs the file bytes next to the decoder, a second read of
+    each file; ``hashed=False`` leaves it out (null) where it is known already.
+    """
     known = scan_items(spark, root, extensions)
     names = ",".join(x for e in extensions for x in (e.lower(), e.upper()))
     decoded = (
@@ -36,7 +40,7 @@ def scan_images(spark: SparkSession, root: str, extensions: Sequence[str] = cv.E
         .option("pathGlobFilter", "*.{" + names + "}").load(root)
         .select(F.regexp_replace("image.origin", r"^file:/*", "/").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
     )
-    both = known.select("path", "split", "class", "stem", "file_size", sc.content_hash(F.col("content")).alias("content_md5")).join(decoded, "path", "left")
+    both = known.select("path", "split", "class", "stem", "file_size", (sc.content_hash(F.col("content")) if hashed else F.lit(None).cast("string")).alias("content_md5")).join(decoded, "path", "left")
     bad = F.coalesce(F.col("height") <= 0, F.lit(True))
     return both.select(
         "path", "split", "class", "stem", "file_size", "content_md5",

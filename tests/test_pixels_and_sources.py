@@ -182,6 +182,13 @@ def test_resize_and_forensics_against_loops():
         assert math.isclose(got[key], value, rel_tol=1e-6, abs_tol=1e-6), key
 
 
+def test_families_share_a_pass(scanned):
+    both = {r["item_id"]: r.asDict() for r in px.pixel_features(scanned, ["basic", "artifacts", "residual"]).collect()}
+    for family in ("basic", "artifacts", "residual"):
+        for r in px.pixel_features(scanned, family).collect():
+            assert all(both[r["item_id"]][c] == v for c, v in r.asDict().items())
+
+
 def test_vectors_and_augmentation(scanned):
     good = scanned.where("not is_corrupt")
     row = px.feature_vectors(good.where("item_id = 'flat.png'"), 4).first()
