@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.operators.profile import head_per_list, top_k
+from curatrix.operators.profile import top_k
 
 AUDIT_REPORT = (
     "exact_duplicates map<string,array<string>>, near_duplicates array<struct<path1:string,path2:string,distance:int>>, "
