@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import bpe, decontaminate, simhash
+from curatrix.llm import bpe, decontaminate, line_dedup, quality_rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,48 @@ def list_digest(values: Column, separator: str) -> Column:
     return F.sha2(F.concat_ws(separator, values.cast("array<string>")), 256)
 
 
+@query("op1_quality_rules", """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
+g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM w, unnest(range(1, len(w) - 1)) AS u(i)),
+d AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+p AS (SELECT r, sum(least(3, coalesce(i - before, 3))) AS n_repeat FROM (
+        SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM d) GROUP BY r),
+m AS (SELECT r, doc_id, source, len(w)::BIGINT AS n_words, len(list_aggregate(w, 'string_agg', ''))::BIGINT AS word_chars,
+             len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+             (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words
+      FROM w LEFT JOIN p USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*)::DOUBLE AS n, count_if(base_failed)::DOUBLE AS f FROM b WHERE source IS NOT NULL GROUP BY source),
+s AS (SELECT count(*) AS k, sum(n) AS n, sum(f) AS f, sum(n * n) AS nn, sum(f * f / n) AS ff FROM h),
+a AS (SELECT *, least(greatest(f / n, 1e-6), 1 - 1e-6) AS mean, ff - n * (f / n) * (f / n) AS spread FROM s),
+c AS (SELECT *, mean * (1 - mean) * (n - nn / n - (k - 1)) AS room FROM a),
+e AS (SELECT mean, least(greatest(CASE WHEN room > 0 THEN (spread - mean * (1 - mean) * (k - 1)) / room ELSE 0 END, 1e-6), 1 - 1e-6) AS within FROM c),
+q AS (SELECT mean, (1 - within) / within AS strength FROM e),
+bad AS (SELECT source FROM h, q WHERE (f + mean * strength) / (n + strength) > 0.5)
+SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM bad)) AS kept FROM b""")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(table(spark, folder, "documents")).drop("host")
+
+
+@query("op5_line_dedup", """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents),
+l AS (SELECT r, doc_id, source, i, string_split(text, chr(10))[i] AS line FROM t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
+w AS (SELECT *, regexp_matches(line, '[^\\x20\\x09-\\x0D]') AS has_word FROM l),
+n AS (SELECT source, count(*) AS total FROM t WHERE source IS NOT NULL GROUP BY source),
+f AS (SELECT source, line FROM (SELECT source, line, count(DISTINCT r) AS pages FROM w WHERE has_word AND source IS NOT NULL GROUP BY ALL)
+      JOIN n USING (source) WHERE pages >= 5 AND pages > 0.1::DOUBLE * total),
+m AS (SELECT w.*, f.line IS NOT NULL AS gone FROM w LEFT JOIN f ON w.source = f.source AND w.line = f.line),
+k AS (SELECT r, count_if(has_word) AS n_lines, count_if(gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept
+      FROM m GROUP BY r)
+SELECT t.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(kept) AS kept_sha256 FROM t LEFT JOIN k USING (r)""")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = line_dedup.drop_boilerplate(table(spark, folder, "documents"))
+    return cleaned.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("doc.text", 256).alias("kept_sha256"))
+
+
 @query("op6_bpe")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     coded = bpe.round_trip(
