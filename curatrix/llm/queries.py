@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import bpe, decontaminate, line_dedup, quality_rules, simhash
+from curatrix.llm import bpe, decontaminate, line_dedup, quality_rules, simhash, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,20 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents")).drop("host")
 
 
+@query("op4_substring_dedup", """
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM t, unnest(range(1, len(w) - 18)) AS u(i)),
+d AS (SELECT doc_id, i FROM (SELECT doc_id, i, rank() OVER (PARTITION BY g ORDER BY doc_id, i) AS place FROM g) WHERE place > 1),
+c AS (SELECT DISTINCT doc_id, i + k AS pos FROM d, unnest(range(20)) AS u(k)),
+p AS (SELECT doc_id, pos, w[pos] AS word FROM t, unnest(range(1, len(w) + 1)) AS u(pos)),
+k AS (SELECT p.doc_id, count(c.pos) AS n_removed, string_agg(word, ' ' ORDER BY p.pos) FILTER (c.pos IS NULL) AS kept
+      FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.pos = c.pos GROUP BY p.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN k USING (doc_id)""")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.drop_repeats(table(spark, folder, "documents"))
+
+
 @query("op5_line_dedup", """
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents),
 l AS (SELECT r, doc_id, source, i, string_split(text, chr(10))[i] AS line FROM t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
@@ -85,7 +99,21 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-@query("op8_decontamination")
+@query("op8_decontamination", """
+WITH b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+x AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+      FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(i) WHERE len(w) > 0),
+t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+d AS (SELECT r, i, l.n, array_to_string(w[i:i + l.n - 1], ' ') AS g
+      FROM t, (SELECT DISTINCT n FROM x) AS l, unnest(range(1, len(w) - l.n + 2)) AS u(i)),
+m AS (SELECT r, i, d.n, item FROM d JOIN x ON d.n = x.n AND d.g = x.g),
+h AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM m, unnest(range(m.n)) AS u(k) GROUP BY r),
+o AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM t LEFT JOIN h USING (r) LEFT JOIN o USING (r)""")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     n_hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s[1] - s[0])")
