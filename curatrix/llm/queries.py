@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import bpe, decontaminate, line_dedup, quality_rules, simhash, substring_dedup
+from curatrix.llm import bpe, decontaminate, line_dedup, quality_rules, simhash, substring_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,16 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents")).drop("host")
 
 
+TOKEN_LIMIT = 4096
+
+
+@query("op3_token_counts")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    counted = token_counts.encode(
+        table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 @query("op4_substring_dedup", """
 WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM t, unnest(range(1, len(w) - 18)) AS u(i)),
