@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import bpe, decontaminate, line_dedup, quality_rules, simhash, substring_dedup, token_counts, toxicity
+from curatrix.llm import bpe, decontaminate, html_main, line_dedup, quality_rules, simhash, substring_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents")).drop("host")
 
 
+@query("op2_html_main_text")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return html_main.extract(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 TOKEN_LIMIT = 4096
 
 
