@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import bpe, decontaminate, html_main, line_dedup, quality_rules, simhash, substring_dedup, token_counts, toxicity
+from curatrix.llm import bpe, decontaminate, html_main, line_dedup, quality_rules, secret_scan, simhash, substring_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -142,6 +142,13 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         list_digest(F.array_sort("items"), ",").alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+@query("op9_secret_scan")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "word_pos", "kind", F.length("value").cast("long").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 @query("op10_simhash")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, folder, "documents"))
