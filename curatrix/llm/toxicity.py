@@ -73,7 +73,7 @@ SYMBOL[97:123] = np.arange(1, 27)
 SYMBOL[65:91] = np.arange(1, 27)
 SYMBOL[128:] = 27
 SYMBOL[48:58] = 28
-COST_LEET, COST_SIGN, COST_DROP_REPEAT, COST_KEEP_GAP, COST_DROP_GAP = 0.5, 4.0, 0.5, 3.0, 0.2
+COST_LEET, COST_SIGN, COST_DROP_REPEAT, COST_KEEP_GAP, COST_DROP_GAP = 0.5, 4.0, 0.5, 8.0, 0.2
 
 COUNT_BYTES = 4 << 20
 SAMPLE_ROWS = 30_000
