@@ -241,7 +241,8 @@ def repeated_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw(text_col).alias("raw"))
     seen = written(document_keys(source, window, rounds), "document-keys")
     whole = seen.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
-    first = whole.groupBy("sha").agg(F.min("doc_id").alias("copy_of"))
+    # Written, so that the join below gets exchanges of its own, whose large partitions (a text with many copies) are split.
+    first = written(whole.groupBy("sha").agg(F.min("doc_id").alias("copy_of")), "first-copies")
     digest = written(
         seen.select("doc_id", "n_words", "sha").join(first, "sha", "left").withColumn(
             "copy_of", F.when(F.col("n_words") >= window, F.col("copy_of"))), "digests")
