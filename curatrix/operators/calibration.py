@@ -49,6 +49,8 @@ def fit_temperature(df: DataFrame, logit: str = "logit", label: str = "label", t
         beta = following
         if done:
             break
+    else:
+        raise RuntimeError(f"the temperature did not settle in {max_steps} steps")
     return 1.0 / beta
 
 
@@ -110,7 +112,7 @@ def honest_eval(validation: DataFrame, test: DataFrame, flips: DataFrame | None
     def scaled(df: DataFrame) -> DataFrame:
         return df.withColumn("p_micro", _micro(sc.sigmoid(F.col("logit"), temperature)))
 
-    threshold = m.choose_threshold(m.threshold_sweep(scaled(validation), m.CALIBRATION, label))
+    threshold = m.choose_threshold(m.threshold_sweep(scaled(validation), m.PUBLISHED, label))
     scored = scaled(test)
     scored = scored.withColumn("corrected", F.col(label)) if flips is None else lb.apply_corrections(scored, flips, label)
     report = lb.flip_report(scored, threshold, label, "corrected")
@@ -124,9 +126,13 @@ def honest_eval(validation: DataFrame, test: DataFrame, flips: DataFrame | None
 # --- baseline scoring --------------------------------------------------------
 
 def fit_baseline(train: DataFrame, features: Sequence[str], label: str = "label") -> PipelineModel:
-    """Standardised logistic regression over feature columns, in place of an image network."""
+    """Standardised logistic regression over feature columns, in place of an image network.
+
+    Rows that lack a feature cannot be learnt from; ``score`` gives them a null score.
+    """
+    train = train.dropna(subset=[*features, label])
     return Pipeline(stages=[
-        VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="skip"),
+        VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="keep"),
         StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True),
         LogisticRegression(featuresCol="_features", labelCol=label, rawPredictionCol="_margin",
                            probabilityCol="_probability", predictionCol="_prediction", maxIter=100, tol=1e-9),
@@ -134,10 +140,10 @@ def fit_baseline(train: DataFrame, features: Sequence[str], label: str = "label"
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Add logit, p and p_micro."""
+    """Add logit, p and p_micro to every row; they are null where a feature is missing."""
     scored = model.transform(df)
-    margin = vector_to_array("_margin")[1]
-    p = vector_to_array("_probability")[1]
+    margin = F.nanvl(vector_to_array("_margin")[1], F.lit(None).cast("double"))
+    p = F.nanvl(vector_to_array("_probability")[1], F.lit(None).cast("double"))
     return scored.withColumns({"logit": margin, "p": p, "p_micro": _micro(p)}).drop(
         "_raw", "_features", "_margin", "_probability", "_prediction")
 

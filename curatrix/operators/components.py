@@ -35,9 +35,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if current.isEmpty():
             break
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Written, so that the joins have exchanges of their own and a hub's large partition is split.
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, "large-star")
+        root = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "roots")
         small = (
             large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(root.select("u", F.col("m").alias("v")))

@@ -13,7 +13,7 @@ from curatrix.operators.profile import histogram
 
 
 def exclude(df: DataFrame, bad: DataFrame, key: str = "item_id") -> DataFrame:
-    return df.join(bad.select(key).distinct(), key, "left_anti")
+    return df.join(bad.select(key), key, "left_anti")
 
 
 def existing_only(edges: DataFrame, items: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
@@ -23,8 +23,13 @@ def existing_only(edges: DataFrame, items: DataFrame, a: str = "id_a", b: str =
 
 
 def apply_corrections(df: DataFrame, flips: DataFrame, label: str = "label") -> DataFrame:
-    """Add ``corrected``: the label of the manifest (item_id, corrected) where it names the item, else the stored one."""
-    named = flips.select("item_id", F.col("corrected").alias("_flip"))
+    """Add ``corrected``: the label of the manifest (item_id, corrected) where it names the item, else the stored one.
+
+    A manifest that names an item more than once counts once: by its last line where
+    it has a column ``line``, else by its largest label.
+    """
+    order = "line" if "line" in flips.columns else "corrected"
+    named = flips.groupBy("item_id").agg(F.max_by("corrected", order).alias("_flip"))
     return df.join(named, "item_id", "left").withColumn("corrected", F.coalesce("_flip", label)).drop("_flip")
 
 

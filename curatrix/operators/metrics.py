@@ -134,12 +134,12 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "p_micro") -> Data
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")), "folded")
     ranked = running_sums(folded, "p", F.floor(F.col("p") / 1000), ["pos"])
     totals = ranked.agg(
-        F.sum(F.col("neg") * (2 * F.col("pos_before") + F.col("pos"))).alias("twice"),
+        F.sum(F.col("neg").cast("decimal(19,0)") * (2 * F.col("pos_before") + F.col("pos")).cast("decimal(19,0)")).alias("twice"),
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     whole = F.col("n_pos").cast("double") * F.col("n_neg")
     return totals.select(
         F.col("n_pos"), F.col("n_neg"),
-        F.when(whole > 0, F.round(F.col("twice") / (2 * whole), 6)).otherwise(F.lit(0.5)).alias("auc"))
+        F.when(whole > 0, F.round(F.col("twice").cast("double") / (2 * whole), 6)).otherwise(F.lit(0.5)).alias("auc"))
 
 
 # --- losses ------------------------------------------------------------------

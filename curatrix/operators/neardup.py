@@ -39,7 +39,6 @@ def fingerprint_pairs(
     keep: Sequence[str] = (),
     condition=None,
     hot_bucket: int = HOT_BUCKET,
-    rows: int | None = None,
 ) -> DataFrame:
     """Pairs ``fp_a < fp_b`` of distinct fingerprints at most ``distance`` apart.
 
@@ -50,9 +49,7 @@ def fingerprint_pairs(
 
     A bucket of more than ``hot_bucket`` fingerprints is cut again on the bits its
     key leaves free, and what is still crowded is compared in tiles of at most
-    ``hot_bucket`` rows, so no task sees a whole hot bucket. ``rows`` is the size
-    of ``fps`` if known: up to ``hot_bucket`` of them cannot crowd any bucket, and
-    the second cut is left out of the plan.
+    ``hot_bucket`` rows, so no task sees a whole hot bucket.
 
     Which buckets count as crowded only decides where their pairs are compared,
     never whether: it is read off a fixed share of the fingerprints, so that the
@@ -89,8 +86,6 @@ def fingerprint_pairs(
             *within, "fp_a", "fp_b", F.expr("cast(bit_count(fp_a ^ fp_b) AS int) AS distance"),
             *[f"{c}{s}" for c in keep for s in ("_a", "_b")])
 
-    if rows is not None and rows <= hot_bucket:
-        return verified(keyed, keyed, key, first_agreement)
     quiet = keyed.join(crowded, key, "left_anti")
     calm = verified(quiet, quiet, key, first_agreement)
 
@@ -192,8 +187,7 @@ def near_dup_blocks(
     """All near-duplicate pairs as blocks of cells, scope ``cross_split``, ``cross_class``, ``same_split_class`` or ``all``."""
     fps = materialize(fingerprint_cells(items, splits, classes), "fingerprint-cells")
     pairs = fingerprint_pairs(fps.select("fp", "mask"), distance, blocks, keep=["mask"],
-                              condition=_scope_on_masks(scope, splits, classes), hot_bucket=hot_bucket,
-                              rows=fps.count())
+                              condition=_scope_on_masks(scope, splits, classes), hot_bucket=hot_bucket)
     side_a = fps.select(F.col("fp").alias("fp_a"), F.col("cells").alias("cells_a"))
     side_b = fps.select(F.col("fp").alias("fp_b"), F.col("cells").alias("cells_b"))
     apart = pairs.join(side_a, "fp_a").join(side_b, "fp_b").select("fp_a", "fp_b", "distance", "cells_a", "cells_b")
@@ -208,7 +202,7 @@ def near_dup_blocks(
     # Cells of one fingerprint: each unordered pair of cells once, and pairs inside a cell.
     once = (F.col("fp_a") != F.col("fp_b")) | (F.col("first_id_a") <= F.col("first_id_b"))
     inside = (F.col("fp_a") == F.col("fp_b")) & (F.col("first_id_a") == F.col("first_id_b"))
-    n_pairs = F.when(inside, F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a") * F.col("n_b")).cast("bigint")
+    n_pairs = F.when(inside, F.expr("n_a * (n_a - 1) div 2")).otherwise(F.col("n_a") * F.col("n_b"))
     return (
         opened.where(once & _scope_on_cells(scope, "_a", "_b"))
         .withColumn("n_pairs", n_pairs).where(F.col("n_pairs") > 0)

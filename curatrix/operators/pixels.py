@@ -95,6 +95,13 @@ def dhash(g: np.ndarray) -> int:
     return signed(int("".join("1" if b else "0" for b in bits), 2))
 
 
+def exact_variance(values: np.ndarray) -> float:
+    """Population variance of whole numbers, from whole-number sums."""
+    whole = values.astype(np.int64).ravel()
+    n, total = len(whole), int(whole.sum())
+    return (n * int((whole * whole).sum()) - total * total) / (n * n)
+
+
 # --- feature families --------------------------------------------------------
 
 def basic_features(bgr: np.ndarray, file_size: int) -> dict:
@@ -117,12 +124,12 @@ def artifact_features(bgr: np.ndarray, file_size: int) -> dict:
     top, bottom = bgr.max(axis=2).astype(np.float64), bgr.min(axis=2).astype(np.float64)
     saturation = np.where(top > 0, np.rint(255 * (top - bottom) / np.maximum(top, 1)), 0)
     return {
-        "laplacian_var": float(laplacian(g).var()),
+        "laplacian_var": exact_variance(laplacian(g)),
         "avg_dct_energy": float(energy.mean()),
-        "skin_smoothness_std": float(middle.std()) if middle.size else 0.0,
+        "skin_smoothness_std": float(np.sqrt(exact_variance(middle))) if middle.size else 0.0,
         "edge_density_pct": float((sobel_magnitude(g) > 150).mean() * 100),
         "brightness": float(g.mean()),
-        "contrast": float(g.std()),
+        "contrast": float(np.sqrt(exact_variance(g))),
         "saturation": float(saturation.mean()),
         "noise_level": float(np.abs(g - gaussian5(g)).mean()),
         "file_size_kb": file_size / 1024,

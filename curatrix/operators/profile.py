@@ -116,12 +116,15 @@ def profile(df: DataFrame, columns: Sequence[str] = PROFILE_COLUMNS, exact: bool
 
 
 def flag_rates(df: DataFrame, flags: Sequence[str] = FLAG_COLUMNS) -> DataFrame:
-    """Count and percentage of items per flag."""
-    totals = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f)).alias(f) for f in flags])
+    """Count and percentage of items per flag: of all items for ``is_corrupt``, of the readable ones for the others."""
+    totals = df.agg(F.count(F.lit(1)).alias("_all"), F.count_if(~F.col("is_corrupt")).alias("_valid"), *[F.count_if(F.col(f)).alias(f) for f in flags])
+
+    def percent(flag: str) -> Column:
+        n = F.col("_all" if flag == "is_corrupt" else "_valid")
+        return F.when(n > 0, F.round(100.0 * F.col(flag) / n, 6)).otherwise(0.0)
+
     return totals.select(F.explode(F.array(*[
-        F.struct(F.lit(f).alias("flag"), F.col(f).alias("n_flagged"),
-                 F.when(F.col("n") > 0, F.round(100.0 * F.col(f) / F.col("n"), 6)).otherwise(0.0).alias("percent"))
-        for f in flags])).alias("r")).select("r.*")
+        F.struct(F.lit(f).alias("flag"), F.col(f).alias("n_flagged"), percent(f).alias("percent")) for f in flags])).alias("r")).select("r.*")
 
 
 def class_balance(items: DataFrame) -> DataFrame:
@@ -178,10 +181,10 @@ def exact_dup_groups(items: DataFrame, key: str = "content_md5") -> DataFrame:
     )
 
 
-def exact_dup_members(items: DataFrame, key: str = "content_md5") -> DataFrame:
-    """Every item that has a copy, with its group: one row each, never a list per group."""
+def exact_dup_members(items: DataFrame, key: str = "content_md5", heavy: int | None = None) -> DataFrame:
+    """Every item that has a copy, with its group: one row each, never a list per group; ``heavy`` as in ``lookup_join``."""
     groups = exact_dup_groups(items, key).select(key, "n_items", "first_id", "splits", "classes")
-    return lookup_join(items, groups, [key], "n_items")
+    return lookup_join(items, groups, [key], "n_items", heavy)
 
 
 def cross_split_exact(groups: DataFrame) -> DataFrame:
@@ -215,7 +218,7 @@ def reuse_by_split_set(items: DataFrame, key: str) -> DataFrame:
 
 def shared_hash_matrix(items: DataFrame, key: str = "content_md5") -> DataFrame:
     """Distinct hashes shared by each pair of splits: one aggregation over per-hash split masks."""
-    masks = items.groupBy(key).agg(F.bit_or(one_of(cv.SPLITS, "split")).alias("m"))
+    masks = items.where(F.col(key).isNotNull()).groupBy(key).agg(F.bit_or(one_of(cv.SPLITS, "split")).alias("m"))
     pairs = list(combinations(range(len(cv.SPLITS)), 2))
     wide = masks.agg(*[
         F.count_if(F.col("m").bitwiseAND(F.lit(1 << i | 1 << j)) == (1 << i | 1 << j)).alias(f"s{i}{j}") for i, j in pairs])

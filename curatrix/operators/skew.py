@@ -13,23 +13,21 @@ from curatrix.session import materialize
 HEAVY_KEYS = 1000
 
 
-def lookup_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
+def lookup_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, heavy: int | None = None) -> DataFrame:
     """Inner join of many ``rows`` with ``groups`` that hold one row per key.
 
-    ``groups`` is written once, since it is read more than once. Up to HEAVY_KEYS
-    groups in all are simply broadcast. Beyond that, the heaviest HEAVY_KEYS (a
-    fixed number, so the broadcast is bounded) are joined where the rows lie,
-    without a shuffle. No key that is left can hold more than one part in
-    HEAVY_KEYS of the rows, so the shuffle join of the rest is even.
+    ``groups`` is written once, since it is read more than once. The heaviest
+    HEAVY_KEYS groups (or ``heavy`` of them; a fixed number, so the broadcast is
+    bounded) are joined where the rows lie, without a shuffle. No key that is left
+    can hold more than one part in HEAVY_KEYS of the rows, so the shuffle join of
+    the rest is even.
     """
     keys = list(keys)
     groups = materialize(groups, "groups")
-    if groups.count() <= HEAVY_KEYS:
-        return rows.join(F.broadcast(groups), keys, "inner")
-    heavy = F.broadcast(groups.orderBy(F.col(size).desc(), *keys).limit(HEAVY_KEYS))
-    hot = rows.join(heavy, keys, "inner")
-    rest = rows.join(heavy.select(*keys), keys, "left_anti").join(groups, keys, "inner")
-    return hot.unionByName(rest)
+    top = F.broadcast(groups.orderBy(F.col(size).desc(), *keys).limit(HEAVY_KEYS if heavy is None else heavy))
+    hot = rows.join(top, keys, "inner")
+    others = groups.join(top.select(*keys), keys, "left_anti")
+    return hot.unionByName(rows.join(others, keys, "inner").select(*hot.columns))
 
 
 def running_sums(df: DataFrame, order: str, coarse: Column, sums: Sequence[str], descending: bool = True) -> DataFrame:

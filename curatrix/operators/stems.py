@@ -31,7 +31,7 @@ def min_distance_by_stem(items: DataFrame, stem: str = "stem", first: int | None
     equal = fps.where("n > 1").select(stem).distinct().withColumn("d", F.lit(0))
     unequal = fps.join(equal.select(stem), stem, "left_anti")
     close = materialize(
-        fingerprint_pairs(unequal, distance, within=[stem], hot_bucket=tile, rows=fps.count())
+        fingerprint_pairs(unequal, distance, within=[stem], hot_bucket=tile)
         .groupBy(stem).agg(F.min("distance").alias("d")), "stem-close")
     open_ = unequal.join(close.select(stem), stem, "left_anti")
     tiles = open_.groupBy(stem).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("_tiles"))

@@ -53,7 +53,7 @@ def price_profile(spark, d):
 
 
 @query("flag_rates", with_views(ITEMS, METRICS) + "UNION ALL ".join(f"""
-SELECT '{f}' AS flag, count(*) FILTER (WHERE {f}) AS n_flagged, round(100.0::DOUBLE * count(*) FILTER (WHERE {f}) / count(*), 6) AS percent FROM metrics
+SELECT '{f}' AS flag, count(*) FILTER (WHERE {f}) AS n_flagged, round(100.0::DOUBLE * count(*) FILTER (WHERE {f}) / {'count(*)' if f == 'is_corrupt' else 'count(*) FILTER (WHERE NOT is_corrupt)'}, 6) AS percent FROM metrics
 """ for f in pr.FLAG_COLUMNS))
 def flag_rates(spark, d):
     return pr.flag_rates(t.item_metrics(spark, d))
@@ -80,11 +80,12 @@ def metric_histogram(spark, d):
 
 
 @query("event_histogram", r"""
-WITH cnt AS (SELECT CAST(least(floor(value / 10), 49) AS INTEGER) AS bin, count(*) AS n FROM events WHERE value BETWEEN 0 AND 500 GROUP BY 1)
-SELECT CAST(r.bin AS INTEGER) AS bin, CAST(coalesce(n, 0) AS BIGINT) AS n, round(r.bin * 10.0::DOUBLE, 6) AS lower, round((r.bin + 1) * 10.0::DOUBLE, 6) AS upper
-FROM range(50) r(bin) LEFT JOIN cnt c ON c.bin = r.bin""")
+WITH lim AS (SELECT min(value) AS lo, max(value) AS hi FROM events),
+cnt AS (SELECT CAST(least(floor((value - lo) * 50 / (hi - lo)), 49) AS INTEGER) AS bin, count(*) AS n FROM events, lim WHERE value IS NOT NULL GROUP BY 1)
+SELECT CAST(r.bin AS INTEGER) AS bin, CAST(coalesce(n, 0) AS BIGINT) AS n, round(lo + r.bin * ((hi - lo) / 50), 6) AS lower, round(lo + (r.bin + 1) * ((hi - lo) / 50), 6) AS upper
+FROM range(50) r(bin) CROSS JOIN lim LEFT JOIN cnt c ON c.bin = r.bin""")
 def event_histogram(spark, d):
-    return pr.histogram(t.table(spark, d, "events"), "value", 50, 0.0, 500.0)
+    return pr.histogram(t.table(spark, d, "events"), "value", 50)
 
 
 @query("exact_dup_groups", with_views(ITEMS, GROUPS) + "SELECT * FROM grp")
@@ -98,6 +99,13 @@ def exact_dup_members(spark, d):
     return pr.exact_dup_members(_hashed(spark, d)).drop("splits", "classes")
 
 
+@query("exact_dup_members_heavy", with_views(ITEMS, GROUPS) + r"""
+SELECT i.item_id, i.split, i.class, content_md5, g.n_items, g.first_id FROM items i JOIN grp g USING (content_md5)""")
+def exact_dup_members_heavy(spark, d):
+    """The same members with three groups joined as heavy ones and the others by the shuffle."""
+    return pr.exact_dup_members(_hashed(spark, d), heavy=3).drop("splits", "classes")
+
+
 @query("cross_split_exact", with_views(ITEMS, GROUPS) + r"""
 SELECT splits, count(*) AS n_groups, CAST(sum(n_items) AS BIGINT) AS n_files, count(*) FILTER (WHERE classes NOT LIKE '%+%') AS consistent,
        count(*) FILTER (WHERE classes LIKE '%+%') AS conflicting FROM grp WHERE splits LIKE '%+%' GROUP BY splits""")
@@ -170,6 +178,12 @@ def near_dups_cross_split(spark, d):
     return _by_first_id(near_dup_blocks(t.fingerprints(spark, d), scope="cross_split"))
 
 
+@query("near_dups_crowded", _blocks_sql("split_a <> split_b"))
+def near_dups_crowded(spark, d):
+    """The same blocks with every bucket of more than four fingerprints cut again and compared in tiles."""
+    return _by_first_id(near_dup_blocks(t.fingerprints(spark, d), scope="cross_split", hot_bucket=4))
+
+
 @query("near_dups_same_split_class", _blocks_sql("split_a = split_b AND class_a = class_b"))
 def near_dups_same_split_class(spark, d):
     return _by_first_id(near_dup_blocks(t.fingerprints(spark, d), scope="same_split_class"))

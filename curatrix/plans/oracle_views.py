@@ -21,12 +21,12 @@ toks AS (
 METRICS = TOKENS + r""",
 raw_metrics AS (
   SELECT item_id, split, class, content_md5 AS file_hash, CAST(octet_length(encode(text)) AS BIGINT) AS file_size,
-         length(text) < 100 AS is_corrupt,
-         CASE WHEN length(text) >= 100 THEN list_max(list_transform(string_split(text, chr(10)), lambda s: length(s))) END AS width,
-         CASE WHEN length(text) >= 100 THEN len(string_split(text, chr(10))) END AS height,
-         CASE WHEN length(text) >= 100 THEN round(255.0::DOUBLE * length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / length(text), 6) END AS brightness,
-         CASE WHEN length(text) >= 100 THEN CAST(len(list_distinct(tokens)) AS DOUBLE) END AS blur_score,
-         CASE WHEN length(text) >= 100 THEN round(sqrt(
+         coalesce(len(tokens), 0) = 0 AS is_corrupt,
+         CASE WHEN len(tokens) > 0 THEN list_max(list_transform(string_split(text, chr(10)), lambda s: length(s))) END AS width,
+         CASE WHEN len(tokens) > 0 THEN len(string_split(text, chr(10))) END AS height,
+         CASE WHEN len(tokens) > 0 THEN round(255.0::DOUBLE * length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / length(text), 6) END AS brightness,
+         CASE WHEN len(tokens) > 0 THEN CAST(len(list_distinct(tokens)) AS DOUBLE) END AS blur_score,
+         CASE WHEN len(tokens) > 0 THEN round(sqrt(
             list_sum(list_transform(tokens, lambda t: length(t) * length(t)))::DOUBLE / len(tokens)
             - (list_sum(list_transform(tokens, lambda t: length(t)))::DOUBLE / len(tokens))
             * (list_sum(list_transform(tokens, lambda t: length(t)))::DOUBLE / len(tokens))), 6) END AS pixel_std

@@ -389,7 +389,7 @@ tt AS (SELECT beta FROM newton ORDER BY i DESC LIMIT 1),
 flips AS (SELECT item_id, 1 - label_any AS corrected FROM predictions WHERE (label_any = 1 AND p_micro < 100000) OR (label_any = 0 AND p_micro > 900000)),
 scaled AS (SELECT p.item_id, split, label_any, coalesce(f.corrected, label_any) AS corrected, CAST(round(1e6::DOUBLE / (1.0::DOUBLE + exp(-logit * beta))) AS BIGINT) AS p_micro
   FROM predictions p LEFT JOIN flips f USING (item_id), tt),
-val AS (SELECT * FROM scaled WHERE split = 'Validation'), tst AS (SELECT * FROM scaled WHERE split = 'Test')""", sweep("sv", m.CALIBRATION, "label_any", "val"), f"""
+val AS (SELECT * FROM scaled WHERE split = 'Validation'), tst AS (SELECT * FROM scaled WHERE split = 'Test')""", sweep("sv", m.PUBLISHED, "label_any", "val"), f"""
 pick AS (SELECT threshold, CAST(round(threshold * 1000000) AS BIGINT) AS cut FROM sv ORDER BY round(f1, 5) DESC, k LIMIT 1),
 both_ AS (SELECT 'stored' AS labels, {cells('p_micro >= cut', 'label_any')} FROM tst, pick UNION ALL SELECT 'corrected', {cells('p_micro >= cut', 'corrected')} FROM tst, pick),
 auc AS (SELECT 'stored' AS labels, round(avg(CASE WHEN a.p_micro > b.p_micro THEN 1.0::DOUBLE WHEN a.p_micro = b.p_micro THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END), 6) AS auc FROM tst a JOIN tst b ON a.label_any = 1 AND b.label_any = 0

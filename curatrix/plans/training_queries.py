@@ -57,7 +57,7 @@ def top_false_positives(spark, d):
 
 @query("export_samples", with_views(ITEMS, PREDICTIONS, r"""
 r AS (SELECT item_id, p_micro, row_number() OVER (ORDER BY p_micro DESC, item_id) AS rank FROM predictions WHERE label = 0)""") + r"""
-SELECT item_id, p_micro, CAST(rank AS INTEGER) AS rank, 'hn_' || lpad(CAST(rank - 1 AS VARCHAR), 3, '0') || '_p' || format('{:.3f}', round(p_micro / 1000000.0::DOUBLE, 3)) || '_' || item_id AS sample_name FROM r WHERE rank <= 50""")
+SELECT item_id, p_micro, CAST(rank AS INTEGER) AS rank, 'hn_' || printf('%03d', rank - 1) || '_p' || format('{:.3f}', round(p_micro / 1000000.0::DOUBLE, 3)) || '_' || item_id AS sample_name FROM r WHERE rank <= 50""")
 def export_samples(spark, d):
     return rp.export_samples(scored(spark, d, "item_id", "label", "p_micro").where("label = 0").select("item_id", "p_micro"), 50, "hn")
 
@@ -109,13 +109,13 @@ def mixup_vectors(spark, d):
 # --- logs --------------------------------------------------------------------
 
 LOG = f"""
-it AS (SELECT item_id // 50 AS iteration, {cells('p_micro >= 480000')}, {MINED.replace('AS fpr', 'AS mined_rate')} FROM predictions GROUP BY 1),
+it AS (SELECT item_id % 20 AS iteration, {cells('p_micro >= 480000')}, {MINED.replace('AS fpr', 'AS mined_rate')} FROM predictions GROUP BY 1),
 log AS (SELECT iteration, fps_mined, {RATES} FROM it)"""
 
 
 def mining_log(spark, d):
-    """A log derived from the scores: every fifty item numbers are one iteration."""
-    rows = scored(spark, d, "item_id", "label", "p_micro").withColumn("iteration", F.expr("item_id div 50"))
+    """A log derived from the scores: twenty iterations, whatever the number of items."""
+    rows = scored(spark, d, "item_id", "label", "p_micro").withColumn("iteration", F.col("item_id") % 20)
     rates = m.confusion(rows, 0.48, by=["iteration"])
     mined = sp.mining_report(rows, 0.48, by=["iteration"]).select("iteration", "fps_mined")
     return rates.join(mined, "iteration").select("iteration", "fps_mined", "f1", "precision", "recall", "fpr")
@@ -259,6 +259,15 @@ px AS (SELECT item_id, n, height, i // 48 AS y, i % 48 AS x, CAST('0x' || substr
 luma AS (SELECT *, (19595 * r + 38470 * g + 7471 * b + 32768) // 65536 AS l FROM px)"""
 
 
+CROP = "FILTER (WHERE y >= height // 2 - height // 6 AND y < height // 2 + height // 6 AND x >= 16 AND x < 32)"
+
+
+def whole_variance(x: str, only: str = "") -> str:
+    """Population variance of whole numbers from whole-number sums."""
+    n, s1, s2 = f"count(*) {only}", f"sum({x}) {only}", f"sum({x} * {x}) {only}"
+    return f"(({n} * {s2} - {s1} * {s1})::DOUBLE / ({n} * {n})::DOUBLE)"
+
+
 @query("image_artifacts", with_views(ITEMS, PIXELS, r"""
 row_pass AS (SELECT *, coalesce(lead(l) OVER rw, l) - coalesce(lag(l) OVER rw, l) AS dx, coalesce(lag(l) OVER rw, l) + 2 * l + coalesce(lead(l) OVER rw, l) AS sm,
   coalesce(lag(l) OVER rw, 0) + coalesce(lead(l) OVER rw, 0) AS side,
@@ -275,11 +284,11 @@ lap AS (SELECT *, side + coalesce(lag(l) OVER cl, 0) + coalesce(lead(l) OVER cl,
 half AS (SELECT item_id, y, x // 8 AS bx, u, sum(l * 0.5::DOUBLE * cos(pi() * (2 * (x % 8) + 1) * u / 16)) AS s FROM luma, range(1, 8) f(u)
   WHERE y // 8 < (height - 1) // 8 AND x // 8 < 5 GROUP BY item_id, y, x // 8, u),
 coef AS (SELECT item_id, y // 8 AS by_, bx, u, v, abs(sum(s * 0.5::DOUBLE * cos(pi() * (2 * (y % 8) + 1) * v / 16))) AS c FROM half, range(1, 8) f(v) GROUP BY item_id, y // 8, bx, u, v),
-dct AS (SELECT item_id, sum(c) * 49 / count(*) AS energy FROM coef GROUP BY item_id)""") + r"""
+dct AS (SELECT item_id, sum(c) * 49 / count(*) AS energy FROM coef GROUP BY item_id)""") + f"""
 SELECT item_id, round(coalesce(any_value(energy), 0), 3) AS avg_dct_energy, round(100.0::DOUBLE * avg(CASE WHEN gx * gx + gy * gy > 22500 THEN 1 ELSE 0 END), 4) AS edge_density_pct,
-  round(avg(abs(l - blur)), 4) AS noise_level, round(var_pop(e), 4) AS laplacian_var, round(avg(l), 4) AS brightness, round(stddev_pop(l), 4) AS contrast,
+  round(avg(abs(l - blur)), 4) AS noise_level, round({whole_variance('e')}, 4) AS laplacian_var, round(avg(l), 4) AS brightness, round(sqrt({whole_variance('l')}), 4) AS contrast,
   round(avg(CASE WHEN top > 0 THEN round_even(255.0::DOUBLE * (top - bot) / top, 0) ELSE 0 END), 4) AS saturation, round(any_value(n) / 1024.0::DOUBLE, 4) AS file_size_kb,
-  round(coalesce(stddev_pop(l) FILTER (WHERE y >= height // 2 - height // 6 AND y < height // 2 + height // 6 AND x >= 16 AND x < 32), 0), 4) AS skin_smoothness_std
+  round(coalesce(sqrt({whole_variance('l', CROP)}), 0), 4) AS skin_smoothness_std
 FROM lap LEFT JOIN dct USING (item_id) GROUP BY item_id""")
 def image_artifacts(spark, d):
     found = px.pixel_features(t.text_images(spark, d), "artifacts")

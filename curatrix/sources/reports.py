@@ -60,5 +60,5 @@ def export_samples(df: DataFrame, n: int, prefix: str, p: str = "p_micro", name:
     """The ``n`` highest scores with a name that carries rank and score."""
     ranked = top_k(df, [F.col(p).desc(), name], n)
     return ranked.withColumn("sample_name", F.concat(
-        F.lit(prefix + "_"), F.lpad((F.col("rank") - 1).cast("string"), 3, "0"), F.lit("_p"),
+        F.lit(prefix + "_"), F.format_string("%03d", F.col("rank") - 1), F.lit("_p"),
         F.format_string("%.3f", F.round(F.col(p) / 1_000_000, 3)), F.lit("_"), F.col(name).cast("string")))

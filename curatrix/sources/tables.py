@@ -18,20 +18,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give heavy per-row work at least one partition per core.
-
-    Only an input with fewer file splits than cores is moved, which bounds what is
-    shuffled to a few splits; a large table keeps its scan partitions untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df
-
-
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents").select("doc_id", "text", "source"), "doc_id")
+    """Id, text and source. A session whose tables are single files that cannot be split can name a number of
+    partitions in ``curatrix.input.partitions``; without it the partitions of the scan stay as they are."""
+    read = table(spark, folder, "documents").select("doc_id", "text", "source")
+    wanted = spark.conf.get("curatrix.input.partitions", None)
+    return read.repartition(int(wanted), "doc_id") if wanted else read
 
 
 def split_of(item_id: Column) -> Column:
@@ -70,26 +62,21 @@ def tokens_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"\s+"), "")
 
 
-MIN_READABLE = 100
-
-
 def item_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Quality metrics per item with a fixed schema; unreadable items have null metrics.
 
     The tables hold no pixels, so text measures stand in: longest line and number
     of lines for the sides, share of letters for brightness, vocabulary for
-    detail, spread of token lengths for contrast. Items below MIN_READABLE
-    characters count as unreadable.
+    detail, spread of token lengths for contrast. An item is unreadable if it has no
+    content or no token at all.
     """
     base = with_identity(documents(spark, folder)).select(
         "item_id", "split", "class", "text", sc.content_hash(F.col("text")).alias("file_hash"),
         F.octet_length("text").cast("bigint").alias("file_size"),
-        (F.length("text") < MIN_READABLE).alias("is_corrupt"),
+        (~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))).alias("is_corrupt"),
     )
-    readable = base.withColumns({
-        "text": F.when(~F.col("is_corrupt"), F.col("text")),
-        "lengths": F.when(~F.col("is_corrupt"), F.transform(tokens_of(F.col("text")), lambda t: F.length(t))),
-    })
+    readable = base.withColumn("text", F.when(~F.col("is_corrupt"), F.col("text"))).withColumn(
+        "lengths", F.transform(tokens_of(F.col("text")), lambda t: F.length(t)))
     total = F.aggregate("lengths", F.lit(0).cast("bigint"), lambda acc, n: acc + n)
     squares = F.aggregate("lengths", F.lit(0).cast("bigint"), lambda acc, n: acc + n * n)
     count = F.size("lengths")
