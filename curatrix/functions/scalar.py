@@ -191,12 +191,18 @@ AI_TOOLS = ("midjourney", "dall-e", "dalle", "stable diffusion", "firefly", "gen
 EDITORS = ("photoshop", "lightroom")
 
 
-def metadata_flags(meta: Column, now: Column, recent_seconds: int = 60) -> Column:
+def metadata_flags(meta: Column, now: Column, recent_seconds: int = 60, is_video: Column | None = None, unreadable: Column | None = None) -> Column:
     """Findings on a metadata struct (software, make, model, latitude, longitude, captured_at).
 
-    Names of AI tools match as whole words: ``ai`` does not fire inside ``mail``.
+    Names of AI tools match as whole words: ``ai`` does not fire inside ``mail``. Empty
+    texts and zeros are absent values. A video has no such metadata, and metadata that
+    cannot be read is a finding of its own.
     """
     software = F.nullif(meta["software"], F.lit(""))
+
+    def absent(name: str) -> Column:
+        return F.coalesce(meta[name].cast("string").isin("", "0", "0.0"), F.lit(True))
+
     low = F.lower(software)
     ai = low.rlike(r"(^|[^a-z0-9])(" + "|".join(AI_TOOLS) + r")([^a-z0-9]|$)")
     edited = low.rlike("|".join(EDITORS))
@@ -206,14 +212,17 @@ def metadata_flags(meta: Column, now: Column, recent_seconds: int = 60) -> Colum
         .when(ai, F.concat(F.lit("ai software: "), software))
         .when(edited, F.lit("edited with image software"))
         .otherwise(F.concat(F.lit("software tag: "), software)),
-        F.when(meta["make"].isNull() | meta["model"].isNull(), F.lit("no camera make/model")),
-        F.when(meta["latitude"].isNull() | meta["longitude"].isNull(), F.lit("gps data absent")),
+        F.when(absent("make") | absent("model"), F.lit("no camera make/model")),
+        F.when(absent("latitude") | absent("longitude"), F.lit("gps data absent")),
         F.when(meta["captured_at"].isNull(), F.lit("no original capture timestamp"))
         .when(age < recent_seconds, F.lit("created very recently")),
     )
-    return F.when(meta.isNull(), F.array(F.lit("no camera metadata"))).otherwise(
-        F.filter(flags, lambda f: f.isNotNull())
-    )
+    found = F.when(meta.isNull(), F.array(F.lit("no camera metadata"))).otherwise(F.filter(flags, lambda f: f.isNotNull()))
+    if unreadable is not None:
+        found = F.when(F.coalesce(unreadable, F.lit(False)), F.array(F.lit("metadata unreadable"))).otherwise(found)
+    if is_video is not None:
+        found = F.when(F.coalesce(is_video, F.lit(False)), F.array(F.lit("video: no image metadata"))).otherwise(found)
+    return found
 
 
 SECOND_OPINION = (

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from curatrix import conventions as cv
 from curatrix.operators.skew import lookup_join
+from curatrix.session import materialize
 
 PROFILE_COLUMNS = ("width", "height", "aspect_ratio", "brightness", "blur_score", "pixel_std", "file_size")
 FLAG_COLUMNS = ("is_low_res", "is_non_square", "is_dark", "is_bright", "is_blurry", "is_blank", "is_corrupt")
@@ -54,32 +55,46 @@ def _bracket(column: str) -> Column:
     return F.percentile_approx(F.col(column).cast("double"), [0.5 - MEDIAN_MARGIN, 0.5 + MEDIAN_MARGIN], SKETCH_ACCURACY)
 
 
+MEDIAN_BUCKETS = 1000
+
+
 def _medians_inside(df: DataFrame, brackets: dict[str, tuple[float, float, int]]) -> DataFrame:
     """(metric, median), exact, given (low, high, count of values) per column.
 
     The sketch's rank error (1 / SKETCH_ACCURACY) is below MEDIAN_MARGIN, so the
     bracket holds the median. Only values inside it are counted one by one, a
     fixed small share of the data; all below fold into one row, all above vanish.
-    No task ever holds the distinct values of a column.
+    Ranks are found in two levels: sums of MEDIAN_BUCKETS equal parts of each
+    bracket, then the values of the one or two parts that hold the middle.
     """
-    parts, total = [], F.lit(None)
-    for c, (low, high, n) in brackets.items():
-        value = F.col(c).cast("double")
-        parts.append(F.when(value <= high, F.struct(F.lit(c).alias("metric"), F.when(value >= low, value).alias("value"))))
-        total = F.when(F.col("metric") == c, F.lit(n)).otherwise(total)
-    counted = (
-        df.select(F.explode(F.array_compact(F.array(*parts))).alias("p"))
-        .groupBy(F.col("p.metric").alias("metric"), F.col("p.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    )
-    by_value = Window.partitionBy("metric").orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumns({"_upto": F.sum("n").over(by_value), "_total": total.cast("bigint")})
-
-    def at(rank: Column) -> Column:
-        return F.min(F.when((F.col("_upto") > rank) & F.col("value").isNotNull(), F.col("value")))
+    def per_metric(position: int) -> Column:
+        out = F.lit(None)
+        for c, known in brackets.items():
+            out = F.when(F.col("metric") == c, F.lit(known[position])).otherwise(out)
+        return out
+
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS double)" for c in brackets)
+    low, high, total = per_metric(0).cast("double"), per_metric(1).cast("double"), per_metric(2).cast("bigint")
+    value = F.col("value")
+    part = F.when(value.isNull(), -1).when(high > low, F.least(
+        F.floor((value - low) / (high - low) * MEDIAN_BUCKETS), F.lit(MEDIAN_BUCKETS - 1)).cast("int")).otherwise(0)
+    counted = materialize(
+        df.selectExpr(f"stack({len(brackets)}, {pairs}) AS (metric, value)").where(value <= high)
+        .groupBy("metric", F.when(value >= low, value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("part", part), "bracket")
+    # At most MEDIAN_BUCKETS + 1 rows per metric.
+    before = Window.partitionBy("metric").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counted.groupBy("metric", "part").agg(F.sum("n").alias("_n")).select(
+        "metric", "part", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), total.alias("_total"))
+    middle = parts.where("_before <= _total div 2 AND _before + _n > (_total - 1) div 2").drop("_n")
+    upto = Window.partitionBy("metric", "part").orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.join(F.broadcast(middle), ["metric", "part"]).withColumn("_upto", F.col("_before") + F.sum("n").over(upto))
+
+    def at(rank: str) -> Column:
+        return F.min(F.when((F.col("_upto") > F.expr(rank)) & value.isNotNull(), value))
 
     # Zero-based middle ranks.
-    return ranked.groupBy("metric").agg(
-        ((at(F.expr("(_total - 1) div 2")) + at(F.expr("_total div 2"))) / 2).alias("median"))
+    return ranked.groupBy("metric").agg(((at("(_total - 1) div 2") + at("_total div 2")) / 2).alias("median"))
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -309,10 +324,20 @@ def error_list(metrics: DataFrame) -> DataFrame:
     return metrics.where("is_corrupt").select("item_id", "split", "class", "error")
 
 
+CUT_PARTS = 64
+
+
 def head_per_list(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
-    """First ``n`` rows of every list, with their place; the cut happens before the shuffle."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("place", place).where(F.col("place") <= n)
+    """First ``n`` rows of every list, with their place.
+
+    Every list is cut to ``n`` in CUT_PARTS parts first, whatever part a row is in,
+    so the task that orders a list sees at most CUT_PARTS * n rows of it.
+    """
+    def cut(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= n)
+
+    parts = cut(df.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(CUT_PARTS))), *by, "_part")
+    return cut(parts.drop("place", "_part"), *by)
 
 
 def top_k(df: DataFrame, order: Sequence[Column | str], k: int) -> DataFrame:

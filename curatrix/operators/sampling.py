@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from curatrix import conventions as cv
+from curatrix.operators.profile import head_per_list
 
 
 def seeded_key(item_id: Column, seed: int) -> Column:
@@ -33,8 +34,7 @@ def sample_n(df: DataFrame, n: int, seed: int, key: str = "item_id") -> DataFram
 
 
 def cap_per_class(df: DataFrame, n: int, by: Sequence[str] = ("class",), order: str = "item_id") -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+    return head_per_list(df, by, [order], n).drop("place")
 
 
 def oversample(df: DataFrame, k: int) -> DataFrame:
@@ -94,24 +94,26 @@ def weighted_sample(df: DataFrame, weight: str, n: int | None, seed: int, key: s
     return met.select("draw", *df.columns)
 
 
-def mixup(df: DataFrame, vector: str, label: str, batches: int, alpha: float, seed: int, key: str = "item_id") -> DataFrame:
+def mixup(df: DataFrame, vector: str, label: str, batch_size: int, alpha: float, seed: int, key: str = "item_id") -> DataFrame:
     """Blend every vector with a partner of its batch: lambda * x + (1 - lambda) * partner, both labels kept.
 
-    Partners are neighbours in a seeded order of the batch, the last one takes the
-    first; lambda is drawn from Beta(alpha, alpha) once per batch.
+    There are as many batches as ``batch_size`` asks for. Partners are neighbours in
+    a seeded order of the batch, the last one takes the first; only ids are ordered,
+    and vectors meet by two joins. lambda is drawn from Beta(alpha, alpha) once per
+    batch; for alpha 1, a uniform draw, it follows from seed and batch alone.
     """
+    batches = max(1, -(-df.count() // batch_size))
     batch = F.pmod(seeded_number(F.col(key), seed), F.lit(batches)).cast("int")
     order = Window.partitionBy("batch").orderBy(seeded_key(F.col(key), seed + 1), key)
-    own = F.struct(F.col(key).alias("id"), F.col(vector).alias("x"), F.col(label).alias("y"))
-    first = F.first(own).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    seated = (
-        df.select(F.col(key), vector, label, batch.alias("batch"))
-        .withColumn("_mate", F.coalesce(F.lead(own).over(order), first))
-        .withColumn("lam", _beta(alpha, seed)(F.col("batch")))
-    )
-    mixed = F.zip_with(vector, "_mate.x", lambda a, b: F.col("lam") * a + (1 - F.col("lam")) * b)
-    return seated.select(key, F.col("_mate.id").alias("partner_id"), "batch", "lam", mixed.alias("mixed"),
-                         F.col(label).alias("label_a"), F.col("_mate.y").alias("label_b"))
+    first = F.first(key).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    drawn = seeded_number(F.col("batch"), seed) / 16 ** 12 if alpha == 1 else _beta(alpha, seed)(F.col("batch"))
+    seated = df.select(key, batch.alias("batch")).select(
+        key, "batch", F.coalesce(F.lead(key).over(order), first).alias("partner_id")).withColumn("lam", drawn)
+    mates = df.select(F.col(key).alias("partner_id"), F.col(vector).alias("_x"), F.col(label).alias("label_b"))
+    own = df.select(key, F.col(vector).alias("_v"), F.col(label).alias("label_a"))
+    mixed = F.zip_with("_v", "_x", lambda a, b: F.col("lam") * a + (1 - F.col("lam")) * b)
+    return own.join(seated, key).join(mates, "partner_id").select(
+        key, "partner_id", "batch", "lam", mixed.alias("mixed"), "label_a", "label_b")
 
 
 def _beta(alpha: float, seed: int):

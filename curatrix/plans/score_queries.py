@@ -256,11 +256,15 @@ OUTCOME = "CASE WHEN label = 1 AND p_micro >= 520000 THEN 'TP' WHEN label = 1 TH
 SCORED_METRICS = PREDICTIONS[PREDICTIONS.index("scored AS"):]
 
 
+COHORTS = "st AS (SELECT metric, avg(v) FILTER (WHERE outcome = 'FP') AS a, stddev_pop(v) FILTER (WHERE outcome = 'FP') AS sa, avg(v) FILTER (WHERE outcome = 'TN') AS b, stddev_pop(v) FILTER (WHERE outcome = 'TN') AS sb FROM l GROUP BY metric)"
+COHORT_ROWS = r"""
+SELECT metric, round(a, 3) AS fp_mean, round(sa, 3) AS fp_std, round(b, 3) AS tn_mean, round(sb, 3) AS tn_std, round(a - b, 3) AS delta,
+       round(abs(a - b) / greatest(abs(b), 1e-6::DOUBLE) * 100, 1) AS pct_diff, abs(a - b) / greatest(abs(b), 1e-6::DOUBLE) * 100 > 15 AS flagged FROM st WHERE a - b IS NOT NULL"""
+
+
 @query("compare_cohorts", with_views(ITEMS, METRICS, SCORED_METRICS, f"o AS (SELECT m.*, {OUTCOME} AS outcome FROM metrics m JOIN predictions p USING (item_id))",
     "l AS (" + " UNION ALL ".join(f"SELECT outcome, '{c}' AS metric, {c}::DOUBLE AS v FROM o" for c in COHORT_METRICS) + ")",
-    "st AS (SELECT metric, avg(v) FILTER (WHERE outcome = 'FP') AS a, stddev_pop(v) FILTER (WHERE outcome = 'FP') AS sa, avg(v) FILTER (WHERE outcome = 'TN') AS b, stddev_pop(v) FILTER (WHERE outcome = 'TN') AS sb FROM l GROUP BY metric)") + r"""
-SELECT metric, round(a, 3) AS fp_mean, round(sa, 3) AS fp_std, round(b, 3) AS tn_mean, round(sb, 3) AS tn_std, round(a - b, 3) AS delta,
-       round(abs(a - b) / greatest(abs(b), 1e-6::DOUBLE) * 100, 1) AS pct_diff, abs(a - b) / greatest(abs(b), 1e-6::DOUBLE) * 100 > 15 AS flagged FROM st WHERE a - b IS NOT NULL""")
+    COHORTS) + COHORT_ROWS)
 def compare_cohorts(spark, d):
     rows = scored(spark, d, "item_id", "label", "p_micro")
     joined = materialize(t.item_metrics(spark, d).select("item_id", *COHORT_METRICS), "metrics").join(rows, "item_id")

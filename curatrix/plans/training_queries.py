@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from curatrix import conventions as cv
 from curatrix.functions import scalar as sc
 from curatrix.operators import calibration as cal
 from curatrix.operators import investigate as inv
@@ -14,9 +15,11 @@ from curatrix.operators import metrics as m
 from curatrix.operators import pixels as px
 from curatrix.operators import profile as pr
 from curatrix.operators import sampling as sp
+from curatrix.plans.audit_queries import GRAPH
+from curatrix.plans.cleaning import find_leakage
 from curatrix.plans.oracle_views import ITEMS, METRICS, PREDICTIONS, with_views
 from curatrix.plans.registry import query
-from curatrix.plans.score_queries import RATES, cells, scored
+from curatrix.plans.score_queries import COHORT_ROWS, COHORTS, OUTCOME, RATES, cells, scored
 from curatrix.session import materialize, scratch_path
 from curatrix.sources import images as im
 from curatrix.sources import reports as rp
@@ -92,18 +95,31 @@ def weighted_sample(spark, d):
     return sp.weighted_sample(items, "weight", None, 11)
 
 
-@query("mixup_partners", r"""
-WITH b AS (SELECT vec_id AS item_id, label, CAST(CAST('0x' || substr(md5('5:' || vec_id), 1, 12) AS BIGINT) % 16 AS INTEGER) AS batch, md5('6:' || vec_id) AS k FROM embeddings)
+SEATED = r"""
+WITH b AS (SELECT vec_id AS item_id, label, embedding, CAST(CAST('0x' || substr(md5('5:' || vec_id), 1, 12) AS BIGINT) % (SELECT CAST(ceil(count(*) / 32.0::DOUBLE) AS BIGINT) FROM embeddings) AS INTEGER) AS batch,
+  md5('6:' || vec_id) AS k FROM embeddings)"""
+
+
+@query("mixup_partners", SEATED + r"""
 SELECT item_id, batch, coalesce(lead(item_id) OVER w, first_value(item_id) OVER w) AS partner_id, label AS label_a,
        coalesce(lead(label) OVER w, first_value(label) OVER w) AS label_b FROM b WINDOW w AS (PARTITION BY batch ORDER BY k, item_id)""")
 def mixup_partners(spark, d):
-    return mixup_vectors(spark, d).drop("mixed", "lam")
+    vectors = t.table(spark, d, "embeddings").withColumnRenamed("vec_id", "item_id")
+    return sp.mixup(vectors, "embedding", "label", 32, 0.4, 5).drop("mixed", "lam")
 
 
-@query("mixup_vectors")
+@query("mixup_vectors", SEATED + r""",
+s AS (SELECT *, coalesce(lead(item_id) OVER w, first_value(item_id) OVER w) AS partner_id, coalesce(lead(embedding) OVER w, first_value(embedding) OVER w) AS mate,
+  CAST('0x' || substr(md5('5:' || batch), 1, 12) AS BIGINT)::DOUBLE / 281474976710656.0::DOUBLE AS lam FROM b WINDOW w AS (PARTITION BY batch ORDER BY k, item_id)),
+e AS (SELECT item_id, partner_id, batch, lam, unnest(range(1, len(embedding) + 1)) AS i, embedding, mate FROM s),
+v AS (SELECT item_id, partner_id, batch, lam, i, lam * embedding[i] + (1 - lam) * mate[i] AS v FROM e)
+SELECT item_id, partner_id, batch, round(lam, 6) AS lam, CAST(count(*) AS INTEGER) AS size, round(max(v), 4) AS largest, round(min(v), 4) AS smallest FROM v GROUP BY ALL""")
 def mixup_vectors(spark, d):
+    """Blended with a uniform draw for each batch."""
     vectors = t.table(spark, d, "embeddings").withColumnRenamed("vec_id", "item_id")
-    return sp.mixup(vectors, "embedding", "label", 16, 0.4, 5)
+    return sp.mixup(vectors, "embedding", "label", 32, 1, 5).select(
+        "item_id", "partner_id", "batch", F.round("lam", 6).alias("lam"), F.size("mixed").alias("size"),
+        F.round(F.array_max("mixed"), 4).alias("largest"), F.round(F.array_min("mixed"), 4).alias("smallest"))
 
 
 # --- logs --------------------------------------------------------------------
@@ -176,9 +192,16 @@ def distinct_cells(spark, d):
 
 # --- sources and sinks -------------------------------------------------------
 
-@query("scan_items")
+@query("scan_items", with_views(ITEMS) + r"""
+SELECT split, class, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS n_bytes FROM items GROUP BY split, class""")
 def scan_items(spark, d):
-    return im.scan_items(spark, d, ["parquet"]).select("stem", "file_size", "split", "class")
+    """Texts written below ``Split/Class``, found again by scanning the folder: bytes per split and class."""
+    root = scratch_path(spark, "tree")
+    texts = t.with_identity(t.documents(spark, d)).select("split", "class", "text")
+    for split in cv.SPLITS:
+        for kind in cv.CLASSES:
+            texts.where((F.col("split") == split) & (F.col("class") == kind)).select("text").write.text(f"{root}/{split}/{kind}")
+    return im.scan_items(spark, root, ["txt"]).groupBy("split", "class").agg(F.sum("file_size").alias("n_bytes")).where("n_bytes > 0")
 
 
 REPORTED = r"""SELECT content_md5 AS hash, CAST(item_id AS VARCHAR) AS path FROM items WHERE content_md5 IN (SELECT content_md5 FROM items GROUP BY 1 HAVING count(*) > 1)"""
@@ -186,13 +209,13 @@ REPORTED = r"""SELECT content_md5 AS hash, CAST(item_id AS VARCHAR) AS path FROM
 
 @query("read_report", with_views(ITEMS) + REPORTED)
 def read_report(spark, d):
-    """Groups written as JSON report rows, read back with a stated schema and opened."""
+    """Groups written as JSON reports, one object for each hash, read back by the operator and opened."""
     items = materialize(t.items(spark, d).select("item_id", "split", "class", "content_md5"), "items")
     members = pr.exact_dup_members(items)
     path = scratch_path(spark, "report")
     member = members.select(F.create_map("content_md5", F.array(F.col("item_id").cast("string"))).alias("exact_duplicates"))
     rp.write_report({"groups": member}, path, "json")
-    return rp.report_groups(spark.read.schema(rp.AUDIT_REPORT).json(f"{path}/groups"))
+    return rp.report_groups(rp.read_report(spark, f"{path}/groups", rp.AUDIT_REPORT, one_document=False))
 
 
 @query("write_report", with_views(ITEMS, PREDICTIONS) + "SELECT item_id, label, p_micro FROM predictions WHERE p_micro BETWEEN 350000 AND 650000 ORDER BY p_micro DESC, item_id LIMIT 100")
@@ -210,6 +233,30 @@ def saved_predictions(spark, d):
     return rp.read_predictions(spark, path)
 
 
+@query("write_leakage_quarantine", with_views(ITEMS, GRAPH) + "SELECT item_id, split, class, component, kept_id FROM ranked WHERE place > 1")
+def write_leakage_quarantine(spark, d):
+    """Pairs across splits, their components, the removals as a manifest by split and class, read back."""
+    path = scratch_path(spark, "quarantine")
+    rp.write_quarantine(find_leakage(t.fingerprints(spark, d)).removed, path)
+    return spark.read.parquet(path).select("item_id", "split", "class", "component", "kept_id")
+
+
+@query("mined_training_draw", with_views(ITEMS, PREDICTIONS, r"""
+hard AS (SELECT item_id, row_number() OVER (ORDER BY p_micro DESC, item_id) AS place FROM predictions WHERE label = 0 AND p_micro >= 520000),
+wt AS (SELECT item_id * 4 AS row_id, item_id, label, 1 AS weight FROM predictions
+  UNION ALL SELECT item_id * 4 + c, item_id, 0, 2 FROM hard, range(1, 4) g(c)),
+line AS (SELECT row_id, item_id, label, weight, sum(weight) OVER w - weight AS lo, sum(weight) OVER w AS hi FROM wt WINDOW w AS (ORDER BY substr(md5(CAST(row_id AS VARCHAR)), 1, 3), row_id)),
+draws AS (SELECT i AS draw, CAST('0x' || substr(md5('13:' || i), 1, 12) AS BIGINT) % (SELECT CAST(sum(weight) AS BIGINT) FROM wt) AS u FROM range((SELECT count(*) FROM wt)) g(i))""") + r"""
+SELECT draw, row_id, item_id, label, weight FROM draws JOIN line ON u >= lo AND u < hi""")
+def mined_training_draw(spark, d):
+    """Base rows and three copies of every hard negative, drawn with weights 1 and 2."""
+    base = scored(spark, d, "item_id", "label", "p_micro")
+    hard = sp.oversample(sp.mine_hard_negatives(base).select("item_id"), 3)
+    rows = base.select((F.col("item_id") * 4).alias("row_id"), "item_id", "label", F.lit(1).alias("weight")).unionByName(
+        hard.select((F.col("item_id") * 4 + F.col("copy")).alias("row_id"), "item_id", F.lit(0).alias("label"), F.lit(2).alias("weight")))
+    return sp.weighted_sample(materialize(rows, "weighted-rows"), "weight", None, 13, key="row_id")
+
+
 @query("write_quarantine", with_views(ITEMS, PREDICTIONS) + r"""
 SELECT item_id, p.split, p.class FROM predictions p WHERE label = 0 AND p_micro >= 520000""")
 def write_quarantine(spark, d):
@@ -268,7 +315,7 @@ def whole_variance(x: str, only: str = "") -> str:
     return f"(({n} * {s2} - {s1} * {s1})::DOUBLE / ({n} * {n})::DOUBLE)"
 
 
-@query("image_artifacts", with_views(ITEMS, PIXELS, r"""
+ARTIFACTS = PIXELS + r""",
 row_pass AS (SELECT *, coalesce(lead(l) OVER rw, l) - coalesce(lag(l) OVER rw, l) AS dx, coalesce(lag(l) OVER rw, l) + 2 * l + coalesce(lead(l) OVER rw, l) AS sm,
   coalesce(lag(l) OVER rw, 0) + coalesce(lead(l) OVER rw, 0) AS side,
   (6 * l + 4 * coalesce(lag(l) OVER rw, CASE WHEN height > 2 THEN lead(l) OVER rw ELSE l END) + 4 * coalesce(lead(l) OVER rw, CASE WHEN height > 2 THEN lag(l) OVER rw ELSE l END)
@@ -284,21 +331,25 @@ lap AS (SELECT *, side + coalesce(lag(l) OVER cl, 0) + coalesce(lead(l) OVER cl,
 half AS (SELECT item_id, y, x // 8 AS bx, u, sum(l * 0.5::DOUBLE * cos(pi() * (2 * (x % 8) + 1) * u / 16)) AS s FROM luma, range(1, 8) f(u)
   WHERE y // 8 < (height - 1) // 8 AND x // 8 < 5 GROUP BY item_id, y, x // 8, u),
 coef AS (SELECT item_id, y // 8 AS by_, bx, u, v, abs(sum(s * 0.5::DOUBLE * cos(pi() * (2 * (y % 8) + 1) * v / 16))) AS c FROM half, range(1, 8) f(v) GROUP BY item_id, y // 8, bx, u, v),
-dct AS (SELECT item_id, sum(c) * 49 / count(*) AS energy FROM coef GROUP BY item_id)""") + f"""
-SELECT item_id, round(coalesce(any_value(energy), 0), 3) AS avg_dct_energy, round(100.0::DOUBLE * avg(CASE WHEN gx * gx + gy * gy > 22500 THEN 1 ELSE 0 END), 4) AS edge_density_pct,
-  round(avg(abs(l - blur)), 4) AS noise_level, round({whole_variance('e')}, 4) AS laplacian_var, round(avg(l), 4) AS brightness, round(sqrt({whole_variance('l')}), 4) AS contrast,
-  round(avg(CASE WHEN top > 0 THEN round_even(255.0::DOUBLE * (top - bot) / top, 0) ELSE 0 END), 4) AS saturation, round(any_value(n) / 1024.0::DOUBLE, 4) AS file_size_kb,
-  round(coalesce(sqrt({whole_variance('l', CROP)}), 0), 4) AS skin_smoothness_std
-FROM lap LEFT JOIN dct USING (item_id) GROUP BY item_id""")
+dct AS (SELECT item_id, sum(c) * 49 / count(*) AS energy FROM coef GROUP BY item_id)""" + f""",
+art AS (SELECT item_id, coalesce(any_value(energy), 0) AS avg_dct_energy, 100.0::DOUBLE * avg(CASE WHEN gx * gx + gy * gy > 22500 THEN 1 ELSE 0 END) AS edge_density_pct, avg(abs(l - blur)) AS noise_level, {whole_variance('e')} AS laplacian_var, avg(l) AS brightness, sqrt({whole_variance('l')}) AS contrast, avg(CASE WHEN top > 0 THEN round_even(255.0::DOUBLE * (top - bot) / top, 0) ELSE 0 END) AS saturation, any_value(n) / 1024.0::DOUBLE AS file_size_kb, coalesce(sqrt({whole_variance('l', CROP)}), 0) AS skin_smoothness_std
+  FROM lap LEFT JOIN dct USING (item_id) GROUP BY item_id)"""
+
+
+@query("image_artifacts", with_views(ITEMS, ARTIFACTS) + r"""
+SELECT item_id, round(avg_dct_energy, 3) AS avg_dct_energy, round(edge_density_pct, 4) AS edge_density_pct, round(noise_level, 4) AS noise_level, round(laplacian_var, 4) AS laplacian_var, round(brightness, 4) AS brightness, round(contrast, 4) AS contrast, round(saturation, 4) AS saturation, round(file_size_kb, 4) AS file_size_kb, round(skin_smoothness_std, 4) AS skin_smoothness_std FROM art""")
 def image_artifacts(spark, d):
     found = px.pixel_features(t.text_images(spark, d), "artifacts")
     return found.select("item_id", F.round("avg_dct_energy", 3).alias("avg_dct_energy"), *[F.round(c, 4).alias(c) for c in ("edge_density_pct", "noise_level")], *[F.round(c, 4).alias(c) for c in (
         "laplacian_var", "brightness", "contrast", "saturation", "file_size_kb", "skin_smoothness_std")])
 
 
-@query("image_artifacts_all")
+@query("image_artifacts_all", with_views(ITEMS, ARTIFACTS) + r"""
+SELECT item_id, round(avg_dct_energy, 1) AS avg_dct_energy, round(edge_density_pct, 2) AS edge_density_pct, round(noise_level, 2) AS noise_level, round(laplacian_var, 2) AS laplacian_var, round(brightness, 2) AS brightness, round(contrast, 2) AS contrast, round(saturation, 2) AS saturation, round(file_size_kb, 2) AS file_size_kb, round(skin_smoothness_std, 2) AS skin_smoothness_std FROM art""")
 def image_artifacts_all(spark, d):
-    return px.pixel_features(t.text_images(spark, d), "artifacts")
+    """All artifact features in one row per image, to two decimals."""
+    found = px.pixel_features(t.text_images(spark, d), "artifacts")
+    return found.select("item_id", F.round("avg_dct_energy", 1).alias("avg_dct_energy"), *[F.round(c, 2).alias(c) for c in found.columns[1:] if c != "avg_dct_energy"])
 
 
 @query("image_metrics", with_views(ITEMS, PIXELS, r"""
@@ -349,9 +400,17 @@ def laplacian_residual(spark, d):
     return found.select("item_id", *[F.round(c, 4).alias(c) for c in ("residual_abs_mean", "residual_std", "boosted_mean", "boosted_std")])
 
 
-@query("feature_vectors")
+@query("feature_vectors", with_views(ITEMS, PIXELS, r"""
+ch AS (SELECT item_id, height, x, y, 0 AS c, r AS v FROM px UNION ALL SELECT item_id, height, x, y, 1, g FROM px UNION ALL SELECT item_id, height, x, y, 2, b FROM px),
+rows_ AS (SELECT item_id, c, i, x, sum(greatest(0, least((i + 1) * height / 8.0::DOUBLE, y + 1) - greatest(i * height / 8.0::DOUBLE, y)) * 8 / height * v) AS v FROM ch, range(8) f(i) GROUP BY item_id, c, i, x),
+cell AS (SELECT item_id, c, i, j, sum(v) / 6 AS v FROM rows_, range(8) f(j) WHERE x // 6 = j GROUP BY item_id, c, i, j),
+vec AS (SELECT item_id, (v / 255 - [0.485, 0.456, 0.406][c + 1]::DOUBLE) / [0.229, 0.224, 0.225][c + 1]::DOUBLE AS v FROM cell)""") + r"""
+SELECT item_id, CAST(count(*) AS INTEGER) AS size, round(min(v), 3) AS smallest, round(max(v), 3) AS largest FROM vec GROUP BY item_id""")
 def feature_vectors(spark, d):
-    return px.feature_vectors(t.text_images(spark, d), 8)
+    """Size and range of every normalised vector; the vectors themselves are what the operator returns."""
+    found = px.feature_vectors(t.text_images(spark, d), 8)
+    wide = F.transform("vector", lambda x: x.cast("double"))
+    return found.select("item_id", F.size("vector").alias("size"), F.round(F.array_min(wide), 3).alias("smallest"), F.round(F.array_max(wide), 3).alias("largest"))
 
 
 @query("augment_images")
@@ -359,12 +418,16 @@ def augment_images(spark, d):
     return px.augment(t.text_images(spark, d), 3).select("item_id", "kind", "height", "width", F.md5("data").alias("pixels_md5"))
 
 
-@query("false_positive_artifacts")
+ARTIFACT_METRICS = [name for _, name, _, _ in inv.FAILURE_RULES if name != "brightness"] + ["brightness"]
+
+
+@query("false_positive_artifacts", with_views(ITEMS, ARTIFACTS, PREDICTIONS, f"o AS (SELECT a.*, {OUTCOME} AS outcome FROM art a JOIN predictions p USING (item_id))",
+    "l AS (" + " UNION ALL ".join(f"SELECT outcome, '{c}' AS metric, {c}::DOUBLE AS v FROM o" for c in dict.fromkeys(ARTIFACT_METRICS)) + ")", COHORTS) + COHORT_ROWS)
 def false_positive_artifacts(spark, d):
     """Artifact features of false positives against true negatives."""
     rows = t.predictions(spark, d).select("item_id", "label", "p_micro")
     found = px.pixel_features(t.text_images(spark, d), "artifacts").join(rows, "item_id")
-    return inv.compare_cohorts(inv.with_outcome(found, 0.52), [name for _, name, _, _ in inv.FAILURE_RULES if name != "brightness"] + ["brightness"])
+    return inv.compare_cohorts(inv.with_outcome(found, 0.52), list(dict.fromkeys(ARTIFACT_METRICS)))
 
 
 # --- stream ------------------------------------------------------------------

@@ -18,9 +18,12 @@ FLIP_MANIFEST = "flips array<struct<path:string,stored:int,corrected:int>>"
 SCORE_MANIFEST = "path string, prob double"
 
 
-def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON document, or a list of objects, with a stated schema."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_report(spark: SparkSession, path: str, schema: str, one_document: bool = True) -> DataFrame:
+    """JSON with a stated schema: files that are one document or list each, or with an object per line.
+
+    A document over many lines is parsed by one task; large reports belong in lines.
+    """
+    return spark.read.schema(schema).option("multiLine", one_document).json(path)
 
 
 def report_groups(report: DataFrame, column: str = "exact_duplicates") -> DataFrame:

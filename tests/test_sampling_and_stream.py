@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from curatrix.functions import scalar as sc
@@ -44,9 +45,10 @@ def test_seeded_samples_repeat(spark):
     assert sp.oversample(df, 3).count() == 600
 
 
-def test_mixup(spark):
+@pytest.mark.parametrize("alpha", [0.4, 1])
+def test_mixup(spark, alpha):
     df = spark.range(40).select(F.col("id").alias("item_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("x"), (F.col("id") % 2).alias("y"))
-    rows = sp.mixup(df, "x", "y", 4, 0.4, 9).collect()
+    rows = sp.mixup(df, "x", "y", 10, alpha, 9).collect()
     assert sorted(r["partner_id"] for r in rows) == list(range(40))
     for r in rows:
         assert 0 <= r["lam"] <= 1
