@@ -108,12 +108,15 @@ def basic_features(bgr: np.ndarray, file_size: int) -> dict:
     g = grey(bgr)
     return {
         "brightness": float(g.mean()),
-        "blur_score": float(laplacian(area_resize(g, 224, 224)).var()),
         "pixel_std": float(bgr.std()),
         "dhash": dhash(g),
     }
 
 
+def blur_features(bgr: np.ndarray, file_size: int, side: int = 224) -> dict:
+    return {"blur_score": float(laplacian(area_resize(grey(bgr), side, side)).var())}
+
+
 def artifact_features(bgr: np.ndarray, file_size: int) -> dict:
     g = grey(bgr)
     h, w = g.shape
@@ -179,7 +182,8 @@ def residual_features(bgr: np.ndarray, file_size: int, weight: float = 0.3) -> d
 
 
 FAMILIES: dict[str, tuple[Callable[[np.ndarray, int], dict], str]] = {
-    "basic": (basic_features, "brightness double, blur_score double, pixel_std double, dhash bigint"),
+    "basic": (basic_features, "brightness double, pixel_std double, dhash bigint"),
+    "blur": (blur_features, "blur_score double"),
     "artifacts": (artifact_features,
                   "laplacian_var double, avg_dct_energy double, skin_smoothness_std double, edge_density_pct double, "
                   "brightness double, contrast double, saturation double, noise_level double, file_size_kb double"),
@@ -213,11 +217,12 @@ def _per_image(df: DataFrame, carry: Sequence[str], schema: str, work: Callable[
     return df.select(*needed).mapInPandas(run, f"{carried}, {schema}")
 
 
-def pixel_features(images: DataFrame, families: str | Sequence[str], carry: Sequence[str] = ("item_id",)) -> DataFrame:
-    """One flat feature row per image; families: basic, artifacts, forensics, residual.
+def pixel_features(images: DataFrame, families: str | Sequence[str], carry: Sequence[str] = ("item_id",), side: int | None = None) -> DataFrame:
+    """One flat feature row per image; families: basic, blur, artifacts, forensics, residual.
 
     Several families share one pass over the pixels; a column that two of them
-    have comes once.
+    have comes once. ``side`` is the size that blur and forensics resize to, where
+    it is not their own.
     """
     chosen = [families] if isinstance(families, str) else list(families)
     helpers = [FAMILIES[f][0] for f in chosen]
@@ -226,7 +231,8 @@ def pixel_features(images: DataFrame, families: str | Sequence[str], carry: Sequ
     def work(r) -> dict:
         bgr, out = to_array(r.height, r.width, r.nChannels, r.data), {}
         for helper in helpers:
-            out |= helper(bgr, r.file_size)
+            sized = side is not None and helper in (blur_features, forensic_signals)
+            out |= helper(bgr, r.file_size, side) if sized else helper(bgr, r.file_size)
         return out
 
     return _per_image(images, carry, schema, work)

@@ -272,7 +272,7 @@ FEATURES = ("brightness", "blur_score", "pixel_std", "file_size")
 
 def _featured(spark, d):
     rows = t.predictions(spark, d).select("item_id", "split", "label_q")
-    return materialize(t.item_metrics(spark, d).where("not is_corrupt").select("item_id", *FEATURES).join(rows, "item_id"), "features")
+    return materialize(t.item_metrics(spark, d).select("item_id", *FEATURES).join(rows, "item_id"), "features")
 
 
 @query("fit_baseline")
@@ -283,6 +283,24 @@ def fit_baseline(spark, d):
     return m.confusion(cal.score(model, rows.where("split = 'Test'")), threshold, "label_q").withColumn("threshold", F.lit(threshold))
 
 
+def _signals():
+    c = F.col
+    return {"high_freq_ratio": c("pixel_std") / 8, "low_var_ratio": 1.0 / (1.0 + c("blur_score") / 50), "peak_ratio": c("brightness") / 1200,
+            "edge_ratio": c("blur_score") / 400, "block_ratio": c("file_size") / 100_000.0, "symmetry_diff": c("pixel_std") * 4}
+
+
+@query("score_model_stream")
+def score_model_stream(spark, d):
+    """The baseline fitted on the training split, then all items as a stream through it and through the heuristics."""
+    rows = _featured(spark, d)
+    model = cal.fit_baseline(rows.where("split = 'Train'"), FEATURES, "label_q")
+    source, sink = scratch_path(spark, "arriving"), scratch_path(spark, "scored-items")
+    t.item_metrics(spark, d).select("item_id", *FEATURES).write.parquet(source)
+    arriving = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    scoring.stream_items(arriving, model, _signals(), sink, scratch_path(spark, "scored-items-state")).awaitTermination()
+    return spark.read.parquet(sink)
+
+
 @query("score_external", with_views(ITEMS, METRICS) + r"""
 SELECT item_id, round(1.0::DOUBLE / (1.0::DOUBLE + exp(-(brightness / 100 - blur_score / 80))), 6) AS p FROM metrics WHERE NOT is_corrupt""")
 def score_external(spark, d):
@@ -373,10 +391,16 @@ def image_dhash(spark, d):
     return found.select("item_id", F.lpad(F.bin("dhash"), 64, "0").alias("bits"))
 
 
-@query("image_hashes")
+@query("image_hashes", with_views(ITEMS, PIXELS, r"""
+rows_ AS (SELECT item_id, i, x, sum(greatest(0, least((i + 1) * height / 16.0::DOUBLE, y + 1) - greatest(i * height / 16.0::DOUBLE, y)) * 16 / height * l) AS v FROM luma, range(16) f(i) GROUP BY item_id, i, x),
+cell AS (SELECT item_id, i, x // 3 AS j, sum(v) / 3 AS v FROM rows_ GROUP BY item_id, i, x // 3),
+lap AS (SELECT item_id, coalesce(lag(v) OVER rw, 0) + coalesce(lead(v) OVER rw, 0) + coalesce(lag(v) OVER cl, 0) + coalesce(lead(v) OVER cl, 0) - 4 * v AS e
+  FROM cell WINDOW rw AS (PARTITION BY item_id, i ORDER BY j), cl AS (PARTITION BY item_id, j ORDER BY i))""") + r"""
+SELECT item_id, round(var_pop(e), 3) AS blur_score, var_pop(e) < 50 AS is_blurry FROM lap GROUP BY item_id""")
 def image_hashes(spark, d):
-    found = px.pixel_features(t.text_images(spark, d), "basic")
-    return found.select("item_id", "dhash", F.round("blur_score", 6).alias("blur_score"), sc.is_blurry(F.col("blur_score")).alias("is_blurry"))
+    """Blur of every image at a side of 16 pixels."""
+    found = px.pixel_features(t.text_images(spark, d), "blur", side=16)
+    return found.select("item_id", F.round("blur_score", 3).alias("blur_score"), sc.is_blurry(F.col("blur_score")).alias("is_blurry"))
 
 
 @query("forensic_verdicts")

@@ -27,26 +27,30 @@ def scan_items(spark: SparkSession, root: str, extensions: Sequence[str] = cv.EX
         sc.file_name(path).alias("stem"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"), "content")
 
 
-def scan_images(spark: SparkSession, root: str, extensions: Sequence[str] = cv.EXTENSIONS, hashed: bool = True) -> DataFrame:
+def scan_images(spark: SparkSession, root: str, extensions: Sequence[str] = cv.EXTENSIONS) -> DataFrame:
     """Decoded images; a file that does not decode is a row with ``is_corrupt`` and no pixels, never a failure.
 
-    The content hash needs the file bytes next to the decoder, a second read of
-    each file; ``hashed=False`` leaves it out (null) where it is known already.
+    Pixels stay in the task that read them: take features from these rows before
+    joining anything, such as ``content_hashes``.
     """
-    known = scan_items(spark, root, extensions)
     names = ",".join(x for e in extensions for x in (e.lower(), e.upper()))
+    path = F.regexp_replace("image.origin", r"^file:/*", "/")
     decoded = (
         spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.{" + names + "}").load(root)
-        .select(F.regexp_replace("image.origin", r"^file:/*", "/").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
     )
-    both = known.select("path", "split", "class", "stem", "file_size", (sc.content_hash(F.col("content")) if hashed else F.lit(None).cast("string")).alias("content_md5")).join(decoded, "path", "left")
-    bad = F.coalesce(F.col("height") <= 0, F.lit(True))
-    return both.select(
-        "path", "split", "class", "stem", "file_size", "content_md5",
-        *[F.when(~bad, F.col(c)).alias(c) for c in ("height", "width", "nChannels", "data")],
+    bad = F.coalesce(F.col("image.height") <= 0, F.lit(True))
+    return decoded.select(
+        path.alias("path"), sc.path_segment(path, cv.SPLITS).alias("split"), sc.path_segment(path, cv.CLASSES).alias("class"),
+        sc.file_name(path).alias("stem"), F.col("_metadata.file_size").alias("file_size"),
+        *[F.when(~bad, F.col(f"image.{c}")).alias(c) for c in ("height", "width", "nChannels", "data")],
         bad.alias("is_corrupt"), F.when(bad, F.lit("cannot decode")).alias("error"))
 
 
+def content_hashes(spark: SparkSession, root: str, extensions: Sequence[str] = cv.EXTENSIONS) -> DataFrame:
+    """(path, content_md5) of every file, straight from its bytes."""
+    return scan_items(spark, root, extensions).select("path", sc.content_hash(F.col("content")).alias("content_md5"))
+
+
 def decode_upload(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("content", sc.decode_upload(F.col(column)))

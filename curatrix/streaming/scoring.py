@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from curatrix.functions import scalar as sc
+from curatrix.operators.calibration import score
 from curatrix.sources.tables import events_scored
 
 
@@ -31,6 +32,21 @@ def score_events(events: DataFrame, threshold: float = 0.52, temperature: float
         sc.score_band(points).alias("band"))
 
 
+def score_items(items: DataFrame, model, signals: dict[str, Column]) -> DataFrame:
+    """Probability of a fitted model, and the heuristic score of ``signals``, for every item; batch and stream alike."""
+    found = score(model, items).withColumn("_h", sc.heuristic_score(signals))
+    return found.select("item_id", F.round("p", 6).alias("p"), F.col("_h.score").alias("heuristic"),
+                        sc.risk_verdict(F.col("_h.score"))["verdict"].alias("risk_verdict"))
+
+
+def stream_items(items: DataFrame, model, signals: dict[str, Column], sink: str, checkpoint: str) -> StreamingQuery:
+    """``score_items`` over a stream, appended to a Parquet folder."""
+    return (
+        score_items(items, model, signals).writeStream.format("parquet").outputMode("append")
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink)
+    )
+
+
 def score_stream(events: DataFrame, sink: str, checkpoint: str, **options) -> StreamingQuery:
     """Score a stream into a Parquet folder; ``availableNow`` empties the source and stops."""
     return (

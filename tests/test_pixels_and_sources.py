@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from curatrix.functions import scalar as sc
 from curatrix.operators import investigate as inv
 from curatrix.operators import pixels as px
+from curatrix.plans.cleaning import audit_folder
 from curatrix.sources import images as im
 from curatrix.sources import reports as rp
 
@@ -53,7 +54,7 @@ def folder(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def scanned(spark, folder):
-    return im.scan_images(spark, folder).withColumnRenamed("stem", "item_id")
+    return im.scan_images(spark, folder).join(im.content_hashes(spark, folder), "path").withColumnRenamed("stem", "item_id")
 
 
 def test_scan_items(spark, folder):
@@ -145,7 +146,7 @@ def image_of(row):
 
 
 def test_basic_features(scanned):
-    found = {r["item_id"]: r for r in px.pixel_features(scanned, "basic").collect()}
+    found = {r["item_id"]: r for r in px.pixel_features(scanned, ["basic", "blur"]).collect()}
     assert found["broken.png"]["brightness"] is None and found["broken.png"]["dhash"] is None
     assert found["flat.png"]["pixel_std"] == 0 and found["flat.png"]["brightness"] == 77
     assert found["dark.png"]["brightness"] == 3 and found["bright.png"]["brightness"] == 250
@@ -183,8 +184,8 @@ def test_resize_and_forensics_against_loops():
 
 
 def test_families_share_a_pass(scanned):
-    both = {r["item_id"]: r.asDict() for r in px.pixel_features(scanned, ["basic", "artifacts", "residual"]).collect()}
-    for family in ("basic", "artifacts", "residual"):
+    both = {r["item_id"]: r.asDict() for r in px.pixel_features(scanned, ["basic", "blur", "artifacts", "residual"]).collect()}
+    for family in ("basic", "blur", "artifacts", "residual"):
         for r in px.pixel_features(scanned, family).collect():
             assert all(both[r["item_id"]][c] == v for c, v in r.asDict().items())
 
@@ -242,3 +243,17 @@ def test_path_meta_takes_the_last_match(spark):
     df = spark.createDataFrame([("/Train/x/Real/Test/Fake/a.jpg",), ("/none/b.jpg",)], "path string")
     rows = [tuple(r["m"]) + (r["n"],) for r in df.select(sc.path_meta(F.col("path")).alias("m"), sc.file_name(F.col("path")).alias("n")).collect()]
     assert rows == [("Test", "Fake", "a.jpg"), (None, None, "b.jpg")]
+
+
+def test_folder_audit(spark, folder):
+    """A folder of files to all tables of an audit, broken files included."""
+    tables = audit_folder(spark, folder)
+    summary = tables["summary"].first()
+    assert (summary["total_images"], summary["valid_images"], summary["corrupt_images"]) == (12, 10, 2)
+    assert summary["exact_duplicate_groups"] == 1 and summary["cross_split_leakage"]
+    assert {r["item_id"].rsplit("/", 1)[1] for r in tables["errors"].collect()} == {"broken.png", "text.PNG"}
+    flags = {r["flag"]: (r["n_flagged"], r["percent"]) for r in tables["flags"].collect()}
+    assert flags["is_dark"] == (1, 10.0) and flags["is_corrupt"] == (2, round(200 / 12, 6))
+    assert tables["issues"].first()["severity"] == "CRITICAL"
+    assert {r["metric"]: r["n"] for r in tables["profile"].collect()}["brightness"] == 10
+    assert "Exchange" not in px.pixel_features(im.scan_images(spark, folder), "basic", carry=("path",))._jdf.queryExecution().toString()
