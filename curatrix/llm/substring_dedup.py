@@ -29,7 +29,7 @@ from curatrix.llm.recompression import Symbols, parse
 
 WINDOW = 20
 ROUNDS = 2
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 KEYS_DDL = "doc_id long, n_words long, sha string, sent array<long>, found array<long>, loose boolean"
 WINDOWS_DDL = "doc_id long, raw binary, cut array<int>, starts array<int>, names array<long>, checks array<int>"
