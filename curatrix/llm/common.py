@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.session import materialize
+from curatrix.session import scratch_path
 
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Words are runs of anything but these six; ``bytes.split()`` cuts at exactly the same bytes.
@@ -99,4 +99,26 @@ def spans(words: list[bytes], gap: int = 1) -> tuple[np.ndarray, np.ndarray]:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read back: computed once, and safe from lost executors."""
-    return materialize(df, name)
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+FILTER_BITS = 1 << 23
+
+
+def maybe_in(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key may be among ``ids``: all that are, and few others, found without moving any row.
+
+    Keys set bits of a bitmap of FILTER_BITS bits (one megabyte, whatever the input), which is broadcast. With very many ids it
+    lets everything through, so it only ever saves; a join has to follow.
+    """
+    def position(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+    bits = ids.where(F.col(key).isNotNull()).select(position(F.col(key)).alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    at = F.bitmap_bit_position(position(F.col(key)))
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumns({"_bucket": F.bitmap_bucket_number(position(F.col(key))), "_at": at}).join(F.broadcast(bits), "_bucket")
+    return met.where(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*rows.columns)

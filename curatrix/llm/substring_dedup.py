@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import WordNames, mix, raw, spans, written
+from curatrix.llm.common import WordNames, maybe_in, mix, raw, spans, written
 from curatrix.llm.recompression import Symbols, parse
 
 WINDOW = 20
@@ -253,8 +253,8 @@ def repeated_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = sent.select("doc_id", "key", (F.lag("key").over(key).isNotNull() | F.lead("key").over(key).isNotNull()).alias("hit"))
     told = shared.where("hit").select("doc_id", "key").unionByName(
         whole.select("doc_id", F.explode_outer("found").alias("key"), "loose").where("loose OR key IS NOT NULL").select("doc_id", "key"))
-    asked = told.groupBy("doc_id").agg(F.collect_set("key").alias("keys")).join(copies, "doc_id", "left_anti")
-    windows = written(candidate_windows(source.join(asked, "doc_id"), window, rounds), "windows")
+    asked = written(told.groupBy("doc_id").agg(F.collect_set("key").alias("keys")).join(copies, "doc_id", "left_anti"), "asked")
+    windows = written(candidate_windows(maybe_in(source, asked, "doc_id").join(asked, "doc_id"), window, rounds), "windows")
 
     name = Window.partitionBy("name", "check").orderBy("doc_id", "start")
     exploded = windows.select("doc_id", F.explode(F.arrays_zip("starts", "names", "checks")).alias("w")).select(

@@ -11,6 +11,7 @@ import sentencepiece
 import tiktoken
 
 from curatrix.llm import bpe, decontaminate, line_dedup, quality_rules, simhash, substring_dedup, token_counts
+from curatrix.llm.common import maybe_in
 from curatrix.llm.fm_index import FMIndex
 from curatrix.llm.recompression import parse
 from tests.llm import brute
@@ -197,3 +198,10 @@ def test_empty_tables(no_docs, spark):
 def test_no_benchmark(edge_docs, spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.drop_contaminated(edge_docs, items).count() == edge_docs.count()
+
+
+def test_bitmap_lets_through_all_that_are_there(spark):
+    rows, ids = spark.range(-20_000, 20_000).withColumnRenamed("id", "doc_id"), spark.range(-900, 900, 7).withColumnRenamed("id", "doc_id")
+    passed = maybe_in(rows, ids, "doc_id")
+    assert passed.join(ids, "doc_id").count() == ids.count() == passed.join(ids, "doc_id", "left_semi").count()
+    assert passed.count() < ids.count() + 200 and maybe_in(rows, ids.limit(0), "doc_id").count() == 0
