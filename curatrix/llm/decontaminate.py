@@ -190,6 +190,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     an item shorter than a window is one window. Items with equal text all count. Repeated rows of
     ``docs`` each get a row. Extra columns are not read.
     """
+    return _found(docs, benchmark, window, block_bytes, id_col, text_col).drop("digest")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, id_col: str, text_col: str) -> DataFrame:
+    """As ``find_contamination``, with the MD5 of each text (of the empty text for null)."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw(text_col).alias("raw"))
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), raw().alias("raw"))
     size = items.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
@@ -200,7 +205,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         sent = [(r.item_id, r.raw and bytes(r.raw)) for r in placed.where(F.col("block") == block).collect()]
         parts.append(_search_block(source, sent, window))
     if n_blocks == 1:
-        return parts[0].drop("digest")
+        return parts[0]
     # Equal rows have equal results, so they are merged with their number and dealt out again.
     together = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "digest", "n_words").agg(
         F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.flatten(F.collect_set("items"))).alias("items"),
@@ -210,15 +215,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         for batch in batches:
             spans = [merged({tuple(s) for s in found}) for found in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(spans, RESULT.field("spans").type), batch.column(3), batch.column(4)],
-                ["doc_id", "n_words", "spans", "items", "copies"])
+                [batch.column(0), batch.column(1), pa.array(spans, RESULT.field("spans").type), batch.column(3), batch.column(4), batch.column(5)],
+                ["doc_id", "n_words", "spans", "items", "digest", "copies"])
 
-    return together.select("doc_id", "n_words", "spans", "items", "copies").mapInArrow(
-        join_spans, "doc_id long, n_words long, spans array<array<long>>, items array<string>, copies int"
-    ).select("doc_id", "n_words", "spans", F.array_distinct("items").alias("items"), F.explode(F.sequence(F.lit(1), "copies")).alias("_i")).drop("_i")
+    return together.select("doc_id", "n_words", "spans", "items", "digest", "copies").mapInArrow(
+        join_spans, "doc_id long, n_words long, spans array<array<long>>, items array<string>, digest binary, copies int"
+    ).select("doc_id", "n_words", "spans", F.array_distinct("items").alias("items"), "digest", F.explode(F.sequence(F.lit(1), "copies")).alias("_i")).drop("_i")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without those that hold any window of the benchmark."""
-    hit = find_contamination(docs, benchmark, window).where("size(spans) > 0").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(hit, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """``docs`` without those that hold any window of the benchmark; rows are told apart by id and text, null ids too."""
+    hit = _found(docs, benchmark, window, BLOCK_BYTES, "doc_id", "text").where("size(spans) > 0").select(
+        F.col("doc_id").alias("_gone"), F.col("digest").alias("_digest")).distinct()
+    digest = F.unhex(F.md5(docs["text"].cast("string")))
+    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")) & (digest == F.col("_digest")), "left_anti")
