@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import bpe, decontaminate, html_main, line_dedup, quality_rules, secret_scan, simhash, substring_dedup, token_counts, toxicity
+from curatrix.llm import bpe, decontaminate, html_main, line_dedup, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -153,3 +153,21 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, folder, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op11_suffix_dedup", """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, doc_id, 1000 * k AS base, substring(h, 2000 * k + 1, 2098) AS h FROM t, unnest(range(length(h) // 2000 + 1)) AS u(k)),
+g AS (SELECT r, doc_id, base + i AS i, substring(h, 2 * i + 1, 100) AS g FROM c, unnest(range(least(1000, length(h) // 2 - 49))) AS u(i)),
+f AS (SELECT g, min(doc_id) AS owner FROM g GROUP BY g),
+d AS (SELECT r, i FROM g JOIN f USING (g) WHERE doc_id > owner),
+e AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 50, true) AS opens FROM d),
+n AS (SELECT r, i, sum(opens::INT) OVER (PARTITION BY r ORDER BY i) AS span FROM e),
+s AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM n GROUP BY r, span),
+p AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS last FROM s),
+k AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS b, string_agg(substring(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS kept
+      FROM p JOIN t USING (r) GROUP BY r)
+SELECT doc_id, length(h)::BIGINT // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(b, 0) + 1))) AS kept_sha256 FROM t LEFT JOIN k USING (r)""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.drop_repeats(table(spark, folder, "documents"))
