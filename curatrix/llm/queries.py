@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import bpe, decontaminate, html_main, line_dedup, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
+from curatrix.llm import bpe, decontaminate, divergence, html_main, importance, line_dedup, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -171,3 +171,34 @@ SELECT doc_id, length(h)::BIGINT // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT
        sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(b, 0) + 1))) AS kept_sha256 FROM t LEFT JOIN k USING (r)""")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.drop_repeats(table(spark, folder, "documents"))
+
+
+@query("op12_importance")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("n_words")
+
+
+@query("op13_divergence", """
+WITH t AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+d AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM t) GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n_lang FROM d GROUP BY ALL HAVING count(*) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n_lang) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM t),
+c AS (SELECT lang, source, term, sum(n) AS n FROM d JOIN k USING (lang, term) GROUP BY ALL),
+a AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n_lang FROM g JOIN k USING (lang)
+      LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT lang, source, sum(n) AS total FROM a GROUP BY ALL),
+p AS (SELECT a.lang, a.source, a.term, a.n, 1 + 1000000000::HUGEINT * (a.n + 2) // (s.total + 2 * v.v) AS p,
+             1 + 1000000000::HUGEINT * (a.n_lang + 2) // (v.total + 2 * v.v) AS q
+      FROM a JOIN s ON a.lang = s.lang AND a.source = s.source JOIN v ON a.lang = v.lang),
+x AS (SELECT g.lang, g.source, o.source AS item FROM g JOIN g AS o ON g.lang = o.lang AND g.source <> o.source),
+y AS (SELECT p.lang, p.source, o.source AS item, sum((p.p - o.p) * (p.p - o.p) // (p.p + o.p)) AS value
+      FROM p JOIN p AS o ON p.lang = o.lang AND p.term = o.term AND p.source <> o.source GROUP BY ALL),
+z AS (SELECT lang, source, 'pair' AS part, item, coalesce(y.value, 0) AS value FROM x LEFT JOIN y USING (lang, source, item)
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q),
+n AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM z)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM n WHERE part = 'pair' OR rank <= 10""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
