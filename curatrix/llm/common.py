@@ -62,10 +62,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordNames:
-    """64-bit names of byte ranges: two polynomials modulo 2^64, mixed into one number.
+    """64-bit names of byte ranges: the sum of a hash of each byte together with its place in the range, mixed with the length.
 
     Equal bytes get equal names anywhere, without a dictionary, so names need no
-    shuffle. Powers are kept and grow with the longest text seen.
+    shuffle. Powers of two bases, for sums over words, are kept and grow with the longest text seen.
     """
 
     def __init__(self) -> None:
@@ -80,14 +80,13 @@ class WordNames:
                     table[k] = np.concatenate([table[k], table[k] * np.uint64(pow(base, m, 1 << 64))])
 
     def __call__(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        self._grow(len(text) + 1)
-        plus = text.astype(np.uint64) + np.uint64(1)
-        out = (ends - starts).astype(np.uint64)
-        for power, inverse in zip(self.power, self.inverse):
-            sums = np.zeros(len(text) + 1, np.uint64)
-            np.cumsum(plus * power[:len(text)], out=sums[1:])
-            out = mix(out * JOIN + (sums[ends] - sums[starts]) * inverse[starts])
-        return out
+        sizes = ends - starts
+        edges = np.cumsum(sizes)
+        place = np.arange(edges[-1] if len(edges) else 0) - np.repeat(edges - sizes, sizes)
+        value = mix((place.astype(np.uint64) << np.uint64(8) | text[place + np.repeat(starts, sizes)]) * JOIN + JOIN)
+        sums = np.zeros(len(value) + 1, np.uint64)
+        np.cumsum(value, out=sums[1:])
+        return mix((sums[edges] - sums[edges - sizes]) * JOIN + sizes.astype(np.uint64))
 
 
 def spans(words: list[bytes], gap: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -107,12 +106,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 FILTER_BITS = 1 << 23
 
 
-def maybe_in(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose key may be among ``ids``: all that are, and few others, found without moving any row.
-
-    Keys set bits of a bitmap of FILTER_BITS bits (one megabyte, whatever the input), which is broadcast. With very many ids it
-    lets everything through, so it only ever saves; a join has to follow.
-    """
+def _flagged(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """``rows`` with ``_hit``: may their key be among ``ids``? An inner join drops most that are not at once."""
     def position(column: Column) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
@@ -120,5 +115,50 @@ def maybe_in(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
         F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
     at = F.bitmap_bit_position(position(F.col(key)))
     byte = F.conv(F.hex(F.substring("_bits", (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    met = rows.withColumns({"_bucket": F.bitmap_bucket_number(position(F.col(key))), "_at": at}).join(F.broadcast(bits), "_bucket")
-    return met.where(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*rows.columns)
+    met = rows.withColumns({"_bucket": F.bitmap_bucket_number(position(F.col(key))), "_at": at}).join(F.broadcast(bits), "_bucket", how)
+    return met.withColumn("_hit", F.coalesce(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1, F.lit(False)))
+
+
+def maybe_in(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key may be among ``ids``: all that are, and few others, found without moving any row.
+
+    Keys set bits of a bitmap of FILTER_BITS bits (one megabyte, whatever the input), which is broadcast. With very many ids it
+    lets everything through, so it only ever saves; a join has to follow.
+    """
+    return _flagged(rows, ids, key, "inner").where("_hit").select(*rows.columns)
+
+
+def parted(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key is surely not among ``ids``, and all others; see ``maybe_in``."""
+    flagged = _flagged(rows, ids, key, "left")
+    return flagged.where("NOT _hit").select(*rows.columns), flagged.where("_hit").select(*rows.columns)
+
+
+#: Bits of a filter of hashes: 16 megabytes, whatever the input. More hashes only let more through.
+MAP_BITS = 1 << 27
+BUCKET_BITS = 1 << 15
+NEVER = (1 << 63) - 1
+
+
+def filters(hashes: DataFrame, crowded: int = NEVER) -> tuple[np.ndarray, np.ndarray]:
+    """Bloom filters, with two bits for each, of the hashes and of those with more than ``crowded`` regions; their size is fixed."""
+    places = F.array(F.col("key").bitwiseAND(F.lit(MAP_BITS - 1)), F.shiftrightunsigned("key", 27).bitwiseAND(F.lit(MAP_BITS - 1)))
+    rows = hashes.select("n", F.explode(places).alias("place")).select(
+        "n", (F.col("place") / BUCKET_BITS).cast("int").alias("bucket"), (F.col("place") % BUCKET_BITS).alias("bit")).groupBy("bucket").agg(
+        F.expr("bitmap_construct_agg(bit)").alias("every"),
+        F.expr(f"if(max(n) > {crowded}, bitmap_construct_agg(bit) FILTER (WHERE n > {crowded}), NULL)").alias("many")).collect()
+    out = []
+    for name in ("every", "many"):
+        bits = np.zeros((MAP_BITS // BUCKET_BITS, BUCKET_BITS // 8), np.uint8)
+        for row in rows:
+            if row[name]:
+                bits[row.bucket] = np.frombuffer(bytes(row[name]), np.uint8)
+        out.append(bits.reshape(-1))
+    return out[0], out[1]
+
+
+def among(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    found = np.ones(len(keys), bool)
+    for place in (keys & np.uint64(MAP_BITS - 1), keys >> np.uint64(27) & np.uint64(MAP_BITS - 1)):
+        found &= (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return found

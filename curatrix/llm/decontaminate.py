@@ -48,7 +48,7 @@ class Windows:
         for item, text in items:
             words = words_of(text)
             for i in range(max(1, len(words) - window + 1) if words else 0):
-                owners[tuple(words[i:i + window])].add(item)
+                owners[tuple(words[i:i + window])].update([] if item is None else [item])
         self.words = sorted({w for key in owners for w in key})
         number = {w: i + 1 for i, w in enumerate(self.words)}
         lengths: dict[int, list[tuple[bytes, ...]]] = defaultdict(list)
@@ -186,7 +186,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """(doc_id, n_words, spans, items) for every row of ``docs``.
 
     ``spans`` are the merged word ranges [first, behind last) that occur in the benchmark, ``items`` the ids (as
-    strings) whose windows do. Null and empty texts have no words; items without words are never found, and
+    strings) whose windows do; windows of items without an id are hit, too, and named by no id. Null and empty texts have no words; items without words are never found, and
     an item shorter than a window is one window. Items with equal text all count. Repeated rows of
     ``docs`` each get a row. Extra columns are not read.
     """
@@ -196,10 +196,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, id_col: str, text_col: str) -> DataFrame:
     """As ``find_contamination``, with the MD5 of each text (of the empty text for null)."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw(text_col).alias("raw"))
-    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), raw().alias("raw"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), raw().alias("raw"))
     size = items.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     n_blocks = int(-(-size // block_bytes)) or 1
-    placed = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)))
+    placed = items.withColumn("block", F.pmod(F.xxhash64("item_id", "raw"), F.lit(n_blocks)))
     parts = []
     for block in range(n_blocks):
         sent = [(r.item_id, r.raw and bytes(r.raw)) for r in placed.where(F.col("block") == block).collect()]
@@ -225,7 +225,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int,
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without those that hold any window of the benchmark; rows are told apart by id and text, null ids too."""
-    hit = _found(docs, benchmark, window, BLOCK_BYTES, "doc_id", "text").where("size(spans) > 0").select(
-        F.col("doc_id").alias("_gone"), F.col("digest").alias("_digest")).distinct()
-    digest = F.unhex(F.md5(docs["text"].cast("string")))
-    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")) & (digest == F.col("_digest")), "left_anti")
+    hit = _found(docs, benchmark, window, BLOCK_BYTES, "doc_id", "text").where("size(spans) > 0").select("doc_id", "digest").distinct()
+    # Columns of the documents are one struct, so that none can clash.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    same = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.unhex(F.md5(F.col("doc.text").cast("string"))) == F.col("digest"))
+    return own.join(hit, same, "left_anti").select("doc.*")

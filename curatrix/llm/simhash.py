@@ -140,9 +140,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = named.join(smallest, "component").select("fp", "component_id")
     return hashed.join(groups, "fp").select("doc_id", "fp", "component_id")
 
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id (its repeated rows stay)."""
-    marked = near_duplicates(docs, id_col, text_col, distance).where("doc_id <> component_id").select(
-        F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(marked, docs[id_col] == F.col("_gone"), "left_anti")

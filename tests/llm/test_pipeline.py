@@ -2,25 +2,38 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
 from curatrix.llm import bpe
 from tests.llm import brute
+from tests.llm.test_near_text import kept_by_hand
+
+
+def clean_lines(rows, ratio=0.1, least=5):
+    """rows: (id, text, host) -> texts without lines that too many different texts of their host have."""
+    pages = {}
+    for _, text, host in rows:
+        pages.setdefault(host, set()).add(text)
+    lines = {h: Counter(x for t in texts for x in set((t or "").split("\n")) if brute.WORD.search(x)) for h, texts in pages.items()}
+    return [t if t is None or h is None else "\n".join(x for x in t.split("\n") if lines[h][x] < least or lines[h][x] <= ratio * len(pages[h]))
+            for _, t, h in rows]
 
 
 def by_hand(docs, items):
     """docs: (id, text, host); no host fails often enough here to be rejected."""
     rows = [r for r in docs if not brute.quality(r[1])[-1]]
-    rows = [(d, t, h) for (d, _, h), t in zip(rows, brute.clean_lines(rows))]
-    groups = {d: c for d, _, c in brute.components([(d, t) for d, t, _ in rows])}
-    rows = [r for r in rows if groups[r[0]] == r[0]]
-    found = brute.contamination([(d, t) for d, t, _ in rows], items)
+    rows = [(d, t) for (d, _, _), t in zip(rows, clean_lines(rows))]
+    kept = {d for d, _ in kept_by_hand(rows)}
+    rows = [r for r in rows if r[0] in kept]
+    found = brute.contamination(rows, items)
     rows = [r for r in rows if not found[r[0]][1]]
     encoding = tiktoken.Encoding(
         "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
-    return {d: encoding.encode_ordinary(t) for d, t, _ in rows}
+    return {d: encoding.encode_ordinary(t) for d, t in rows}
 
 
 def test_pipeline(spark, data):

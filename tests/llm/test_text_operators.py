@@ -191,7 +191,7 @@ def test_empty_tables(no_docs, spark):
     for out in (
         quality_rules.judge(no_docs), quality_rules.keep_good(no_docs), token_counts.encode(no_docs, MODEL), substring_dedup.drop_repeats(no_docs),
         line_dedup.drop_boilerplate(no_docs), bpe.round_trip(no_docs, RANKS, public_tokenizers.PATTERN), decontaminate.find_contamination(no_docs, items),
-        decontaminate.drop_contaminated(no_docs, items), simhash.near_duplicates(no_docs), simhash.keep_first(no_docs)):
+        decontaminate.drop_contaminated(no_docs, items), simhash.near_duplicates(no_docs)):
         assert out.count() == 0
 
 
