@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix import conventions as cv
-from curatrix.operators.neardup import near_dup_blocks
+from curatrix.operators.forest import cross_split_forest
 from curatrix.operators.profile import one_of
 from curatrix.operators.skew import lookup_join
 from curatrix.session import materialize
@@ -92,26 +92,49 @@ def duplicate_graph(items: DataFrame, blocks: DataFrame, exact: DataFrame) -> tu
         blocks.select("fp_a", "split_a", "fp_b", "split_b").distinct()
         .join(named("a"), ["fp_a", "split_a"]).join(named("b"), ["fp_b", "split_b"]).select("a", "b")
     )
+    return near.unionByName(_chained(items, sites, exact)).distinct(), sites
+
+
+def _chained(items: DataFrame, sites: DataFrame, exact: DataFrame) -> DataFrame:
+    """Edges from sites to the exact-copy groups that they hold members of."""
     occurs = items.where(F.col("fp").isNotNull()).groupBy("content_md5", "fp", "split").agg(F.count(F.lit(1)).alias("_k"))
-    chained = (
+    return (
         occurs.join(exact.select("content_md5", "copy_node"), "content_md5")
         .join(sites.select("fp", "split", "node"), ["fp", "split"])
         .select(F.col("node").alias("a"), F.col("copy_node").alias("b"))
     )
-    return near.unionByName(chained).distinct(), sites
+
+
+def forest_graph(items: DataFrame, exact: DataFrame, distance: int = cv.NEAR_DUP_DISTANCE) -> tuple[DataFrame, DataFrame]:
+    """As ``duplicate_graph``, with the same components but no pairs: edges grow with the distinct fingerprints, not with their pairs."""
+    touched, forest = cross_split_forest(items, distance)
+    sites = materialize(
+        items.where(F.col("fp").isNotNull() & F.col("split").isin(*cv.SPLITS)).groupBy("fp", "split")
+        .agg(F.min("item_id").alias("node"), F.count(F.lit(1)).alias("n")).join(touched, "fp", "left_semi"), "sites")
+    first = materialize(sites.groupBy("fp").agg(F.min("node").alias("first")), "first-sites")
+
+    def end(s: str) -> DataFrame:
+        return first.select(F.col("fp").alias(s), F.col("first").alias(f"first_{s}"))
+
+    near = forest.join(end("a"), "a").join(end("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    # All sites of a fingerprint that several splits have are linked to each other.
+    star = sites.join(first, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return near.unionByName(star).unionByName(_chained(items, sites, exact)).distinct(), sites
 
 
 def duplicate_components(items: DataFrame, blocks: DataFrame | None = None, distance: int = cv.NEAR_DUP_DISTANCE) -> DataFrame:
     """(item_id, split, class, component) for every item in a component over more than one split.
 
     ``items``: item_id, split, class, content_md5, fp. ``component`` is the
-    smallest item id in it.
+    smallest item id in it. Without ``blocks`` no pair is written: each bucket gives a
+    spanning forest of its near fingerprints.
     """
-    if blocks is None:
-        blocks = materialize(near_dup_blocks(items, distance, "cross_split"), "blocks")
     exact = materialize(spanning_groups(items), "spanning")
-    edges, sites = duplicate_graph(items, blocks, exact)
-    sites = materialize(sites, "sites")
+    if blocks is None:
+        edges, sites = forest_graph(items, exact, distance)
+    else:
+        edges, sites = duplicate_graph(items, blocks, exact)
+        sites = materialize(sites, "sites")
     labels = materialize(connected_components(edges), "components")
     members = items.select("item_id", "split", "class", "content_md5", "fp")
     by_site = sites.join(labels, "node", "left").select("fp", "split", F.coalesce("component", "node").alias("component"), "n")

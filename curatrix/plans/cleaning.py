@@ -20,31 +20,33 @@ from curatrix.sources import images as im
 
 @dataclass
 class LeakageResult:
-    """Tables of one leakage run, all written once and cheap to query again."""
+    """Tables of one leakage run, all written once and cheap to query again. Pairs are only counted where a summary asks for them."""
 
     items: DataFrame
-    blocks: DataFrame
+    distance: int
     members: DataFrame
     removed: DataFrame
 
     def summary(self) -> DataFrame:
-        return comp.dedup_summary(self.items, self.blocks, self.members, self.removed)
+        return comp.dedup_summary(self.items, self.blocks(), self.members, self.removed)
+
+    def blocks(self) -> DataFrame:
+        return near_dup_blocks(self.items, self.distance, "cross_split")
 
     def report(self) -> DataFrame:
         return comp.removal_report(self.removed, self.items)
 
 
 def find_leakage(items: DataFrame, distance: int = cv.NEAR_DUP_DISTANCE, keep: str = "one") -> LeakageResult:
-    """Pairs across splits, their components and what to quarantine.
+    """Components of near and exact copies across splits, and what to quarantine.
 
     ``items``: item_id, split, class, content_md5, fp. It is written first, so
     whatever computed the fingerprints runs once.
     """
     items = materialize(items.select("item_id", "split", "class", "content_md5", "fp"), "items")
-    blocks = materialize(near_dup_blocks(items, distance, "cross_split"), "blocks")
-    members = materialize(comp.duplicate_components(items, blocks), "members")
+    members = materialize(comp.duplicate_components(items, distance=distance), "members")
     removed = materialize(comp.quarantine(members, keep=keep), "removed")
-    return LeakageResult(items, blocks, members, removed)
+    return LeakageResult(items, distance, members, removed)
 
 
 def clean_items(items: DataFrame, removed: DataFrame, flips: DataFrame | None = None, label: str = "label") -> DataFrame:
