@@ -391,6 +391,28 @@ def image_dhash(spark, d):
     return found.select("item_id", F.lpad(F.bin("dhash"), 64, "0").alias("bits"))
 
 
+LANCZOS = "CASE WHEN {t} = 0 THEN 1 WHEN abs({t}) < 3 THEN sin(pi() * {t}) / (pi() * {t}) * sin(pi() * {t} / 3) / (pi() * {t} / 3) ELSE 0 END"
+WHOLE = "least(255, greatest(0, floor(round({v}, 6) + 0.5::DOUBLE)))"
+
+
+@query("image_dhash_lanczos", with_views(ITEMS, PIXELS, rf"""
+tx AS (SELECT j, x, (x + 0.5::DOUBLE - (j + 0.5::DOUBLE) * 48 / 9) / (48 / 9.0::DOUBLE) AS t FROM range(9) a(j), range(48) b(x)
+  WHERE x >= floor((j + 0.5::DOUBLE) * 48 / 9 - 16 + 0.5::DOUBLE) AND x < floor((j + 0.5::DOUBLE) * 48 / 9 + 16 + 0.5::DOUBLE)),
+wx AS (SELECT j, x, {LANCZOS.format(t="t")} AS w FROM tx),
+across AS (SELECT item_id, height, y, j, {WHOLE.format(v="sum(w * l) / sum(w)")} AS v FROM luma JOIN wx USING (x) GROUP BY item_id, height, y, j),
+sizes AS (SELECT DISTINCT height, height / 8.0::DOUBLE AS s, greatest(height / 8.0::DOUBLE, 1) AS f FROM padded),
+ty AS (SELECT height, i, y, (y + 0.5::DOUBLE - (i + 0.5::DOUBLE) * s) / f AS t FROM (SELECT *, unnest(range(height)) AS y FROM sizes, range(8) a(i))
+  WHERE y >= floor((i + 0.5::DOUBLE) * s - 3 * f + 0.5::DOUBLE) AND y < floor((i + 0.5::DOUBLE) * s + 3 * f + 0.5::DOUBLE)),
+wy AS (SELECT height, i, y, {LANCZOS.format(t="t")} AS w FROM ty),
+cell AS (SELECT item_id, i, j, {WHOLE.format(v="sum(w * v) / sum(w)")} AS v FROM across JOIN wy USING (height, y) GROUP BY item_id, i, j),
+bit AS (SELECT item_id, 8 * i + j AS k, v > lead(v) OVER (PARTITION BY item_id, i ORDER BY j) AS up, j FROM cell)""") + r"""
+SELECT item_id, string_agg(CASE WHEN up THEN '1' ELSE '0' END, '' ORDER BY k) AS bits FROM bit WHERE j < 8 GROUP BY item_id""")
+def image_dhash_lanczos(spark, d):
+    """Difference hashes after resizing by a three-lobed windowed sinc."""
+    found = px.pixel_features(t.text_images(spark, d), "basic", resample="lanczos")
+    return found.select("item_id", F.lpad(F.bin("dhash"), 64, "0").alias("bits"))
+
+
 @query("image_hashes", with_views(ITEMS, PIXELS, r"""
 rows_ AS (SELECT item_id, i, x, sum(greatest(0, least((i + 1) * height / 16.0::DOUBLE, y + 1) - greatest(i * height / 16.0::DOUBLE, y)) * 16 / height * l) AS v FROM luma, range(16) f(i) GROUP BY item_id, i, x),
 cell AS (SELECT item_id, i, x // 3 AS j, sum(v) / 3 AS v FROM rows_ GROUP BY item_id, i, x // 3),
