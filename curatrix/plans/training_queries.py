@@ -22,6 +22,7 @@ from curatrix.plans.registry import query
 from curatrix.plans.score_queries import COHORT_ROWS, COHORTS, OUTCOME, RATES, cells, scored
 from curatrix.session import materialize, scratch_path
 from curatrix.sources import images as im
+from curatrix.sources import quarantine as qu
 from curatrix.sources import reports as rp
 from curatrix.sources import tables as t
 from curatrix.streaming import scoring
@@ -241,6 +242,25 @@ def write_leakage_quarantine(spark, d):
     return spark.read.parquet(path).select("item_id", "split", "class", "component", "kept_id")
 
 
+@query("quarantine_restored", with_views(ITEMS, r"""
+span AS (SELECT content_md5 FROM items GROUP BY content_md5 HAVING count(DISTINCT split) > 1),
+shared AS (SELECT item_id, split, class FROM items WHERE content_md5 IN (SELECT content_md5 FROM span))""") + r"""
+SELECT item_id, split, class, CAST(3 AS INTEGER) AS version,
+  CASE WHEN split = 'Test' THEN 'stayed' ELSE 'entered' END AS change FROM shared
+UNION ALL SELECT item_id, NULL, NULL, 3, 'left' FROM items WHERE split = 'Test' AND item_id NOT IN (SELECT item_id FROM shared)""")
+def quarantine_restored(spark, d):
+    """Cross-split copies in quarantine, replaced by the whole test split, then restored: what is in it, and what that changed."""
+    path = scratch_path(spark, "versions")
+    items = materialize(t.items(spark, d).select("item_id", "split", "class", "content_md5"), "items")
+    spanning = items.groupBy("content_md5").agg(F.count_distinct("split").alias("n")).where("n > 1")
+    qu.quarantine(items.join(spanning, "content_md5", "left_semi").drop("content_md5"), path)
+    before = qu.quarantine(items.where("split = 'Test'").drop("content_md5"), path)
+    version = qu.restore(spark, path, 1)
+    changed = qu.changes(spark, path, before, version)
+    return qu.read_quarantine(spark, path).join(changed, "item_id", "full").select(
+        "item_id", "split", "class", F.lit(version).alias("version"), F.coalesce("change", F.lit("stayed")).alias("change"))
+
+
 @query("mined_training_draw", with_views(ITEMS, PREDICTIONS, r"""
 hard AS (SELECT item_id, row_number() OVER (ORDER BY p_micro DESC, item_id) AS place FROM predictions WHERE label = 0 AND p_micro >= 520000),
 wt AS (SELECT item_id * 4 AS row_id, item_id, label, 1 AS weight FROM predictions
