@@ -27,8 +27,8 @@ def scan_items(spark: SparkSession, root: str, extensions: Sequence[str] = cv.EX
         sc.file_name(path).alias("stem"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"), "content")
 
 
-def scan_images(spark: SparkSession, root: str, extensions: Sequence[str] = cv.EXTENSIONS) -> DataFrame:
-    """Decoded images; a file that does not decode is a row with ``is_corrupt`` and no pixels, never a failure.
+def scan_images(spark: SparkSession, root: str | list[str], extensions: Sequence[str] = cv.EXTENSIONS) -> DataFrame:
+    """Decoded images below a folder, or of a list of files; a file that does not decode is a row with ``is_corrupt`` and no pixels, never a failure.
 
     Pixels stay in the task that read them: take features from these rows before
     joining anything, such as ``content_hashes``.
