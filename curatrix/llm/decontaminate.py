@@ -40,22 +40,27 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(ASCII_LOWER).translate(CUT).split()
 
 
+def id_order(item: str | None) -> tuple[bool, str]:
+    """Ids in order, a missing one last."""
+    return item is None, item or ""
+
+
 class Windows:
     """The windows of a block of items: words as numbers from 1, one matrix for each window length."""
 
     def __init__(self, items: Iterable[tuple[str, bytes | None]], window: int):
-        owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
+        owners: dict[tuple[bytes, ...], set[str | None]] = defaultdict(set)
         for item, text in items:
             words = words_of(text)
             for i in range(max(1, len(words) - window + 1) if words else 0):
-                owners[tuple(words[i:i + window])].update([] if item is None else [item])
+                owners[tuple(words[i:i + window])].add(item)
         self.words = sorted({w for key in owners for w in key})
         number = {w: i + 1 for i, w in enumerate(self.words)}
         lengths: dict[int, list[tuple[bytes, ...]]] = defaultdict(list)
         for key in owners:
             lengths[len(key)].append(key)
         self.patterns = {n: np.array([[number[w] for w in key] for key in keys], np.int64) for n, keys in lengths.items()}
-        self.owners = {n: [sorted(owners[key]) for key in keys] for n, keys in lengths.items()}
+        self.owners = {n: [sorted(owners[key], key=id_order) for key in keys] for n, keys in lengths.items()}
         self.shortest = min(lengths, default=0)
 
 
@@ -160,7 +165,7 @@ def _search_block(docs: DataFrame, items: list[tuple[str, bytes | None]], window
                     spans[d].add((f, f + length))
                     owners[d].update(lists[w])
             for d, (key, text) in enumerate(zip(ids, texts)):
-                out.add(key, int(shard.heads[d + 1] - shard.heads[d]), merged(spans.get(d, ())), sorted(owners.get(d, ())),
+                out.add(key, int(shard.heads[d + 1] - shard.heads[d]), merged(spans.get(d, ())), sorted(owners.get(d, ()), key=id_order),
                         hashlib.md5(text).digest())
 
         ids, texts, size = [], [], 0
@@ -186,7 +191,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """(doc_id, n_words, spans, items) for every row of ``docs``.
 
     ``spans`` are the merged word ranges [first, behind last) that occur in the benchmark, ``items`` the ids (as
-    strings) whose windows do; windows of items without an id are hit, too, and named by no id. Null and empty texts have no words; items without words are never found, and
+    strings) whose windows do; items without an id count, too, together as one null behind the others. Null and empty texts have no words; items without words are never found, and
     an item shorter than a window is one window. Items with equal text all count. Repeated rows of
     ``docs`` each get a row. Extra columns are not read.
     """
