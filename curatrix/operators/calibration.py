@@ -10,12 +10,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix import conventions as cv
 from curatrix.functions import scalar as sc
+from curatrix.operators import isotonic as iso
 from curatrix.operators import labels as lb
 from curatrix.operators import metrics as m
 from curatrix.session import materialize
@@ -66,15 +66,13 @@ def fit_platt(df: DataFrame, logit: str = "logit", label: str = "label") -> tupl
     return float(model.coefficients[0]), float(model.intercept)
 
 
-def fit_isotonic(df: DataFrame, score: str = "p_micro", label: str = "label"):
-    """Monotone map from score to probability, fitted on folded scores."""
-    folded = df.groupBy(F.col(score).cast("double").alias("z")).agg(
-        F.avg(F.col(label).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-    return IsotonicRegression(featuresCol="z", labelCol="y", weightCol="w", predictionCol="p_iso").fit(folded)
+def fit_isotonic(df: DataFrame, score: str = "p_micro", label: str = "label") -> DataFrame:
+    """Blocks of the monotone map from score to probability."""
+    return iso.fit(df, score, label)
 
 
-def apply_isotonic(model, df: DataFrame, score: str = "p_micro") -> DataFrame:
-    return model.transform(df.withColumn("z", F.col(score).cast("double"))).drop("z")
+def apply_isotonic(blocks: DataFrame, df: DataFrame, score: str = "p_micro") -> DataFrame:
+    return iso.apply(blocks, df, score)
 
 
 def _micro(p: Column) -> Column:

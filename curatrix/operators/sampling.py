@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -100,13 +99,13 @@ def mixup(df: DataFrame, vector: str, label: str, batch_size: int, alpha: float,
     There are as many batches as ``batch_size`` asks for. Partners are neighbours in
     a seeded order of the batch, the last one takes the first; only ids are ordered,
     and vectors meet by two joins. lambda is drawn from Beta(alpha, alpha) once per
-    batch; for alpha 1, a uniform draw, it follows from seed and batch alone.
+    batch and follows from seed and batch alone; for alpha 1 it is a uniform draw.
     """
     batches = max(1, -(-df.count() // batch_size))
     batch = F.pmod(seeded_number(F.col(key), seed), F.lit(batches)).cast("int")
     order = Window.partitionBy("batch").orderBy(seeded_key(F.col(key), seed + 1), key)
     first = F.first(key).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    drawn = seeded_number(F.col("batch"), seed) / 16 ** 12 if alpha == 1 else _beta(alpha, seed)(F.col("batch"))
+    drawn = seeded_number(F.col("batch"), seed) / 16 ** 12 if alpha == 1 else beta_draw(F.col("batch"), alpha, seed)
     seated = df.select(key, batch.alias("batch")).select(
         key, "batch", F.coalesce(F.lead(key).over(order), first).alias("partner_id")).withColumn("lam", drawn)
     mates = df.select(F.col(key).alias("partner_id"), F.col(vector).alias("_x"), F.col(label).alias("label_b"))
@@ -116,13 +115,31 @@ def mixup(df: DataFrame, vector: str, label: str, batch_size: int, alpha: float,
         key, "partner_id", "batch", "lam", mixed.alias("mixed"), "label_a", "label_b")
 
 
-def _beta(alpha: float, seed: int):
-    @F.pandas_udf("double")
-    def draw(batch: pd.Series) -> pd.Series:
-        drawn = {b: float(np.random.default_rng([seed, int(b)]).beta(alpha, alpha)) for b in batch.unique()}
-        return batch.map(drawn)
+def beta_draw(key: Column, alpha: float, seed: int) -> Column:
+    """A number of Beta(alpha, alpha) that follows from seed and key alone, as a column expression.
 
-    return draw
+    Above 1/2 it is a closed form of two uniform numbers (a symmetric beta is a
+    projected point of a sphere). Otherwise powers of two uniform numbers are taken
+    from a fixed sequence until their sum is at most one; a try fails with a chance
+    below 0.22, later tries are only evaluated where all earlier ones failed, and
+    after 30 of them (chance below 1e-19) the last one counts. A null key gives null.
+    """
+    if not alpha > 0:
+        raise ValueError("alpha must be positive")
+
+    def uniform(turn: int, side: int) -> Column:
+        return (seeded_number(F.concat(key.cast("string"), F.lit(f":{turn}:{side}")), seed) + 0.5) / 16 ** 12
+
+    if alpha > 0.5:
+        radius = F.sqrt(1 - F.pow(uniform(0, 0), F.lit(2 / (2 * alpha - 1))))
+        return F.when(key.isNotNull(), (1 + radius * F.cos(2 * math.pi * uniform(0, 1))) / 2)
+    tries = []
+    for turn in range(30):
+        u, v = uniform(turn, 0), uniform(turn, 1)
+        share = 1 / (1 + F.exp((F.ln(v) - F.ln(u)) / alpha))
+        fits = F.pow(u, F.lit(1 / alpha)) + F.pow(v, F.lit(1 / alpha)) <= 1
+        tries.append(F.when(fits, share) if turn < 29 else share)
+    return F.when(key.isNotNull(), F.coalesce(*tries))
 
 
 # --- logs --------------------------------------------------------------------

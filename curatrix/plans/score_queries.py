@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from curatrix.functions import scalar as sc
 from curatrix.operators import calibration as cal
 from curatrix.operators import investigate as inv
+from curatrix.operators import isotonic as iso
 from curatrix.operators import labels as lb
 from curatrix.operators import metrics as m
 from curatrix.operators import profile as pr
@@ -369,6 +370,17 @@ def fit_isotonic(spark, d):
     return cal.apply_isotonic(model, rows.select("item_id", "p_micro")).select("item_id", "p_micro", F.round("p_iso", 6).alias("p_iso"))
 
 
+@query("isotonic_transfer", with_views(ITEMS, PREDICTIONS, ISO.replace("FROM predictions", "FROM (SELECT p_ens AS p_micro, label_any FROM predictions WHERE split = 'Validation')"), r"""
+steps AS (SELECT p_micro AS z, p_iso, lead(p_micro) OVER o AS next_z, lead(p_iso) OVER o AS next_p FROM iso WINDOW o AS (ORDER BY p_micro))""") + r"""
+SELECT item_id, round(CASE WHEN z IS NULL THEN (SELECT min(p_iso) FROM iso) ELSE p_iso + coalesce((p_ens - z) / (next_z - z) * (next_p - p_iso), 0) END, 6) AS p_iso
+FROM predictions p ASOF LEFT JOIN steps s ON p.p_ens >= s.z""")
+def isotonic_transfer(spark, d):
+    """Fitted on the raw scores of Validation, applied to every item: between blocks on a line, beyond the ends flat."""
+    rows = scored(spark, d, "item_id", "split", "label_any", "p_ens")
+    blocks = iso.fit(rows.where("split = 'Validation'"), "p_ens", "label_any")
+    return iso.apply(blocks, rows, "p_ens").select("item_id", F.round("p_iso", 6).alias("p_iso"))
+
+
 def _best(name: str, source: str) -> str:
     return sweep(name, m.CALIBRATION, "label_any", source)
 

@@ -123,6 +123,19 @@ def mixup_vectors(spark, d):
         F.round(F.array_max("mixed"), 4).alias("largest"), F.round(F.array_min("mixed"), 4).alias("smallest"))
 
 
+@query("mixup_beta", SEATED + r""",
+tries AS (SELECT batch, i, (CAST('0x' || substr(md5('5:' || batch || ':' || i || ':0'), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u,
+  (CAST('0x' || substr(md5('5:' || batch || ':' || i || ':1'), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS v FROM (SELECT DISTINCT batch FROM b), range(30) g(i)),
+drawn AS (SELECT batch, arg_min(pow(u, 2.5::DOUBLE) / (pow(u, 2.5::DOUBLE) + pow(v, 2.5::DOUBLE)), i) AS lam FROM tries WHERE pow(u, 2.5::DOUBLE) + pow(v, 2.5::DOUBLE) <= 1 GROUP BY batch),
+s AS (SELECT *, coalesce(lead(embedding) OVER w, first_value(embedding) OVER w) AS mate FROM b JOIN drawn USING (batch) WINDOW w AS (PARTITION BY batch ORDER BY k, item_id))
+SELECT item_id, batch, round(lam, 6) AS lam, round(lam * embedding[1] + (1 - lam) * mate[1], 4) AS leading FROM s""")
+def mixup_beta(spark, d):
+    """Blended with a draw of Beta(0.4, 0.4) for each batch."""
+    vectors = t.table(spark, d, "embeddings").withColumnRenamed("vec_id", "item_id")
+    return sp.mixup(vectors, "embedding", "label", 32, 0.4, 5).select(
+        "item_id", "batch", F.round("lam", 6).alias("lam"), F.round(F.col("mixed")[0], 4).alias("leading"))
+
+
 # --- logs --------------------------------------------------------------------
 
 LOG = f"""
