@@ -127,19 +127,20 @@ def beta_draw(key: Column, alpha: float, seed: int) -> Column:
     if not alpha > 0:
         raise ValueError("alpha must be positive")
 
-    def uniform(turn: int, side: int) -> Column:
-        return (seeded_number(F.concat(key.cast("string"), F.lit(f":{turn}:{side}")), seed) + 0.5) / 16 ** 12
+    def uniform(turn: Column, side: int) -> Column:
+        return (seeded_number(F.concat(key.cast("string"), F.lit(":"), turn.cast("string"), F.lit(f":{side}")), seed) + 0.5) / 16 ** 12
 
-    if alpha > 0.5:
-        radius = F.sqrt(1 - F.pow(uniform(0, 0), F.lit(2 / (2 * alpha - 1))))
-        return F.when(key.isNotNull(), (1 + radius * F.cos(2 * math.pi * uniform(0, 1))) / 2)
-    tries = []
-    for turn in range(30):
+    def attempt(found: Column, turn: Column) -> Column:
         u, v = uniform(turn, 0), uniform(turn, 1)
-        share = 1 / (1 + F.exp((F.ln(v) - F.ln(u)) / alpha))
         fits = F.pow(u, F.lit(1 / alpha)) + F.pow(v, F.lit(1 / alpha)) <= 1
-        tries.append(F.when(fits, share) if turn < 29 else share)
-    return F.when(key.isNotNull(), F.coalesce(*tries))
+        return F.coalesce(found, F.when(fits | (turn == 29), 1 / (1 + F.exp((F.ln(v) - F.ln(u)) / alpha))))
+
+    if alpha > 0.5:
+        radius = F.sqrt(1 - F.pow(uniform(F.lit(0), 0), F.lit(2 / (2 * alpha - 1))))
+        drawn = (1 + radius * F.cos(2 * math.pi * uniform(F.lit(0), 1))) / 2
+    else:
+        drawn = F.aggregate(F.sequence(F.lit(0), F.lit(29)), F.lit(None).cast("double"), attempt)
+    return F.when(key.isNotNull(), drawn)
 
 
 # --- logs --------------------------------------------------------------------
