@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from curatrix import conventions as cv
 from curatrix.operators.profile import head_per_list
+from curatrix.session import materialize
 
 
 def seeded_key(item_id: Column, seed: int) -> Column:
@@ -66,31 +67,48 @@ def mining_report(df: DataFrame, threshold: float = cv.DEFAULT_THRESHOLD, tiers:
     ).withColumn("fpr", F.round(F.col("fps_mined") / F.greatest("n_real", F.lit(1)), 6))
 
 
-def weighted_sample(df: DataFrame, weight: str, n: int | None, seed: int, key: str = "item_id", slot: int = 1024) -> DataFrame:
+def _in_ranges(df: DataFrame, order: Sequence[str], rows: int, slot: int, name: str) -> DataFrame:
+    """Written in ranges of about ``slot`` rows, numbered in order by ``_part``."""
+    ranges = df.repartitionByRange(max(1, -(-rows // slot)), *order)
+    return materialize(ranges.withColumn("_part", F.spark_partition_id()), name)
+
+
+def weighted_sample(df: DataFrame, weight: str, n: int | None, seed: int, key: str = "item_id", slot: int = 1_000_000) -> DataFrame:
     """``n`` draws with replacement, chance proportional to a whole-number weight; ``n`` None draws as many as there are rows.
 
-    Items are laid end to end along the total weight. Offsets come from the totals
-    of 4096 hash buckets and a running sum inside each bucket. A draw is a point on
-    that line; points meet items in line segments of ``slot`` units, an equi-join
-    whose groups are small whatever the weights.
+    Items are laid end to end along the total weight, in the order of a hash of their
+    key. A draw is a point on that line. Items and points are then sorted together in
+    ranges of about ``slot`` rows, and a point belongs to the item before it, which for
+    the first points of a range lies in an earlier one. So neither an item of great
+    weight nor the draws that fall on it meet in one task. Weights that are null, zero
+    or negative are never drawn; the total must stay below 2**59.
     """
-    tagged = df.withColumn("_bucket", F.substring(F.md5(F.col(key).cast("string")), 1, 3))
-    sums = tagged.groupBy("_bucket").agg(F.sum(weight).cast("bigint").alias("_w"), F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(F.lit(1)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_bucket", F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_offset"))
-    whole = sums.agg(F.sum("_w").alias("w"), F.sum("_c").alias("c")).first()
-    total, draws = whole["w"] or 0, n if n is not None else whole["c"] or 0
-    inside = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    line = tagged.join(offsets, "_bucket").withColumn(
-        "_from", F.col("_offset") + F.coalesce(F.sum(weight).over(inside), F.lit(0)).cast("bigint"))
-    line = line.withColumn("_to", F.col("_from") + F.col(weight).cast("bigint")).where("_to > _from")
-    slots = line.withColumn("_slot", F.explode(F.sequence(
-        F.floor(F.col("_from") / slot), F.floor((F.col("_to") - 1) / slot))))
-    points = df.sparkSession.range(draws if total else 0).select(
-        F.col("id").alias("draw"), F.pmod(seeded_number(F.col("id"), seed), F.lit(max(total, 1))).alias("_u"))
-    points = points.withColumn("_slot", F.floor(F.col("_u") / slot))
-    met = points.join(slots, "_slot").where("_u >= _from and _u < _to")
-    return met.select("draw", *df.columns)
+    spark, rows = df.sparkSession, df.count()
+    tagged = df.where(F.col(weight) > 0).withColumn("_bucket", F.substring(F.md5(F.col(key).cast("string")), 1, 3))
+    ranged = _in_ranges(tagged, ["_bucket", key], rows, slot, "weighted-items")
+    past = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_part").agg(F.sum(F.col(weight).cast("decimal(38,0)")).alias("_w"))
+    total = int(sums.agg(F.sum("_w")).first()[0] or 0)
+    if total >= 2 ** 59:
+        raise ValueError("the total weight must stay below 2**59")
+    offsets = sums.select("_part", F.coalesce(F.sum("_w").over(past), F.lit(0)).cast("bigint").alias("_offset"))
+    inside = Window.partitionBy("_part").orderBy("_bucket", key).rowsBetween(Window.unboundedPreceding, -1)
+    line = ranged.join(F.broadcast(offsets), "_part").select(
+        (F.col("_offset") + F.coalesce(F.sum(weight).over(inside), F.lit(0))).cast("bigint").alias("_at"),
+        F.lit(None).cast("bigint").alias("draw"), F.struct(*df.columns).alias("_item"))
+
+    draws = (n if n is not None else rows) if total else 0
+    # 48 bits as long as they exceed the total a thousandfold, else 60.
+    number = seeded_number(F.col("id"), seed, 12 if total <= 2 ** 38 else 15)
+    points = spark.range(draws).select(
+        F.pmod(number, F.lit(max(total, 1))).alias("_at"), F.col("id").alias("draw"), F.lit(None).cast(line.schema["_item"].dataType).alias("_item"))
+    both = line.unionByName(points).withColumn("_point", F.col("draw").isNotNull())
+    both = _in_ranges(both, ["_at", "_point"], rows + draws, slot, "weighted-line")
+    last = both.groupBy("_part").agg(F.max_by("_item", F.when(~F.col("_point"), F.col("_at"))).alias("_last"))
+    carried = last.select("_part", F.last("_last", ignorenulls=True).over(past).alias("_carried"))
+    upto = Window.partitionBy("_part").orderBy("_at", "_point").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("_here", F.last("_item", ignorenulls=True).over(upto)).where("_point").join(F.broadcast(carried), "_part")
+    return met.select("draw", F.coalesce("_here", "_carried").alias("_drawn")).select("draw", "_drawn.*")
 
 
 def mixup(df: DataFrame, vector: str, label: str, batch_size: int, alpha: float, seed: int, key: str = "item_id") -> DataFrame:
