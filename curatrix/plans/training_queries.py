@@ -22,6 +22,7 @@ from curatrix.plans.registry import query
 from curatrix.plans.score_queries import COHORT_ROWS, COHORTS, OUTCOME, RATES, cells, scored
 from curatrix.session import materialize, scratch_path
 from curatrix.sources import images as im
+from curatrix.sources import loose
 from curatrix.sources import quarantine as qu
 from curatrix.sources import reports as rp
 from curatrix.sources import tables as t
@@ -232,6 +233,26 @@ def read_report(spark, d):
     return rp.report_groups(rp.read_report(spark, f"{path}/groups", rp.AUDIT_REPORT, one_document=False))
 
 
+@query("loose_report", with_views(ITEMS, r"""
+lines AS (SELECT 'n' || (item_id % 10) AS k, item_id % 7 = 0 AS broken, file_size, class FROM items),
+keys AS (SELECT k AS key, CASE WHEN class = 'Fake' THEN 'OBJECT<size: BIGINT>' ELSE 'STRING' END AS type, CASE WHEN class = 'Fake' THEN file_size END AS size FROM lines WHERE NOT broken
+  UNION ALL SELECT 'class', 'STRING', NULL FROM lines WHERE NOT broken)""") + r"""
+SELECT key, type, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM keys GROUP BY key, type
+UNION ALL SELECT '(damaged)', NULL, count(*), NULL FROM lines WHERE broken""")
+def loose_report(spark, d):
+    """Reports with keys of their own and values of two kinds, one in seven cut off, read without a schema: keys, types, sizes."""
+    size = F.named_struct(F.lit("size"), "file_size")
+    value = F.when(F.col("class") == "Fake", F.to_json(size)).otherwise(F.lit('"none"'))
+    line = F.concat(F.lit('{"class":"'), "class", F.lit('","n'), (F.col("item_id") % 10).cast("string"), F.lit('":'), value)
+    path = scratch_path(spark, "loose")
+    t.items(spark, d).select(F.concat(line, F.when(F.col("item_id") % 7 == 0, "").otherwise("}"))).write.text(path)
+    reports = loose.read_loose(spark, path, one_document=False)
+    keys = loose.loose_entries(reports).groupBy("key", "type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(loose.loose_value("value", "$.size", "bigint")).alias("size"))
+    damaged = reports.where("damaged is not null").agg(F.count(F.lit(1)).alias("n"))
+    return keys.unionByName(damaged.select(F.lit("(damaged)").alias("key"), F.lit(None).cast("string").alias("type"), "n", F.lit(None).cast("bigint").alias("size")))
+
+
 @query("write_report", with_views(ITEMS, PREDICTIONS) + "SELECT item_id, label, p_micro FROM predictions WHERE p_micro BETWEEN 350000 AND 650000 ORDER BY p_micro DESC, item_id LIMIT 100")
 def write_report(spark, d):
     path = scratch_path(spark, "report")
