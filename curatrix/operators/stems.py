@@ -40,7 +40,7 @@ def nearest_by_quarters(fps: DataFrame, stem: str, flips: int) -> DataFrame:
              for q, m in enumerate(parts)]
     stored = fps.select(stem, F.col("fp").alias("fp_a"), F.explode(exact).alias("k")).select(stem, "fp_a", "k.part", "k.value")
     asked = fps.select(stem, F.col("fp").alias("fp_b"), F.explode(F.expr(f"concat({', '.join(tried)})")).alias("k")).select(stem, "fp_b", "k.part", "k.value")
-    met = asked.join(stored, [stem, "part", "value"]).where("fp_a < fp_b")
+    met = asked.join(stored.hint("merge"), [stem, "part", "value"]).where("fp_a < fp_b")
     return met.groupBy(stem).agg(F.min(hamming(F.col("fp_a"), F.col("fp_b"))).cast("int").alias("d")).where(F.col("d") < 4 * (flips + 1))
 
 
@@ -77,6 +77,6 @@ def min_distance_by_stem(items: DataFrame, stem: str = "stem", first: int | None
     every = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
     left = cut.select(stem, F.col("fp").alias("fp_a"), F.col("_tile").alias("_row"), every.alias("_col"))
     right = cut.select(stem, F.col("fp").alias("fp_b"), F.col("_tile").alias("_col"), every.alias("_row"))
-    found.append(left.join(right, [stem, "_row", "_col"]).where("fp_a < fp_b").groupBy(stem).agg(
+    found.append(left.join(right.hint("merge"), [stem, "_row", "_col"]).where("fp_a < fp_b").groupBy(stem).agg(
         F.min(hamming(F.col("fp_a"), F.col("fp_b"))).cast("int").alias("d")))
     return reused.join(reduce(DataFrame.unionByName, found), stem, "left").select(stem, "n_items", F.col("d").alias("min_distance"))

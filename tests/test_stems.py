@@ -8,6 +8,7 @@ import numpy as np
 
 from curatrix.functions.bits import signed
 from curatrix.operators import stems
+from curatrix.session import materialize
 
 
 def spread(draw, size, apart):
@@ -42,3 +43,10 @@ def test_large_stems_leave_step_by_step(spark, monkeypatch):
     assert got == {n: want[n] for n in got} and {"a", "b", "c", "d"} <= set(got) and want["a"] == 6 and want["c"] == 11
     # Only large stems are looked up by quarters, and each leaves at its first hit.
     assert steps == [(1, {"a", "b", "c", "d"}), (2, {"b", "c", "d"})]
+
+
+def test_flipped_keys_are_not_broadcast(spark):
+    # Read from files: only those are small in the eyes of the optimizer.
+    items = materialize(spark.createDataFrame([("s", signed(f)) for f in spread(random.Random(8), 20, 9)], "stem string, fp long"), "flipped")
+    plan = stems.nearest_by_quarters(items, "stem", 1)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
