@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 from curatrix import conventions as cv
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Half up on the value scaled as a double, as SQL engines round doubles; ``F.round`` takes the shortest decimal instead, and 14.649999999999999 down."""
+    scale = F.lit(float(10 ** digits))
+    return F.round(value * scale) / scale
+
+
 # --- paths and uploads -------------------------------------------------------
 
 def path_segment(path: Column, names: Sequence[str]) -> Column:
@@ -120,10 +126,10 @@ def calibrated_verdict(p: Column, threshold: float) -> Column:
     )
     return F.struct(
         fake.alias("is_fake"),
-        F.round(conf * 100, 1).alias("confidence"),
-        F.round(p * 100, 1).alias("probability_fake"),
+        rounded(conf * 100, 1).alias("confidence"),
+        rounded(p * 100, 1).alias("probability_fake"),
         wording.alias("verdict"),
-        F.round(p * 100, 1).alias("risk_score"),
+        rounded(p * 100, 1).alias("risk_score"),
     )
 
 

@@ -84,10 +84,10 @@ def item_metrics(spark: SparkSession, folder: str) -> DataFrame:
     measured = readable.withColumns({
         "width": F.array_max(F.transform(lines, lambda s: F.length(s))),
         "height": F.when(F.col("text").isNotNull(), F.size(lines)),
-        "brightness": F.round(
+        "brightness": sc.rounded(
             255.0 * F.length(F.regexp_replace("text", r"[^A-Za-z]", "")) / F.length("text"), 6),
         "blur_score": F.size(F.array_distinct(tokens_of(F.col("text")))).cast("double"),
-        "pixel_std": F.round(F.sqrt(squares / count - (total / count) * (total / count)), 6),
+        "pixel_std": sc.rounded(F.sqrt(squares / count - (total / count) * (total / count)), 6),
     })
     measured = measured.withColumn("blur_score", F.when(~F.col("is_corrupt"), F.col("blur_score")))
     measured = measured.withColumn("aspect_ratio", sc.aspect_ratio(F.col("width"), F.col("height")))
@@ -148,8 +148,8 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
         with_identity(documents(spark, folder))
         .select(
             "item_id", "split", "class", "doc_id",
-            F.round(1.0 - distinct / count, 6).alias("p_base"),
-            F.round(F.least(F.lit(1.0), 4.0 * (F.length(text) - plain_chars(text)) / F.length(text)), 6).alias("p_hn"),
+            sc.rounded(1.0 - distinct / count, 6).alias("p_base"),
+            sc.rounded(F.least(F.lit(1.0), 4.0 * (F.length(text) - plain_chars(text)) / F.length(text)), 6).alias("p_hn"),
         )
     )
     labels = table(spark, folder, "labels").select(

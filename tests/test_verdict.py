@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from curatrix.functions import scalar as sc
 from curatrix.operators import calibration as cal
 from curatrix.operators import labels as lb
 from curatrix.operators import metrics as m
@@ -118,3 +119,15 @@ def test_stream_and_batch_agree(spark, featured, tmp_path):
     scoring.stream_items(stream, model, signals, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     want = scoring.score_items(featured, model, signals)
     assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(str, want.collect()))
+
+
+def test_rounding_is_that_of_sql(spark):
+    """0.1465 * 100 is 14.649999999999999: times ten it is 146.5, so SQL says 14.7, the shortest decimal 14.6."""
+    import duckdb
+
+    p = spark.range(10_001).select(F.col("id").alias("item_id"), (F.col("id") / 10_000).alias("p"))
+    got = p.select("item_id", sc.calibrated_verdict(F.col("p"), 0.52).alias("v"), sc.rounded(1 - F.col("p") / 64, 6).alias("six")).select(
+        "item_id", "v.confidence", "v.probability_fake", "v.risk_score", "six").orderBy("item_id").collect()
+    want = duckdb.sql("""SELECT id, round(CASE WHEN p >= 0.52::DOUBLE THEN p ELSE 1::DOUBLE - p END * 100, 1), round(p * 100, 1), round(p * 100, 1), round(1 - p / 64, 6)
+        FROM (SELECT range AS id, range::DOUBLE / 10000 AS p FROM range(10001)) ORDER BY id""").fetchall()
+    assert [tuple(r) for r in got] == want and got[1465].probability_fake == 14.7
