@@ -1,5 +1,8 @@
 """Documents whose five-word shingles have a Jaccard similarity of 0.8 or more, found without missing any.
 
+The SimHash operator comes first: sets whose fingerprints meet in its inverted index over byte positions, and the checked links among them. They
+are few of all similar sets, since a similarity of 0.8 is often ten bits away, so an exact search follows for what they leave apart:
+
 Under one order of all shingles, two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of each: a posting
 is named by such a shingle, so every pair meets in one. Which order is taken changes the work only; shingles that many
 texts have come last. Most pairs that meet are not alike: counts of each set's shingles by their last bits bound what two sets can
@@ -17,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.llm import simhash
 from curatrix.llm.common import ASCII_LOWER, JOIN, SPACES, WordNames, among, filters, maybe_in, mix, parted, raw, written
 from curatrix.operators.components import connected_components
 
@@ -84,15 +88,15 @@ def prefix(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.nd
 
 
 def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, digest, node, tally): the text's digest, the name of its set and the tally of it, for every row."""
+    """(doc_id, digest, node, tally, fp): the text's digest, the name of its set, the tally and the fingerprint of it, for every row."""
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(name_of(s), tally(s)) for s in (shingle_set(t.as_py()) for t in batch.column(2))]
-            nodes, tallies = (pa.array([m[i] for m in made], pa.binary()) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, tallies], ["doc_id", "digest", "node", "tally"])
+            made = [(name_of(s), tally(s), simhash.majority(s)) for s in (shingle_set(t.as_py()) for t in batch.column(2))]
+            nodes, tallies, fps = (pa.array([m[i] for m in made], kind) for i, kind in enumerate((pa.binary(), pa.binary(), pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, tallies, fps], ["doc_id", "digest", "node", "tally", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(text_col), raw(text_col).alias("raw")).mapInArrow(
-        name, "doc_id long, digest string, node binary, tally binary")
+        name, "doc_id long, digest string, node binary, tally binary, fp long")
 
 
 def text_digest(text_col: str) -> Column:
@@ -226,27 +230,44 @@ def verified(docs: DataFrame, text_col: str, sets: DataFrame, pairs: DataFrame)
     return pairs.join(first, "a").join(second, "b").select("a", "b", "items_a", "items_b").mapInArrow(check, "a binary, b binary")
 
 
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b): sets that the SimHash operator links; those of one fingerprint hang on the first of them."""
+    first = written(sets.groupBy("fp").agg(F.min("node").alias("first")), "set-fingerprints")
+    one, two = (first.select(F.col("fp").alias(s), F.col("first").alias(f"first_{s}")) for s in "ab")
+    near = simhash.near_links(first.select("fp")).join(one, "a").join(two, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    equal = sets.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return near.unionByName(equal)
+
+
+def apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(shingle, members) with the component of each member, for postings that have more than one. ``members``: shingle, n, node."""
+    return members.join(labels, "node", "left").groupBy("shingle").agg(
+        F.sort_array(F.collect_list(F.struct("n", "node", F.coalesce("component", "node").alias("component")))).alias("members")).where(
+            F.size(F.array_distinct("members.component")) > 1)
+
+
 def near_links(docs: DataFrame, sets: DataFrame, text_col: str = "text") -> DataFrame:
-    """(node, component) for every set that is linked to another over pairs of similarity 0.8 or more. ``sets`` has (node, digest, tally), once each.
+    """(node, component) for every set that is linked to another over pairs of similarity 0.8 or more. ``sets`` has (node, digest, tally, fp), once each.
 
-    A round compares a few members of each posting with all others in it. They are then done with; what is left of a posting goes on while
+    Pairs that fingerprints name are verified first, and sets that these connect are not compared again. A round then
+    compares a few members of each posting with all others in it. They are then done with; what is left of a posting goes on while
     it has more than one component, with more pivots each time. So a cloud of near copies, which is one component after
     the first round, costs as many pairs as it has texts, and yet no pair of different components is left uncompared.
     """
+    def alike_of(pairs: DataFrame) -> DataFrame:
+        return written(verified(docs, text_col, sets, written(possible(pairs, sets), "pairs")), "alike")
+
+    links, pivots = [alike_of(fingerprint_pairs(sets))], 0
     rest = written(postings(docs, text_col, common_shingles(docs, text_col)), "postings")
-    links, pivots = [], PIVOTS
     while True:
-        pairs = written(possible(candidates(rest, pivots), sets), "pairs")
-        links.append(written(verified(docs, text_col, sets, pairs), "alike"))
         labels = connected_components(reduce(DataFrame.unionByName, links))
         left = rest.where(F.size("members") > pivots + 1)
         if left.isEmpty():
             return labels
         members = left.select("shingle", F.explode(F.slice("members", pivots + 1, F.size("members"))).alias("m")).select("shingle", "m.n", "m.node")
-        rest = written(members.join(labels, "node", "left").groupBy("shingle").agg(
-            F.sort_array(F.collect_list(F.struct("n", "node", F.coalesce("component", "node").alias("component")))).alias("members")).where(
-                F.size(F.array_distinct("members.component")) > 1), "postings-left")
-        pivots *= 8
+        rest = written(apart(members, labels), "postings-left")
+        pivots = pivots * 8 or PIVOTS
+        links.append(alike_of(candidates(rest, pivots)))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,7 +281,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = names.groupBy("doc_id", "digest", "node").agg(F.count(F.lit(1)).alias("copies"))
     rows = written(rows.withColumn("place", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")), "named-rows")
     nodes = rows.groupBy("node").agg(F.min("place").alias("least"))
-    sets = written(names.groupBy("node").agg(F.min("digest").alias("digest"), F.first("tally").alias("tally")), "sets")
+    sets = written(names.groupBy("node").agg(F.min("digest").alias("digest"), F.first("tally").alias("tally"), F.first("fp").alias("fp")), "sets")
     labels = near_links(docs, sets, text_col)
     labelled = written(nodes.join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "labelled")
     firsts = labelled.groupBy("component").agg(F.min("least").alias("first"))

@@ -41,9 +41,8 @@ def _hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
     return np.array(made, np.uint64)
 
 
-def fingerprint_of(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Majority of the bits of all shingle hashes, as a signed 64-bit number; no words give zero."""
-    hashes = _hashes(text or b"", shingle, seed)
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have set, as a signed 64-bit number; zero without hashes."""
     votes = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[i:i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -51,6 +50,11 @@ def fingerprint_of(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED)
     return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big", signed=True)
 
 
+def fingerprint_of(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Majority of the bits of all shingle hashes, as a signed 64-bit number; no words give zero."""
+    return majority(_hashes(text or b"", shingle, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                  seed: int = SEED) -> DataFrame:
     """(id, fp) of every row; nothing is shuffled. Null and empty texts have fingerprint zero."""

@@ -105,3 +105,33 @@ def test_tallies_never_rule_out_a_near_copy():
         assert not near_text.may_be_alike(near_text.tally(drawn(n)), near_text.tally(drawn(n)))
     same_end = np.arange(2000, dtype=np.int64) << 20
     assert near_text.tally(same_end) == b"" and near_text.may_be_alike(b"", near_text.tally(drawn(4)))
+
+
+def test_simhash_names_pairs_first(spark):
+    """Sets whose fingerprints are at most two bits apart are connected by the operator's pairs, and by no others."""
+    rows = [(i, t) for i, t in enumerate(near_copies())]
+    draw = random.Random(3)
+    long = draw.choices(["".join(draw.choices("abcdefgh", k=6)) for _ in range(2000)], k=1500)
+    rows += [(len(rows) + k, " ".join(long[:700 + 20 * k] + ["new"] + long[701 + 20 * k:])) for k in range(12)]
+    names = near_text.named(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    sets = {bytes(r.node): r.fp & (1 << 64) - 1 for r in names}
+    table = spark.createDataFrame([(r.node, r.fp) for r in names], "node binary, fp long").distinct()
+
+    def joined(pairs):
+        root = {n: n for n in sets}
+
+        def top(n):
+            while root[n] != n:
+                n = root[n]
+            return n
+
+        for a, b in pairs:
+            root[top(a)] = top(b)
+        groups = {}
+        for n in sets:
+            groups.setdefault(top(n), set()).add(n)
+        return sorted(map(sorted, groups.values()))
+
+    want = joined((a, b) for a in sets for b in sets if a < b and (sets[a] ^ sets[b]).bit_count() <= 2)
+    assert len(want) < len(sets) - 5
+    assert joined((bytes(r.a), bytes(r.b)) for r in near_text.fingerprint_pairs(table).collect()) == want
