@@ -21,6 +21,8 @@ from curatrix.session import materialize
 
 #: Buckets up to this size are compared as one small matrix.
 SMALL = 48
+#: Bits for the number of a tile.
+TILE_BITS = 24
 
 
 def linked(fp: np.ndarray, group: np.ndarray, fps: np.ndarray, groups: np.ndarray, distance: int) -> np.ndarray:
@@ -29,6 +31,20 @@ def linked(fp: np.ndarray, group: np.ndarray, fps: np.ndarray, groups: np.ndarra
     return (np.bitwise_count(fps ^ fp) <= distance) & apart
 
 
+def worth_opening(fps: np.ndarray, groups: np.ndarray, sizes: np.ndarray, distance: int) -> np.ndarray:
+    """Which buckets, lying one after the other, are large or have a near pair: each value of a small one is held against those behind it, all buckets at once."""
+    found = sizes > SMALL
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    behind = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(fps)) - 1
+    rows, step = np.flatnonzero(~found[owner] & (behind > 0)), 1
+    while len(rows):
+        near = linked(fps[rows], groups[rows], fps[rows + step], groups[rows + step], distance)
+        found[owner[rows[near]]] = True
+        step += 1
+        rows = rows[behind[rows] >= step]
+    return np.flatnonzero(found)
+
+
 def bucket_forest(fps: np.ndarray, groups: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (from, to) of a spanning forest. What was reached is compared no more, so a dense cloud costs few comparisons for each member."""
     none = np.empty(0, np.int64)
@@ -59,22 +75,38 @@ def near_forest(fps: DataFrame, distance: int = cv.NEAR_DUP_DISTANCE, blocks: in
         "fp", "groups", "k.combo", "k.value")
     # How crowded a bucket is only decides into how many tiles it is cut, so a fixed share of the fingerprints tells it.
     probe = max(1, hot_bucket // 200)
-    tiles = keyed.where(F.pmod(F.xxhash64("fp"), F.lit(probe)) == 0).groupBy("combo", "value").agg(
-        F.ceil(2 * probe * F.count(F.lit(1)) / hot_bucket).cast("int").alias("tiles")).where("tiles > 1")
-    cut = keyed.join(tiles, ["combo", "value"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn(
-        "tile", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("tiles")).cast("int"))
+    tiles = materialize(keyed.where(F.pmod(F.xxhash64("fp"), F.lit(probe)) == 0).groupBy("combo", "value").agg(
+        F.ceil(2 * probe * F.count(F.lit(1)) / hot_bucket).cast("int").alias("tiles")).where("tiles > 1"), "tiles")
+    cut = keyed.join(tiles, ["combo", "value"]).withColumn("tile", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("tiles")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda other: F.struct(F.least("tile", other).alias("row"), F.greatest("tile", other).alias("col")))
-    buckets = cut.select("combo", "value", "fp", "groups", F.explode(pair).alias("at")).groupBy("combo", "value", "at").agg(
-        F.collect_list("fp").alias("fps"), F.collect_list("groups").alias("groups")).where("size(fps) > 1").select("fps", "groups")
+    # Nearly all buckets have one tile, and their rows nothing to open.
+    single = keyed.join(tiles, ["combo", "value"], "left_anti").select(F.expr(f"combo * {1 << 2 * TILE_BITS}L").alias("place"), "value", "fp", "groups")
+    opened = single.unionByName(cut.select("combo", "value", "fp", "groups", F.explode(pair).alias("at")).select(
+        F.expr(f"combo * {1 << 2 * TILE_BITS}L + at.row * {1 << TILE_BITS}L + at.col").alias("place"), "value", "fp", "groups"))
+    # Buckets come as runs of sorted rows, most of them of a single fingerprint, rather than as lists that an aggregation builds.
+    buckets = opened.repartition("place", "value").sortWithinPartitions("place", "value")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [np.empty((2, 0), np.int64)]
-            for fps_here, groups_here in zip(batch.column(0), batch.column(1)):
-                values = fps_here.values.to_numpy()
-                out.append(values[np.stack(bucket_forest(values.view(np.uint64), groups_here.values.to_numpy(), distance))])
+        def found(rows: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+            fps, groups, out = rows[2], rows[3], [np.empty((2, 0), np.int64)]
+            sizes = np.diff(starts, append=rows.shape[1])
+            for k in worth_opening(fps.view(np.uint64), groups, sizes, distance):
+                own = slice(starts[k], starts[k] + sizes[k])
+                out.append(fps[own][np.stack(bucket_forest(fps[own].view(np.uint64), groups[own], distance))])
             a, b = np.concatenate(out, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        rest = np.empty((4, 0), np.int64)
+        for batch in batches:
+            rows = np.concatenate([rest, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+            starts = np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0)) + 1
+            # The last bucket may go on in the next batch.
+            whole = starts[-1] if len(starts) else 0
+            rest = rows[:, whole:]
+            if whole:
+                yield found(rows[:, :whole], np.concatenate([[0], starts[:-1]]))
+        if rest.shape[1]:
+            yield found(rest, np.zeros(1, np.int64))
 
     return buckets.mapInArrow(edges, "a long, b long").distinct()
 

@@ -90,3 +90,17 @@ def test_components_with_and_without_pairs(spark):
 def test_empty(spark):
     items = spark.createDataFrame([], "item_id long, split string, class string, content_md5 string, fp long")
     assert comp.duplicate_components(items).collect() == []
+
+
+def test_only_buckets_with_near_pairs_are_opened():
+    """Many buckets at once against each by itself; large ones are always opened."""
+    draw = np.random.default_rng(4)
+    sizes = np.concatenate([draw.integers(1, 9, 400), [fo.SMALL, fo.SMALL + 1, 1]])
+    fps = draw.integers(0, 1 << 63, sizes.sum()).astype(np.uint64)
+    for at in draw.choice(len(fps) - 3, 120, replace=False):
+        fps[at + draw.integers(1, 4)] = fps[at] ^ np.uint64(1 << int(draw.integers(0, 63)))
+    groups = draw.integers(1, 4, len(fps))
+    ends = np.cumsum(sizes)
+    want = [k for k, (s, e) in enumerate(zip(ends - sizes, ends)) if e - s > fo.SMALL or any(
+        (int(fps[i]) ^ int(fps[j])).bit_count() <= 5 and not groups[i] == groups[j] in (1, 2) for i in range(s, e) for j in range(s, i))]
+    assert fo.worth_opening(fps, groups, sizes, 5).tolist() == want and 20 < len(want) < 200
