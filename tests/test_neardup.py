@@ -10,6 +10,9 @@ import pytest
 from curatrix.functions.bits import ALL_BITS, block_combos, block_masks, signed
 from curatrix.operators import neardup as nd
 from curatrix.operators.stems import min_distance_by_stem
+from curatrix.plans import audit_queries
+from curatrix.plans.registry import QUERIES
+from curatrix.session import materialize
 
 SPLITS, CLASSES = ("Train", "Validation", "Test"), ("Fake", "Real")
 
@@ -149,3 +152,25 @@ def test_keys_and_cells_are_not_broadcast(spark):
     for df in (nd.near_dup_blocks(items, scope="all"), nd.fingerprint_pairs(items.select("fp").distinct())):
         assert not [c for c in broadcast_columns(df) if "fp" in c or "cells" in c]
         assert not [c for c in broadcast_columns(df) if "_tiles" in c]
+
+
+#: Queries whose pairs go through ``near_dup_blocks``.
+ON_BLOCKS = [
+    "near_dups_cross_split",
+]
+
+
+@pytest.mark.parametrize("name", ON_BLOCKS)
+def test_queries_on_blocks_broadcast_no_keys_or_cells(spark, data, monkeypatch, name):
+    """What a query writes on its way counts like what it returns."""
+    plans = []
+
+    def noted(df, label):
+        plans.append(df)
+        return materialize(df, label)
+
+    monkeypatch.setattr(nd, "materialize", noted)
+    monkeypatch.setattr(audit_queries, "materialize", noted)
+    plans.append(QUERIES[name](spark, data))
+    sent = [columns.split(",") for df in plans for columns in broadcast_columns(df)]
+    assert not [c for c in sent if "value" in c and any(x.startswith("fp") for x in c) or any(x.startswith("cells") for x in c)]
