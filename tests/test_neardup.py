@@ -157,6 +157,7 @@ def test_keys_and_cells_are_not_broadcast(spark):
 #: Queries whose pairs go through ``near_dup_blocks``.
 ON_BLOCKS = [
     "near_dups_cross_split",
+    "duplicate_edges",
 ]
 
 
