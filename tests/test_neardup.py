@@ -158,6 +158,7 @@ def test_keys_and_cells_are_not_broadcast(spark):
 ON_BLOCKS = [
     "near_dups_cross_split",
     "duplicate_edges",
+    "near_dups_cross_class",
 ]
 
 
