@@ -159,6 +159,7 @@ ON_BLOCKS = [
     "near_dups_cross_split",
     "duplicate_edges",
     "near_dups_cross_class",
+    "near_dups_crowded",
 ]
 
 
