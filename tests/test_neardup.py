@@ -160,6 +160,7 @@ ON_BLOCKS = [
     "duplicate_edges",
     "near_dups_cross_class",
     "near_dups_crowded",
+    "near_dups_same_split_class",
 ]
 
 
