@@ -161,6 +161,7 @@ ON_BLOCKS = [
     "near_dups_cross_class",
     "near_dups_crowded",
     "near_dups_same_split_class",
+    "pairs_conflicting",
 ]
 
 
