@@ -162,6 +162,7 @@ ON_BLOCKS = [
     "near_dups_crowded",
     "near_dups_same_split_class",
     "pairs_conflicting",
+    "pairs_consistent",
 ]
 
 
