@@ -163,6 +163,7 @@ ON_BLOCKS = [
     "near_dups_same_split_class",
     "pairs_conflicting",
     "pairs_consistent",
+    "pairs_touching_test",
 ]
 
 
