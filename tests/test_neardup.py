@@ -164,6 +164,7 @@ ON_BLOCKS = [
     "pairs_conflicting",
     "pairs_consistent",
     "pairs_touching_test",
+    "pairs_within_class",
 ]
 
 
