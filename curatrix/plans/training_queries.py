@@ -463,7 +463,7 @@ bit AS (SELECT item_id, 8 * i + j AS k, v > lead(v) OVER (PARTITION BY item_id,
 SELECT item_id, string_agg(CASE WHEN up THEN '1' ELSE '0' END, '' ORDER BY k) AS bits FROM bit WHERE j < 8 GROUP BY item_id""")
 def image_dhash_lanczos(spark, d):
     """Difference hashes after resizing by a three-lobed windowed sinc."""
-    found = px.pixel_features(t.text_images(spark, d), "basic", resample="lanczos")
+    found = px.pixel_features(t.text_images(spark, d), "hash", resample="lanczos")
     return found.select("item_id", F.lpad(F.bin("dhash"), 64, "0").alias("bits"))
 
 
