@@ -441,7 +441,7 @@ cell AS (SELECT item_id, i, j, round(sum(greatest(0, least((j + 1) * 48 / 9.0::D
 bit AS (SELECT item_id, 8 * i + j AS k, v > lead(v) OVER (PARTITION BY item_id, i ORDER BY j) AS up, j FROM cell)""") + r"""
 SELECT item_id, string_agg(CASE WHEN up THEN '1' ELSE '0' END, '' ORDER BY k) AS bits FROM bit WHERE j < 8 GROUP BY item_id""")
 def image_dhash(spark, d):
-    found = px.pixel_features(t.text_images(spark, d), "basic")
+    found = px.pixel_features(t.text_images(spark, d), "hash")
     return found.select("item_id", F.lpad(F.bin("dhash"), 64, "0").alias("bits"))
 
 
