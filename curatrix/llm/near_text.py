@@ -6,7 +6,8 @@ are few of all similar sets, since a similarity of 0.8 is often ten bits away, s
 Under one order of all shingles, two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of each: a posting
 is named by such a shingle, so every pair meets in one. Which order is taken changes the work only; shingles that many
 texts have come last. Most pairs that meet are not alike: counts of each set's shingles by their last bits bound what two sets can
-share, and only pairs that pass this bound are verified, on the whole sets.
+share, and only pairs that pass this bound are verified, on the whole sets. Postings of many sets give no pairs: the whole
+sets of those that hang together over them meet in one task, once each, which gives a spanning forest.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ ALIKE, OF = 4, 5
 COMMON = 1 << 17
 COUNT_BYTES = 4 << 20
 PIVOTS = 1
+#: Members of a posting that are compared as pairs of rows; in larger ones the sets themselves meet.
+CROWDED = 32
+#: Bytes of whole sets that meet in a task.
+PLACE_BYTES = 4 << 20
 IN_WORD = np.ones(256, bool)
 IN_WORD[[*SPACES.encode()]] = False
 NAMES = WordNames()
@@ -209,23 +214,28 @@ def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "tally_a", "tally_b").mapInArrow(check, "a binary, b binary")
 
 
-def verified(docs: DataFrame, text_col: str, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are alike; only texts that are in a pair are read as sets."""
+def whole_sets(docs: DataFrame, text_col: str, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, items): the sets that ``wanted`` (node, once each) names; only their texts are read as sets."""
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = {name_of(s): s.tobytes() for s in (shingle_set(t.as_py()) for t in batch.column(0))}
             yield pa.RecordBatch.from_arrays([pa.array([*made], pa.binary()), pa.array([*made.values()], pa.binary())], ["node", "items"])
 
+    digests = sets.join(wanted, "node", "left_semi").select("digest")
+    texts = maybe_in(docs.select(text_digest(text_col), raw(text_col).alias("raw")), digests, "digest").select("raw")
+    return texts.mapInArrow(shingled, "node binary, items binary").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items"))
+
+
+def verified(docs: DataFrame, text_col: str, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are alike."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [alike(np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64)) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     wanted = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "paired")
-    digests = sets.join(wanted, "node", "left_semi").select("digest")
-    texts = maybe_in(docs.select(text_digest(text_col), raw(text_col).alias("raw")), digests, "digest").select("raw")
     # Both sides of the pairs read one exchange of this.
-    found = texts.mapInArrow(shingled, "node binary, items binary").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items"))
+    found = whole_sets(docs, text_col, sets, wanted)
     first, second = (found.select(F.col("node").alias(s), F.col("items").alias(f"items_{s}")) for s in "ab")
     return pairs.join(first, "a").join(second, "b").select("a", "b", "items_a", "items_b").mapInArrow(check, "a binary, b binary")
 
@@ -246,28 +256,114 @@ def apart(members: DataFrame, labels: DataFrame) -> DataFrame:
             F.size(F.array_distinct("members.component")) > 1)
 
 
+def forest(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Alike sets that join different ``labels``, as edges of a spanning forest; with ``sides`` only sets of different sides are compared.
+
+    An inverted index of the sets gives what a set shares with all others at once. Sets that share too few of their shingles with
+    any other are passed over.
+    """
+    sizes, labels, out = np.array([*map(len, sets)], np.int64), labels.copy(), []
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    head = np.concatenate([[True], flat[order[1:]] != flat[order[:-1]]])
+    which = np.empty(len(flat), np.int64)
+    which[order] = np.cumsum(head) - 1
+    begin, holders = np.flatnonzero(head), owner[order]
+    end = np.append(begin[1:], len(flat))
+    for i, own in enumerate(np.split(which, np.cumsum(sizes)[:-1])):
+        own = own[end[own] - begin[own] > 1]
+        if not len(own) or OF * len(own) < ALIKE * sizes[i] or labels.min() == labels.max():
+            continue
+        both = np.bincount(np.concatenate([holders[a:b] for a, b in zip(begin[own].tolist(), end[own].tolist())]), minlength=len(sets))
+        good = (OF * both >= ALIKE * (sizes + sizes[i] - both)) & (labels != labels[i])
+        if sides is not None:
+            good &= sides != sides[i]
+        for j in np.flatnonzero(good).tolist():
+            if labels[j] != labels[i]:
+                out.append((i, j))
+                labels[labels == labels[j]] = labels[i]
+    return out
+
+
+def crowd_places(crowded: DataFrame) -> DataFrame:
+    """(place, row, col, tile, node, component): where the members of ``crowded`` (shingle, members) meet.
+
+    Sets that hang together over these postings are one place, so each of them is sent once. If they are too much for a task, each posting
+    of theirs is a place of its own; if that is too much, it is cut in tiles, and each pair of tiles meets.
+    """
+    rows = written(crowded.select("shingle", F.explode("members").alias("m")).select("shingle", "m.node", "m.component", (8 * F.col("m.n") + 64).alias("size")), "crowd")
+    stars = crowded.select(F.col("members")[0]["node"].alias("a"), F.explode("members.node").alias("b"))
+    clouds = connected_components(stars).withColumnRenamed("component", "cloud")
+    nodes = written(rows.groupBy("node").agg(F.first("component").alias("component"), F.first("size").alias("size")).join(clouds, "node"), "crowd-nodes")
+    large = written(nodes.groupBy("cloud").agg(F.sum("size").alias("total")).where(F.col("total") > PLACE_BYTES).select("cloud"), "large-clouds")
+    zero = F.lit(0)
+    whole = nodes.join(large, "cloud", "left_anti").select(F.col("cloud").alias("place"), zero.alias("row"), zero.alias("col"), zero.alias("tile"), "node", "component")
+    loose = rows.join(nodes.join(large, "cloud", "left_semi").select("node"), "node", "left_semi")
+    tiles = written(loose.groupBy("shingle").agg(F.sum("size").alias("total")).select(
+        "shingle", F.when(F.col("total") > PLACE_BYTES, F.ceil(2 * F.col("total") / PLACE_BYTES)).otherwise(1).cast("int").alias("tiles")), "crowd-tiles")
+    met = loose.join(tiles, "shingle").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    other = F.transform(F.sequence(zero, F.col("tiles") - 1), lambda t: F.struct(F.least("tile", t).alias("row"), F.greatest("tile", t).alias("col")))
+    # Shorter than the name of a set, so no cloud has the same.
+    opened = met.select(F.unhex(F.hex("shingle")).alias("place"), F.explode(other).alias("at"), "tile", "node", "component")
+    return whole.unionByName(opened.select("place", "at.row", "at.col", "tile", "node", "component"))
+
+
+def crowd_links(docs: DataFrame, text_col: str, sets: DataFrame, crowded: DataFrame) -> DataFrame:
+    """(a, b): links that join the components of the members of ``crowded``, each posting's as a spanning forest at most."""
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+
+        def found() -> pa.RecordBatch:
+            names, tiles, components, items = zip(*rows)
+            numbers = {c: k for k, c in enumerate(dict.fromkeys(components))}
+            edges = forest([np.frombuffer(i, np.int64) for i in items], np.array([numbers[c] for c in components]),
+                           np.array(tiles) if at[1] != at[2] else None)
+            return pa.RecordBatch.from_arrays([pa.array([names[e[k]] for e in edges], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for place, row, col, tile, node, component, items in zip(*batch.columns):
+                key = place.as_py(), row.as_py(), col.as_py()
+                if rows and key != at:
+                    yield found()
+                    rows = []
+                at = key
+                rows.append((node.as_py(), tile.as_py(), component.as_py(), items.as_py()))
+        if rows:
+            yield found()
+
+    places = written(crowd_places(crowded), "places")
+    found = whole_sets(docs, text_col, sets, written(places.select("node").distinct(), "crowd-wanted"))
+    # Rows of a place follow each other.
+    return places.join(found, "node").select("place", "row", "col", "tile", "node", "component", "items").repartition("place", "row", "col").sortWithinPartitions(
+        "place", "row", "col").mapInArrow(meet, "a binary, b binary")
+
+
 def near_links(docs: DataFrame, sets: DataFrame, text_col: str = "text") -> DataFrame:
     """(node, component) for every set that is linked to another over pairs of similarity 0.8 or more. ``sets`` has (node, digest, tally, fp), once each.
 
-    Pairs that fingerprints name are verified first, and sets that these connect are not compared again. A round then
-    compares a few members of each posting with all others in it. They are then done with; what is left of a posting goes on while
-    it has more than one component, with more pivots each time. So a cloud of near copies, which is one component after
-    the first round, costs as many pairs as it has texts, and yet no pair of different components is left uncompared.
+    Pairs that fingerprints name are verified first, and sets that these connect are not compared again. Then
+    the first members of each posting are compared with all others in it. They are then done with; what is left of a posting goes on if
+    it has more than one component. So a cloud of near copies, which is one component by then, costs as many pairs as it has texts.
+    Of the others, postings of up to ``CROWDED`` members give all their pairs, and the sets of larger ones meet in tasks, so
+    rows grow with the members and no pair of different components is left uncompared.
     """
     def alike_of(pairs: DataFrame) -> DataFrame:
         return written(verified(docs, text_col, sets, written(possible(pairs, sets), "pairs")), "alike")
 
-    links, pivots = [alike_of(fingerprint_pairs(sets))], 0
-    rest = written(postings(docs, text_col, common_shingles(docs, text_col)), "postings")
-    while True:
-        labels = connected_components(reduce(DataFrame.unionByName, links))
-        left = rest.where(F.size("members") > pivots + 1)
-        if left.isEmpty():
-            return labels
-        members = left.select("shingle", F.explode(F.slice("members", pivots + 1, F.size("members"))).alias("m")).select("shingle", "m.n", "m.node")
-        rest = written(apart(members, labels), "postings-left")
-        pivots = pivots * 8 or PIVOTS
-        links.append(alike_of(candidates(rest, pivots)))
+    def left(posted: DataFrame, done: int) -> DataFrame:
+        members = posted.where(F.size("members") > done + 1).select(
+            "shingle", F.explode(F.slice("members", done + 1, F.size("members"))).alias("m")).select("shingle", "m.n", "m.node")
+        return written(apart(members, connected_components(reduce(DataFrame.unionByName, links))), "postings-left")
+
+    links = [alike_of(fingerprint_pairs(sets))]
+    rest = left(written(postings(docs, text_col, common_shingles(docs, text_col)), "postings"), 0)
+    links.append(alike_of(candidates(rest, PIVOTS)))
+    rest = left(rest, PIVOTS)
+    links.append(alike_of(candidates(rest.where(F.size("members") <= CROWDED), CROWDED)))
+    crowded = rest.where(F.size("members") > CROWDED)
+    if not crowded.isEmpty():
+        links.append(written(crowd_links(docs, text_col, sets, crowded), "crowd-links"))
+    return connected_components(reduce(DataFrame.unionByName, links))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -135,3 +135,61 @@ def test_simhash_names_pairs_first(spark):
     want = joined((a, b) for a in sets for b in sets if a < b and (sets[a] ^ sets[b]).bit_count() <= 2)
     assert len(want) < len(sets) - 5
     assert joined((bytes(r.a), bytes(r.b)) for r in near_text.fingerprint_pairs(table).collect()) == want
+
+
+def loose_cloud(n):
+    """Copies of one text with 1 to 8 new words each: few are alike, and all have shingles in common."""
+    draw = random.Random(11)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for i in range(n):
+        copy = list(base)
+        for k, at in enumerate(draw.sample(range(150), k=draw.choice((1, 5, 6, 7, 8)))):
+            copy[at] = f"n{i}x{k}"
+        texts.append(" ".join(copy))
+    return list(enumerate(texts))
+
+
+def test_loose_cloud_makes_few_pairs(spark, monkeypatch):
+    """The rows of pairs grow with the texts, though most of them are compared with one another."""
+    named, possible = [], near_text.possible
+
+    def counted(pairs, sets):
+        named.append(pairs.count())
+        return possible(pairs, sets)
+
+    monkeypatch.setattr(near_text, "possible", counted)
+    rows = loose_cloud(260)
+    got = sorted((r.doc_id, r.text) for r in near_text.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == kept_by_hand(rows)
+    assert 100 < len(got) < 250
+    assert sum(named) < 20 * len(rows)
+
+
+@pytest.mark.parametrize("place_bytes", [4 << 20, 30_000])
+def test_crowds_lose_nothing(spark, monkeypatch, place_bytes):
+    """All postings as crowds: clouds that fit a task, and clouds that are cut to postings and these to tiles."""
+    monkeypatch.setattr(near_text, "CROWDED", 2)
+    monkeypatch.setattr(near_text, "PLACE_BYTES", place_bytes)
+    rows = near_copies() + [(1000 + i, t) for i, t in loose_cloud(50)]
+    got = sorted((r.doc_id, r.text or "") for r in near_text.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == kept_by_hand(rows)
+
+
+def test_forest_joins_what_is_alike():
+    draw = np.random.default_rng(7)
+    pool = draw.integers(-1 << 63, (1 << 63) - 1, 60)
+    sets = [np.unique(draw.choice(pool[:draw.integers(8, 60)], draw.integers(4, 50))) for _ in range(120)]
+    for sides in (None, np.arange(120) % 2):
+        want = {(i, j) for i in range(120) for j in range(i) if near_text.alike(sets[i], sets[j]) and (sides is None or sides[i] != sides[j])}
+        edges = near_text.forest(sets, np.arange(120), sides)
+        assert want and {(max(e), min(e)) for e in edges} <= want
+
+        def groups(pairs):
+            label = list(range(120))
+            for a, b in pairs:
+                label = [label[a] if x == label[b] else x for x in label]
+            return [label.index(x) for x in label]
+
+        assert groups(edges) == groups(want)
+        assert len(edges) == 120 - len(set(groups(want)))
