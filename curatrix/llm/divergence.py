@@ -1,8 +1,8 @@
 """How far the sources of a language differ in their words: partial counts by Arrow compute, divergences over columnar shards.
 
-A task lowers, splits, encodes and groups its texts with Arrow's own kernels and sends one row for each (language, source, term) of a few megabytes. The
-merged counts of a language are dealt in shards of whole terms; a shard is a matrix of counts, one column for each source, in which
-divergences are summed. Sources beyond ``SOURCES`` come in blocks, one shard for each pair of blocks. All numbers are whole.
+A task splits, encodes and groups its texts with Arrow's own kernels, from the buffers of its batches and by the numbers of their terms, and sends one
+row for each (language, source, term) of a few megabytes. The merged counts of a language are dealt in shards of whole terms; a shard is a matrix of
+counts, one column for each source, in which divergences are summed. Sources beyond ``SOURCES`` come in blocks, one shard for each pair of blocks. All numbers are whole.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from curatrix.llm.common import written
 
 MIN_DOCS = 10
 TOP = 10
-#: Everything that is no letter: all of ASCII but letters.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Letters: all bytes but those of ASCII that are no letters.
+LETTER = np.array([b > 127 or chr(b).isalpha() for b in range(256)])
+#: Lower case, and a space for whatever is no letter.
+PLAIN = bytes((b + 32 if 65 <= b <= 90 else b) if LETTER[b] else 32 for b in range(256))
 BATCH_BYTES = 4 << 20
 #: Cells (terms times sources) of a shard, and sources of a block, about.
 CELLS = 1 << 18
@@ -33,70 +35,112 @@ COUNTS_DDL = "lang string, source string, term string, n long, docs long"
 PARTS_DDL = "lang string, source string, part string, item string, value long, terms long, p long, q long"
 
 
-def _pieces(text: str) -> Iterator[str]:
-    """A text in pieces of about BATCH_BYTES characters, cut where no term can be."""
+def _pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bytes in pieces of about BATCH_BYTES, cut where no term can be."""
     at = 0
-    while at < len(text):
+    while at < len(data):
         end = at + BATCH_BYTES
-        while end < len(text) and (text[end] > "\x7f" or text[end].isalpha()):
-            end += 1
-        yield text[at:end]
+        while end < len(data):
+            gaps = np.flatnonzero(~LETTER[data[end:end + BATCH_BYTES]])
+            if len(gaps):
+                end += int(gaps[0])
+                break
+            end += BATCH_BYTES
+        yield at, min(end, len(data))
         at = end
 
 
-def _terms(docs: list[int], texts: list[str]) -> pa.Table:
-    """(doc, term, n) of some texts."""
-    split = pc.split_pattern_regex(pc.ascii_lower(pa.array(texts, pa.large_string())), BETWEEN)
-    owner = pc.take(pa.array(docs, pa.int64()), pc.list_parent_indices(split))
+def _terms(data: np.ndarray, edges: np.ndarray) -> tuple[pa.Array, pa.DictionaryArray]:
+    """(document, term) of some bytes, repeats included; documents meet at ``edges``."""
+    texts = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(data.tobytes().translate(PLAIN)))
+    split = pc.ascii_split_whitespace(texts)
     term = pc.list_flatten(split)
     real = pc.not_equal(term, "")
-    coded = term.filter(real).dictionary_encode()
-    grouped = pa.table({"doc": owner.filter(real), "code": coded.indices.cast(pa.int64())}).group_by(["doc", "code"], use_threads=False).aggregate([([], "count_all")])
-    return pa.table({"doc": grouped["doc"], "term": pc.take(coded.dictionary, grouped["code"]), "n": grouped["count_all"]})
+    return pc.list_parent_indices(split).filter(real).cast(pa.int64()), term.filter(real).dictionary_encode()
 
 
-def _counted(tables: list[pa.Table], langs: list[str], sources: list[str]) -> pa.RecordBatch:
-    """(lang, source, term, n, docs) of some documents; each group has a row without a term, too."""
-    doc_terms = pa.concat_tables(tables).group_by(["doc", "term"], use_threads=False).aggregate([("n", "sum")])
-    by = {"lang": pc.take(pa.array(langs, pa.large_string()), doc_terms["doc"]), "source": pc.take(pa.array(sources, pa.large_string()), doc_terms["doc"])}
-    terms = pa.table(by | {"term": doc_terms["term"], "n": doc_terms["n_sum"]}).group_by(["lang", "source", "term"], use_threads=False).aggregate(
-        [("n", "sum"), ("n", "count")])
-    groups = sorted(set(zip(langs, sources)))
-    empty = pa.table({"lang": pa.array([g[0] for g in groups]), "source": pa.array([g[1] for g in groups]), "term": pa.nulls(len(groups), pa.string()),
-                      "n": pa.array([0] * len(groups)), "docs": pa.array([0] * len(groups))}, schema=COUNTS)
-    found = pa.table([terms[c] for c in ("lang", "source", "term", "n_sum", "n_count")], names=COUNTS.names).cast(COUNTS)
-    return pa.concat_tables([found, empty]).combine_chunks().to_batches()[0]
+def _summed(key: pa.ChunkedArray, n: pa.ChunkedArray) -> pa.Table:
+    """Each key once, the sum of its n and how often it is there."""
+    return pa.table({"key": key, "n": n}).group_by("key", use_threads=False).aggregate([("n", "sum"), ("n", "count")])
+
+
+def _paired(high: pa.Array, low: pa.Array, size: int) -> pa.Array:
+    """Two whole numbers, of which the lower is below ``size``, as one."""
+    return pc.add(pc.multiply(high, size), low)
+
+
+def _counted(docs: pa.Table) -> pa.RecordBatch:
+    """(lang, source, term, n, docs) of some documents; each group has a row without a term, too.
+
+    Terms are encoded once; all else is grouped by whole numbers, since strings take far longer to group.
+    """
+    langs, sources = (docs[c].combine_chunks().dictionary_encode() for c in ("lang", "source"))
+    width = len(sources.dictionary)
+    groups = _paired(langs.indices.cast(pa.int64()), sources.indices.cast(pa.int64()), width).dictionary_encode()
+    group, n_groups = groups.indices.cast(pa.int64()), len(groups.dictionary)
+
+    texts = docs["text"].combine_chunks()
+    edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0]:edges[-1]]
+    edges = edges - edges[0]
+    names, keys, counts, known = [], [], [], 0
+    for at, end in _pieces(data):
+        doc, coded = _terms(data[at:end], np.clip(edges, at, end) - at)
+        key = _paired(pc.add(coded.indices.cast(pa.int64()), known), doc, len(docs))
+        found = pa.table({"key": key}).group_by("key", use_threads=False).aggregate([([], "count_all")])
+        names.append(coded.dictionary)
+        keys.append(found["key"])
+        counts.append(found["count_all"])
+        known += len(coded.dictionary)
+    terms = pa.chunked_array(names, pa.large_string()).combine_chunks()
+    key, n = (pa.chunked_array([c for x in lists for c in x.chunks], pa.int64()) for lists in (keys, counts))
+    code = pc.divide(key, len(docs))
+    doc = pc.subtract(key, pc.multiply(code, len(docs)))
+    if len(names) > 1:
+        # Pieces have numbers of their own for their terms.
+        again = terms.dictionary_encode()
+        terms = again.dictionary
+        whole = _summed(_paired(pc.take(again.indices, code).cast(pa.int64()), doc, len(docs)), n)
+        n, code = whole["n_sum"], pc.divide(whole["key"], len(docs))
+        doc = pc.subtract(whole["key"], pc.multiply(code, len(docs)))
+    found = _summed(_paired(code, pc.take(group, doc), n_groups), n)
+    code = pc.divide(found["key"], n_groups)
+    member = pc.take(groups.dictionary, pc.subtract(found["key"], pc.multiply(code, n_groups)))
+
+    def rows(member: pa.ChunkedArray, *others) -> pa.Table:
+        lang = pc.divide(member, width)
+        source = pc.subtract(member, pc.multiply(lang, width))
+        return pa.table([pc.take(langs.dictionary, lang), pc.take(sources.dictionary, source), *others], names=COUNTS.names).cast(COUNTS)
+
+    none = pa.array(np.zeros(n_groups, np.int64))
+    every = rows(groups.dictionary, pa.nulls(n_groups, pa.string()), none, none)
+    return pa.concat_tables([rows(member, pc.take(terms, code), found["n_sum"], found["n_count"]), every]).combine_chunks().to_batches()[0]
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Table, int]]:
+    """Runs of rows with about BATCH_BYTES of text, or one row with more, and their size; a row counts 64 besides."""
+    table = pa.table([c.cast(pa.large_string()) for c in batch.columns], names=["text", "lang", "source"])
+    size = np.cumsum(pc.binary_length(table["text"]).to_numpy() + 64)
+    at, before = 0, 0
+    while at < len(size):
+        end = min(int(np.searchsorted(size, before + BATCH_BYTES)) + 1, len(size))
+        yield table.slice(at, end - at), int(size[end - 1]) - before
+        at, before = end, int(size[end - 1])
 
 
 def partial_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs), summed over a few megabytes of (text, lang, source) each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, texts, owners, langs, sources, size = [], [], [], [], [], 0
-
-        def flushed() -> None:
-            nonlocal texts, owners, size
-            tables.append(_terms(owners, texts))
-            texts, owners, size = [], [], 0
-
+        held, size = [], 0
         for batch in batches:
-            for text, lang, source in zip(*(c.to_pylist() for c in batch.columns)):
-                langs.append(lang)
-                sources.append(source)
-                size += 64
-                for piece in _pieces(text):
-                    texts.append(piece)
-                    owners.append(len(langs) - 1)
-                    size += len(piece)
-                    if size >= BATCH_BYTES:
-                        flushed()
-                # Given out between documents only, so that each counts once.
-                if tables or size >= BATCH_BYTES:
-                    flushed()
-                    yield _counted(tables, langs, sources)
-                    tables, langs, sources = [], [], []
-        if langs:
-            flushed()
-            yield _counted(tables, langs, sources)
+            for rows, more in _slices(batch):
+                held.append(rows)
+                size += more
+                if size >= BATCH_BYTES:
+                    yield _counted(pa.concat_tables(held))
+                    held, size = [], 0
+        if held:
+            yield _counted(pa.concat_tables(held))
 
     return docs.mapInArrow(run, COUNTS_DDL)
 

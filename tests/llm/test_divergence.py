@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from curatrix.llm import divergence
@@ -73,6 +75,40 @@ def test_sources_in_blocks_and_shards(spark, monkeypatch, sources, cells, batch)
     assert got(docs, min_docs=1, top=2) == by_hand(rows, 1, 2)
 
 
+def test_words_longer_than_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "BATCH_BYTES", 100)
+    rows = [("é" * 400 + " X" * 300 + "\x7f" + "ab" * 250, "en", "a"), ("é" * 400, "en", "b"), ("x ab", "en", "b"), ("", "en", "c"), ("X", "de", "a")]
+    assert got(spark.createDataFrame(rows, "text string, lang string, source string").coalesce(1), min_docs=1) == by_hand(rows, 1)
+
+
+def test_counting_takes_no_more_than_a_few_times_a_plain_loop():
+    draw = random.Random(5)
+    vocabulary = ["".join(draw.choices("abcdefgh", k=draw.randint(2, 9))) for _ in range(30_000)]
+    texts = [" ".join(draw.choices(vocabulary, k=300)).title() for _ in range(2_000)]
+    docs = pa.table({"text": texts, "lang": ["en", "de"] * 1_000, "source": [f"s{i % 20}" for i in range(2_000)]}).cast(
+        pa.schema([(c, pa.large_string()) for c in ("text", "lang", "source")]))
+
+    def by_arrow():
+        return {(r["lang"], r["source"], r["term"]): (r["n"], r["docs"]) for r in divergence._counted(docs).to_pylist() if r["term"] is not None}
+
+    n, seen = Counter(), Counter()
+    for r in docs.to_pylist():
+        for term, k in Counter(TERM.findall(r["text"].translate(brute.LOWER))).items():
+            n[r["lang"], r["source"], term] += k
+            seen[r["lang"], r["source"], term] += 1
+    assert by_arrow() == {k: (n[k], seen[k]) for k in n}
+
+    def seconds(run):
+        times = []
+        for _ in range(3):
+            start = time.process_time()
+            run()
+            times.append(time.process_time() - start)
+        return min(times)
+
+    assert seconds(lambda: divergence._counted(docs)) < 3 * seconds(lambda: [Counter(TERM.findall(t.translate(brute.LOWER))) for t in texts])
+
+
 def test_awkward_rows(edge_docs, no_docs):
     rows = [(r.text, r.lang, r.source) for r in edge_docs.select("text", "lang", "source").collect()]
     assert got(edge_docs, min_docs=2) == by_hand(rows, 2)
