@@ -6,14 +6,14 @@ are few of all similar sets, since a similarity of 0.8 is often ten bits away, s
 Under one order of all shingles, two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of each: a posting
 is named by such a shingle, so every pair meets in one. Which order is taken changes the work only; shingles that many
 texts have come last. Most pairs that meet are not alike: counts of each set's shingles by their last bits bound what two sets can
-share, and only pairs that pass this bound are verified, on the whole sets. Postings of many sets give no pairs: the whole
-sets of those that hang together over them meet in one task, once each, which gives a spanning forest.
+share, and only pairs that pass this bound are verified, on the whole sets. Postings of many sets give no pairs: the counts
+of those that hang together over them meet in one task, and then the whole sets of those that these leave together, once each, which gives a spanning forest.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.llm import simhash
-from curatrix.llm.common import ASCII_LOWER, JOIN, SPACES, WordNames, among, filters, maybe_in, mix, parted, raw, written
+from curatrix.llm.common import ASCII_LOWER, JOIN, SPACES, WordNames, among, filters, maybe_in, mix, parted, raw, shuffles_dropped, written
 from curatrix.operators.components import connected_components
 
 SHINGLE = 5
@@ -128,7 +128,8 @@ def common_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
         yield counted()
 
     found = docs.select(raw(text_col).alias("raw")).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = found.where("n > 2").orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
+    with shuffles_dropped(docs.sparkSession):
+        top = found.where("n > 2").orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
     return np.array([r.shingle for r in reversed(top)], np.int64)
 
 
@@ -256,6 +257,12 @@ def apart(members: DataFrame, labels: DataFrame) -> DataFrame:
             F.size(F.array_distinct("members.component")) > 1)
 
 
+def clouds_of(edges: DataFrame, name: str = "component") -> DataFrame:
+    """(node, ``name``): the components of ``edges`` (a, b)."""
+    with shuffles_dropped(edges.sparkSession):
+        return connected_components(edges).withColumnRenamed("component", name)
+
+
 def forest(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Alike sets that join different ``labels``, as edges of a spanning forest; with ``sides`` only sets of different sides are compared.
 
@@ -285,57 +292,120 @@ def forest(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray | None
     return out
 
 
-def crowd_places(crowded: DataFrame) -> DataFrame:
-    """(place, row, col, tile, node, component): where the members of ``crowded`` (shingle, members) meet.
+def close_forest(tallies: list[bytes], sizes: np.ndarray, components: np.ndarray, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Sets of different ``components`` whose tallies do not rule them out, as edges of a spanning forest of all such pairs.
 
-    Sets that hang together over these postings are one place, so each of them is sent once. If they are too much for a task, each posting
-    of theirs is a place of its own; if that is too much, it is cut in tiles, and each pair of tiles meets.
+    The edges are not known to be alike, so sets hang together by them alone, not by their components. Sets are laid by size, and
+    each is held against the larger ones that its size allows.
     """
-    rows = written(crowded.select("shingle", F.explode("members").alias("m")).select("shingle", "m.node", "m.component", (8 * F.col("m.n") + 64).alias("size")), "crowd")
-    stars = crowded.select(F.col("members")[0]["node"].alias("a"), F.explode("members.node").alias("b"))
-    clouds = connected_components(stars).withColumnRenamed("component", "cloud")
-    nodes = written(rows.groupBy("node").agg(F.first("component").alias("component"), F.first("size").alias("size")).join(clouds, "node"), "crowd-nodes")
-    large = written(nodes.groupBy("cloud").agg(F.sum("size").alias("total")).where(F.col("total") > PLACE_BYTES).select("cloud"), "large-clouds")
-    zero = F.lit(0)
-    whole = nodes.join(large, "cloud", "left_anti").select(F.col("cloud").alias("place"), zero.alias("row"), zero.alias("col"), zero.alias("tile"), "node", "component")
-    loose = rows.join(nodes.join(large, "cloud", "left_semi").select("node"), "node", "left_semi")
-    tiles = written(loose.groupBy("shingle").agg(F.sum("size").alias("total")).select(
-        "shingle", F.when(F.col("total") > PLACE_BYTES, F.ceil(2 * F.col("total") / PLACE_BYTES)).otherwise(1).cast("int").alias("tiles")), "crowd-tiles")
-    met = loose.join(tiles, "shingle").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    other = F.transform(F.sequence(zero, F.col("tiles") - 1), lambda t: F.struct(F.least("tile", t).alias("row"), F.greatest("tile", t).alias("col")))
-    # Shorter than the name of a set, so no cloud has the same.
-    opened = met.select(F.unhex(F.hex("shingle")).alias("place"), F.explode(other).alias("at"), "tile", "node", "component")
-    return whole.unionByName(opened.select("place", "at.row", "at.col", "tile", "node", "component"))
+    order = np.argsort(sizes, kind="stable")
+    lengths, labels, out = np.array([*map(len, tallies)], np.int64), np.arange(len(tallies)), []
+    held = {}
+    for length in np.unique(lengths[lengths > 0]).tolist():
+        # A set at most a quarter larger has a tally of this length or twice as long; an empty one says nothing.
+        near = order[np.isin(lengths[order], (0, length, 2 * length))]
+        table = np.zeros((len(near), length), np.uint16)
+        for k, i in enumerate(near.tolist()):
+            table[k] = np.frombuffer(tallies[i], np.uint8).reshape(-1, length).sum(axis=0) if tallies[i] else 0
+        held[length] = near, table
+    held[0] = order, None
+    for i in order.tolist():
+        near, table = held[lengths[i]]
+        least, most = np.searchsorted(sizes[near], (sizes[i], OF * sizes[i] // ALIKE + 1))
+        at = np.arange(least, most)
+        other = near[at]
+        good = (labels[other] != labels[i]) & (components[other] != components[i])
+        if sides is not None:
+            good &= sides[other] != sides[i]
+        at, other = at[good], other[good]
+        if table is not None and len(at):
+            own = np.frombuffer(tallies[i], np.uint8)
+            both = np.minimum(table[at], own).sum(axis=1, dtype=np.int64)
+            good = (lengths[other] == 0) | (OF * both >= ALIKE * (sizes[other] + sizes[i] - both))
+            other = other[good]
+        if len(other):
+            joined, first = np.unique(labels[other], return_index=True)
+            out += [(i, j) for j in other[first].tolist()]
+            labels[np.isin(labels, joined)] = labels[i]
+            if labels.min() == labels.max():
+                break
+    return out
 
 
-def crowd_links(docs: DataFrame, text_col: str, sets: DataFrame, crowded: DataFrame) -> DataFrame:
-    """(a, b): links that join the components of the members of ``crowded``, each posting's as a spanning forest at most."""
+def crowd_places(rows: DataFrame, clouds: DataFrame) -> DataFrame:
+    """(place, row, col, tile, node, component): where sets of ``rows`` (shingle, node, component, size) meet, ``size`` in bytes.
+
+    Sets of one of ``clouds`` (node, cloud) are one place, so each of them is sent once; sets of no cloud are left out. A cloud that is too much
+    for a task is cut in tiles, and each pair of tiles meets; or else each posting in it is a place of its own, cut in the same way, if
+    that moves less: texts that have much in common are together in many postings, others in few.
+    """
+    def cut(total: Column) -> Column:
+        return F.when(total > PLACE_BYTES, F.ceil(2 * total / PLACE_BYTES)).otherwise(1).cast("int")
+
+    held = written(rows.join(clouds, "node"), "crowd")
+    nodes = written(held.groupBy("cloud", "node").agg(F.first("component").alias("component"), F.first("size").alias("size")), "crowd-nodes")
+    whole = written(nodes.groupBy("cloud").agg(F.sum("size").alias("total")).withColumn("tiles", cut(F.col("total"))), "clouds")
+    large = whole.where("tiles > 1").select("cloud", (F.col("total") * F.col("tiles")).alias("moved"))
+    single = written(held.join(large.select("cloud"), "cloud", "left_semi").groupBy("cloud", "shingle").agg(F.sum("size").alias("total")).withColumn(
+        "tiles", cut(F.col("total"))), "crowd-tiles")
+    opened = written(single.groupBy("cloud").agg(F.sum(F.col("total") * F.col("tiles")).alias("each")).join(large, "cloud").where("each < moved").select(
+        "cloud"), "opened-clouds")
+    together = nodes.join(whole, "cloud").join(opened, "cloud", "left_anti").select(F.col("cloud").alias("place"), "tiles", "node", "component")
+    # Longer than the name of a cloud, so no cloud has the same.
+    postings = held.join(single.join(opened, "cloud", "left_semi"), ["cloud", "shingle"]).select(
+        F.concat("cloud", F.unhex(F.lpad(F.hex("shingle"), 16, "0"))).alias("place"), "tiles", "node", "component")
+    met = together.unionByName(postings).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    other = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least("tile", t).alias("row"), F.greatest("tile", t).alias("col")))
+    return met.select("place", F.explode(other).alias("at"), "tile", "node", "component").select("place", "at.row", "at.col", "tile", "node", "component")
+
+
+def meetings(places: DataFrame, given: DataFrame, edges_of: Callable[..., list[tuple[int, int]]]) -> DataFrame:
+    """(a, b): ``edges_of`` what the sets of each place are given (node, n, given), their sizes, components and tiles."""
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
 
         def found() -> pa.RecordBatch:
-            names, tiles, components, items = zip(*rows)
+            names, tiles, components, sizes, items = zip(*rows)
             numbers = {c: k for k, c in enumerate(dict.fromkeys(components))}
-            edges = forest([np.frombuffer(i, np.int64) for i in items], np.array([numbers[c] for c in components]),
-                           np.array(tiles) if at[1] != at[2] else None)
+            edges = edges_of(items, np.array(sizes, np.int64), np.array([numbers[c] for c in components]), np.array(tiles) if at[1] != at[2] else None)
             return pa.RecordBatch.from_arrays([pa.array([names[e[k]] for e in edges], pa.binary()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for place, row, col, tile, node, component, items in zip(*batch.columns):
+            for place, row, col, tile, node, component, n, items in zip(*batch.columns):
                 key = place.as_py(), row.as_py(), col.as_py()
                 if rows and key != at:
                     yield found()
                     rows = []
                 at = key
-                rows.append((node.as_py(), tile.as_py(), component.as_py(), items.as_py()))
+                rows.append((node.as_py(), tile.as_py(), component.as_py(), n.as_py(), items.as_py()))
         if rows:
             yield found()
 
-    places = written(crowd_places(crowded), "places")
-    found = whole_sets(docs, text_col, sets, written(places.select("node").distinct(), "crowd-wanted"))
     # Rows of a place follow each other.
-    return places.join(found, "node").select("place", "row", "col", "tile", "node", "component", "items").repartition("place", "row", "col").sortWithinPartitions(
-        "place", "row", "col").mapInArrow(meet, "a binary, b binary")
+    return places.join(given, "node").select("place", "row", "col", "tile", "node", "component", "n", "given").repartition(
+        "place", "row", "col").sortWithinPartitions("place", "row", "col").mapInArrow(meet, "a binary, b binary")
+
+
+def crowd_links(docs: DataFrame, text_col: str, sets: DataFrame, crowded: DataFrame) -> DataFrame:
+    """(a, b): links that join the components of the members of ``crowded``, each place's as a spanning forest at most.
+
+    Tallies meet first. Only sets that hang together over pairs which these do not rule out meet as a whole, once for each such cloud.
+    """
+    rows = written(crowded.select("shingle", F.explode("members").alias("m")).select("shingle", "m.node", "m.component", "m.n"), "crowded")
+    stars = crowded.select(F.col("members")[0]["node"].alias("a"), F.explode("members.node").alias("b"))
+    # A tally has a byte for four to eight shingles.
+    tallied = crowd_places(rows.select("shingle", "node", "component", (F.col("n") / 4 + 128).cast("long").alias("size")), clouds_of(stars, "cloud"))
+    sized = written(rows.select("node", "n").distinct(), "crowd-sizes")
+    tallies = sets.select("node", F.col("tally").alias("given")).join(sized, "node")
+    close = written(meetings(written(tallied, "tally-places"), tallies, close_forest), "close")
+    places = written(crowd_places(rows.select("shingle", "node", "component", (8 * F.col("n") + 64).alias("size")), clouds_of(close, "cloud")), "places")
+    wanted = written(places.select("node").distinct(), "crowd-wanted")
+    found = whole_sets(docs, text_col, sets, wanted).select("node", F.lit(0).alias("n"), F.col("items").alias("given"))
+
+    def alike_edges(items: list[bytes], sizes: np.ndarray, components: np.ndarray, sides: np.ndarray | None) -> list[tuple[int, int]]:
+        return forest([np.frombuffer(i, np.int64) for i in items], components, sides)
+
+    return meetings(places, found, alike_edges)
 
 
 def near_links(docs: DataFrame, sets: DataFrame, text_col: str = "text") -> DataFrame:
@@ -353,7 +423,7 @@ def near_links(docs: DataFrame, sets: DataFrame, text_col: str = "text") -> Data
     def left(posted: DataFrame, done: int) -> DataFrame:
         members = posted.where(F.size("members") > done + 1).select(
             "shingle", F.explode(F.slice("members", done + 1, F.size("members"))).alias("m")).select("shingle", "m.n", "m.node")
-        return written(apart(members, connected_components(reduce(DataFrame.unionByName, links))), "postings-left")
+        return written(apart(members, clouds_of(reduce(DataFrame.unionByName, links))), "postings-left")
 
     links = [alike_of(fingerprint_pairs(sets))]
     rest = left(written(postings(docs, text_col, common_shingles(docs, text_col)), "postings"), 0)
@@ -363,7 +433,7 @@ def near_links(docs: DataFrame, sets: DataFrame, text_col: str = "text") -> Data
     crowded = rest.where(F.size("members") > CROWDED)
     if not crowded.isEmpty():
         links.append(written(crowd_links(docs, text_col, sets, crowded), "crowd-links"))
-    return connected_components(reduce(DataFrame.unionByName, links))
+    return clouds_of(reduce(DataFrame.unionByName, links))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

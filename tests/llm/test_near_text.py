@@ -193,3 +193,65 @@ def test_forest_joins_what_is_alike():
 
         assert groups(edges) == groups(want)
         assert len(edges) == 120 - len(set(groups(want)))
+
+
+def recorded(monkeypatch, name):
+    """Rows of the tables that are written under ``name``, as they come."""
+    counts, written = [], near_text.written
+
+    def counted(df, to):
+        out = written(df, to)
+        if to == name:
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_text, "written", counted)
+    return counts
+
+
+def test_large_cloud_is_not_sent_for_each_posting(spark, monkeypatch):
+    """A cloud that is too much for a task, whose texts are together in many postings, moves once for each of its tiles."""
+    monkeypatch.setattr(near_text, "PLACE_BYTES", 60_000)
+    sent = recorded(monkeypatch, "places")
+    rows = loose_cloud(260)
+    got = sorted((r.doc_id, r.text) for r in near_text.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == kept_by_hand(rows)
+    tiles = -(-2 * 260 * (8 * 146 + 64) // 60_000)
+    assert 0 < sum(sent) <= tiles * len(rows)
+
+
+def test_texts_with_one_passage_in_common_do_not_meet_whole(spark, monkeypatch):
+    """Crowds that tallies take apart: no whole set is sent."""
+    monkeypatch.setattr(near_text, "common_shingles", lambda *_: np.empty(0, np.int64))
+    met, sent = recorded(monkeypatch, "tally-places"), recorded(monkeypatch, "crowd-wanted")
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(i, " ".join(f"n{i}x{k}" for k in range(200 + i)) + " " + passage) for i in range(80)]
+    out = near_text.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == rows
+    assert met == [79] and sent == [0]  # the first is done with by then
+
+
+def test_close_forest_joins_what_tallies_allow():
+    draw = np.random.default_rng(9)
+    pool = draw.integers(-1 << 63, (1 << 63) - 1, 400)
+    sets = [np.unique(draw.choice(pool[:draw.integers(8, 400)], draw.integers(1, 300))) for _ in range(150)]
+    sets += [np.unique(np.concatenate([s[len(s) // draw.integers(5, 40):], draw.integers(0, 1 << 62, draw.integers(0, 9))])) for s in sets[:60]]
+    sets += [np.arange(n, dtype=np.int64) << 20 for n in (300, 330, 900)]
+    tallies, sizes = [near_text.tally(s) for s in sets], np.array([*map(len, sets)])
+    assert b"" in tallies
+    n = len(sets)
+    components = draw.integers(0, n // 2, n)
+    for sides in (None, np.arange(n) % 2):
+        want = [(i, j) for i in range(n) for j in range(i) if components[i] != components[j] and (sides is None or sides[i] != sides[j])
+                and near_text.may_be_alike(tallies[i], tallies[j]) and 5 * min(sizes[i], sizes[j]) >= 4 * max(sizes[i], sizes[j])]
+        edges = near_text.close_forest(tallies, sizes, components, sides)
+        assert want and {(max(e), min(e)) for e in edges} <= {*want}
+
+        def groups(pairs):
+            label = list(range(n))
+            for a, b in pairs:
+                label = [label[a] if x == label[b] else x for x in label]
+            return [label.index(x) for x in label]
+
+        assert groups(edges) == groups(want)
+        assert len(edges) == n - len(set(groups(want)))
