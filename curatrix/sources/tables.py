@@ -140,7 +140,7 @@ def micro(p: Column) -> Column:
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled items with the scores of two models, their mean and its logit."""
+    """Labelled items with the scores of two models, their mean and its logit. An item without any token has no score."""
     text = F.col("text")
     count = F.size(tokens_of(text))
     distinct = F.size(F.array_distinct(tokens_of(text)))
@@ -148,8 +148,8 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
         with_identity(documents(spark, folder))
         .select(
             "item_id", "split", "class", "doc_id",
-            sc.rounded(1.0 - distinct / count, 6).alias("p_base"),
-            sc.rounded(F.least(F.lit(1.0), 4.0 * (F.length(text) - plain_chars(text)) / F.length(text)), 6).alias("p_hn"),
+            sc.rounded(1.0 - F.try_divide(distinct, count), 6).alias("p_base"),
+            sc.rounded(F.least(F.lit(1.0), F.try_divide(4.0 * (F.length(text) - plain_chars(text)), F.length(text))), 6).alias("p_hn"),
         )
     )
     labels = table(spark, folder, "labels").select(
